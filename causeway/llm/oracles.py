@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import quality
+from causeway.llm import quality, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,5 +38,27 @@ f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 SELECT *, NOT base_failed AND 100 * dup_line_chars <= {quality.LINE_LIMIT} * word_chars AND 100 * n_symbols <= {quality.SYMBOL_LIMIT} * n_words AND {within} AS kept FROM f"""
 
 
+def url_filters() -> str:
+    """The rows of op10."""
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
+    return f"""
+WITH rules(v, h, p) AS (VALUES {rules}),
+r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+  regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path, row_number() OVER () AS k FROM r),
+m AS (SELECT s.k, arg_max(h || p, (length(h || p), length(h))) AS rule, arg_max(v, (length(h || p), length(h))) AS verdict
+  FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY s.k)
+SELECT page_id, host, path, rule, coalesce(verdict, '{urls.DEFAULT}') AS verdict FROM s LEFT JOIN m ON m.k = s.k"""
+
+
+def warc_records() -> str:
+    """The rows of op2."""
+    return """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+
 def sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules()}
+    return {"op2_warc": warc_records(), "op7_quality_rules": quality_rules(), "op10_url_filters": url_filters()}

@@ -5,9 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from causeway.llm import oracles, quality
-from causeway.llm._common import table
+import public_tokenizers
+from causeway.llm import mixing, oracles, packing, quality, urls, warc
+from causeway.llm._common import new_path, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = new_path(spark, "warc")
+    warc.write_archive(warc.archive_rows(pages, "page_id", "url", "html"), path)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    # The payloads of responses are measured anew; of revisits only the headers are read.
+    held = warc.read_archive(spark, path).where("record_type = 'response'").select("record_id", "refers_to", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    seen = warc.read_archive(spark, path, payload=False).where("record_type = 'revisit'").select("record_id", "refers_to", "record_type", "payload_bytes", F.regexp_extract("payload_digest", "^sha256:(.*)$", 1).alias("payload_digest"))
+    return held.unionByName(seen).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "repeats")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +38,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "quality.*")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules,)}
+    return {f.__name__: f for f in (op2_warc, op3_source_mixing, op4_best_fit_packing, op7_quality_rules, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
