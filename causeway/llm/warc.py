@@ -13,7 +13,6 @@ record with a null id has a null id when read back; repeated rows give a record
 
 from __future__ import annotations
 
-import io
 import json
 import struct
 import uuid
@@ -195,8 +194,8 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, path = _file_system(self.path)
-        names, out, size = [], None, 0
         fs.create_dir(path, recursive=True)
+        names, out, size = [], None, 0
         for batch in iterator:
             for i in range(0, batch.num_rows, 64):
                 for row in batch.slice(i, 64).to_pylist():
@@ -204,8 +203,10 @@ class WarcWriter(DataSourceArrowWriter):
                         if out is not None:
                             out.close()
                         names.append(f"{uuid.uuid4().hex}.warc.gz")
-                        out, size = io.BufferedWriter(fs.open_output_stream(f"{path}/{names[-1]}"), 1 << 20), 0
-                    size += out.write(encode(row))
+                        out, size = fs.open_output_stream(f"{path}/{names[-1]}", compression=None, buffer_size=1 << 20), 0
+                    member = encode(row)
+                    out.write(member)
+                    size += len(member)
         if out is not None:
             out.close()
         return _Written(names)
