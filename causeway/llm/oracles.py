@@ -60,5 +60,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
   CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
 
 
+def exact_top_k() -> str:
+    """The rows of op8."""
+    return """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.e, p.e) AS BIGINT) AS score FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_warc": warc_records(), "op7_quality_rules": quality_rules(), "op10_url_filters": url_filters()}
+    return {"op2_warc": warc_records(), "op7_quality_rules": quality_rules(), "op8_exact_top_k": exact_top_k(), "op10_url_filters": url_filters()}

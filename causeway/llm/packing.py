@@ -12,6 +12,8 @@ table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +21,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,35 +35,50 @@ SHARD_TOKENS = 1 << 23
 CACHE = 1 << 18
 
 
+def _class(kind: str) -> str:
+    """The characters below END_OF_FAST of a Unicode category, for a character class."""
+    return "".join(re.escape(chr(i)) for i in range(END_OF_FAST) if unicodedata.category(chr(i))[0] == kind)
+
+
+#: Texts of characters below this take the fast way; of these, lower() and composition change only single letters.
+END_OF_FAST = 0x130
+#: Characters that need the slow way: those above, and those that count as space in one library only.
+OTHER = re.compile(f"[^\\x00-\\x1b\\x20-{chr(END_OF_FAST - 1)}]")
+#: The words of the tokenizer's own pattern for such texts: the same matches, with classes that re can look up.
+WORDS = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_class('L')}{_class('N')}]+")
+#: The pattern that WORDS stands for; another tokenizer takes the slow way throughout.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class CachedTokenizer:
     """Ids of a word-level BPE tokenizer. Its merges never cross the words of its own pre-tokenizer, so the ids of a
-    word are kept and texts are put together from them; texts that its normalizer may change are encoded whole."""
+    word are kept and texts are put together from them; texts that its normalizer may change otherwise than by lower()
+    are encoded whole."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.words = regex.compile(split["pattern"]["Regex"])
+        steps = spec["pre_tokenizer"].get("pretokenizers") or [{}]
+        self.fast = steps[0].get("pattern", {}).get("Regex") == PATTERN and spec["model"].get("end_of_word_suffix") is not None
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self.known) >= CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         self.known[word] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if OTHER.search(text) or any(s in text for s in self.special):
+        if not self.fast or OTHER.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        known, word = self.known, self._word
-        return np.frombuffer(b"".join([known.get(w) or word(w) for w in self.words.findall(text.lower())]), dtype="<u4")
-
-
-#: Characters that normalisation may change otherwise than by Python's lower(), or that count as space in one library only.
-OTHER = regex.compile(r"[^\x00-\x1b\x20-\u012f]")
+        word = self._word
+        return np.frombuffer(b"".join([self.known.get(w) or word(w) for w in WORDS.findall(text.lower())]), dtype="<u4")
 
 
 @lru_cache(maxsize=2)

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from causeway.llm import mixing, oracles, packing, quality, urls, warc
+from causeway.llm import chunks, mixing, oracles, packing, quality, topk, urls, warc
 from causeway.llm._common import new_path, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = new_path(spark, "warc")
@@ -38,12 +42,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "quality.*")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, is_query=F.col("vec_id") % 100 == 0)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_source_mixing, op4_best_fit_packing, op7_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_source_mixing, op4_best_fit_packing, op7_quality_rules, op8_exact_top_k, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
