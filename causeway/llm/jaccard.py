@@ -217,26 +217,60 @@ class RTree:
         return self.order[nodes[ok]]
 
 
+def _near(block: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarray, role: np.ndarray, home: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block and different components, at least one of them at home, that the bound lets through.
+    Small blocks are a single leaf each and are compared all at once; larger ones get a tree."""
+    left, right = [], []
+    edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    many = np.diff(np.append(edge, len(block)))
+    single = np.repeat(many <= LEAF, many)
+    for step in range(1, int(min(many.max(initial=1), LEAF))):
+        i = np.flatnonzero((block[step:] == block[:-step]) & single[step:])
+        j = i + step
+        ok = (part[i] != part[j]) & (role[i] | role[j]) & (home[i] | home[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        i, j = i[ok], j[ok]
+        ok = np.minimum(point[i], point[j]).sum(axis=1, dtype=np.int64) >= required(size[i], size[j], percent)
+        left.append(i[ok])
+        right.append(j[ok])
+    for start, length in zip(edge[many > LEAF], many[many > LEAF], strict=True):
+        rows = slice(start, start + length)
+        tree, c, r, h = RTree(size[rows], point[rows]), part[rows], role[rows], home[rows]
+        for i in np.flatnonzero(h):
+            found = tree.search(int(size[start + i]), point[start + i], percent)
+            found = found[(c[found] != c[i]) & (r[found] | r[i]) & ((found < i) | ~h[found])]
+            left.append(np.full(len(found), start + i))
+            right.append(start + found)
+    return (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
+
+
 def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
-    """Pairs of different components in the blocks (token, band, home, key, component, role, size, point) that the R-tree
-    of their points lets through. Only home rows are asked; all rows of the block are searched."""
+    """Pairs of different components in the blocks (token, band, home, key, part, role, size, point) that the bound lets
+    through. A block's rows follow one another in a partition; only the last, unfinished block of a batch is held."""
 
-    def run(table: pa.Table) -> pa.Table:
-        size = table.column("size").to_numpy().astype(np.int64)
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        get = lambda c: table.column(c).to_numpy()
         point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
-        parts = table.column("component").to_numpy(zero_copy_only=False)
-        role, home = (table.column(c).to_numpy(zero_copy_only=False) for c in ("role", "home"))
-        tree, left, right = RTree(size, point), [], []
-        for i in np.flatnonzero(home):
-            near = tree.search(int(size[i]), point[i], percent)
-            near = near[(parts[near] != parts[i]) & (role[near] | role[i]) & ((near < i) | ~home[near])]
-            left.append(np.full(len(near), i))
-            right.append(near)
-        keys = table.column("key")
-        a, b = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (left, right))
-        return pa.table({"a": keys.take(a), "b": keys.take(b)})
+        a, b = _near(get("block"), get("size").astype(np.int64), point, get("part"), get("role"), get("home"), percent)
+        keys = table.column("key").combine_chunks()
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
 
-    return blocks.groupBy("token", "band").applyInArrow(run, T.StructType([T.StructField("a", key_type), T.StructField("b", key_type)]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            block = table.column("block").to_numpy()
+            done = int(np.searchsorted(block, block[-1]))
+            held = table.slice(done)
+            if done:
+                yield pairs(table.slice(0, done))
+        if held is not None:
+            yield pairs(held)
+
+    sorted_ = blocks.withColumn("block", F.xxhash64("token", "band")).select("block", "key", "part", "role", "home", "size", "point").repartition("block").sortWithinPartitions("block")
+    return sorted_.mapInArrow(run, T.StructType([T.StructField("a", key_type), T.StructField("b", key_type)]))
 
 
 def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +295,7 @@ def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tup
     part = F.coalesce("component", "key")
     placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", part.alias("component"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = placed.join(mixed, "token").join(lean, "key")
+    open_ = placed.join(mixed, "token").join(lean, "key").withColumn("part", F.xxhash64("component"))
     # A pair's sizes differ by a quarter at most, so it meets in the band of the larger one.
     band = F.floor(F.ln("size") / F.ln(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
     banded = open_.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band")).drop("own")
