@@ -82,21 +82,29 @@ def chunk_rows(docs: DataFrame, key_type: T.DataType) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
-def identified(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, part and text: rows with one id and different texts are parts of their own."""
+def identified(df: DataFrame, key: str, text: str, *, rest: bool = False) -> DataFrame:
+    """key, part and text: rows with one id and different texts are parts of their own. rest: all columns, as a struct."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("part"), body.alias("text"))
+    more = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("rest")] if rest else []
+    return df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("part"), body.alias("text"), *more)
+
+
+def with_text(cut: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """df's columns from the rest column of a cut_out(), text being what is left of it."""
+    return cut.select(*(F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in df.columns))
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, key_type: T.DataType) -> DataFrame:
     """docs (key, part, text) without the bytes of their spans (key, part, start, end).
 
     Gives key, text (what is left; bytes that are no whole characters any more are dropped), n_bytes, n_removed, n_spans
-    (maximal runs) and kept_sha256 (of the bytes left).
+    (maximal runs) and kept_sha256 (of the bytes left), and docs' rest column if it has one.
     """
     own = spans.groupBy("key", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.alias("d").join(own.alias("s"), F.expr("d.key <=> s.key AND d.part = s.part"), "left").select("d.key", "d.text", "s.spans")
-    names = ["key", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    joined = docs.alias("d").join(own.alias("s"), F.expr("d.key <=> s.key AND d.part = s.part"), "left")
+    more = [f for f in docs.schema.fields if f.name == "rest"]
+    joined = joined.select("d.key", "d.text", "s.spans", *(f"d.{f.name}" for f in more))
+    names = ["key", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(f.name for f in more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in _text.slices(batches, "text", 8 << 20):
@@ -115,10 +123,10 @@ def cut_out(docs: DataFrame, spans: DataFrame, key_type: T.DataType) -> DataFram
                     n_spans, left = 0, body.tobytes()
                 out.append((left.decode("utf-8", "ignore"), len(body), len(body) - len(left), n_spans, hashlib.sha256(left).hexdigest()))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), *rows.columns[3:]], names)
 
     longs, strings = T.LongType(), T.StringType()
-    kinds = [key_type, strings, longs, longs, longs, strings]
+    kinds = [key_type, strings, longs, longs, longs, strings, *(f.dataType for f in more)]
     return joined.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 

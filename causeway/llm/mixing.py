@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from causeway.llm._common import free_name, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -95,11 +97,13 @@ def fit(counts: dict[int, int], budget: int, most: int = DP_WORDS) -> dict[int,
     return taken
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, weights: Sequence[int] = WEIGHTS, percent: int = BUDGET_PERCENT, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """A row for each row of df: key, source, size, source_size, target, repeats (times the mix holds the document) and
-    taken (repeats times size)."""
-    docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"))
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, weights: Sequence[int] = WEIGHTS, percent: int = BUDGET_PERCENT, most: int = MOST_REPEATS, seed: int = SEED, part: Column | None = None) -> DataFrame:
+    """A row for each row of df: key, part (an expression that tells rows with one key apart; else 0), source, size,
+    source_size, target, repeats (times the mix holds the document) and taken (repeats times size)."""
+    part = F.lit(0).cast("long") if part is None else part
+    docs = df.select(F.col(f"`{key}`").alias("key"), part.alias("part"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"))
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("key").cast("string")), F.lit(BUCKETS)).cast("int"))
+    docs = written(docs, "sizes")  # the texts are read once
     by_length = docs.groupBy("source", "size").agg(F.count("*").alias("n"))
     by_source = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     # A row for each source reaches the driver, no document.
@@ -127,9 +131,20 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     cols = ("source_size", "target", "whole", "quota", "n")
     joined = docs.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d.size = p.size AND d.bucket = p.bucket")).select("d.*", *(f"p.{c}" for c in cols))
     partly = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
-    rank = F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("key").cast("string")), "key"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("key").cast("string")), "key", "part"))
     ranked = joined.where(partly).withColumn("extra", (rank <= F.col("quota")).cast("long"))
     plain = joined.where(~partly).withColumn("extra", (F.col("quota") > 0).cast("long"))
     both = plain.unionByName(ranked)
     repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long")
-    return both.select(F.col("key").alias(key), "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return both.select(F.col("key").alias(key), "part", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: df's rows, each as often as the mix takes it. Rows with one id, source and text are alike."""
+    # A row keeps its place in the join by id and text.
+    part = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{source}`"))
+    names = [free_name(df, n) for n in ("mix_part", "mix_repeats")]
+    marked = df.withColumn(names[0], part)
+    taken = mix(df, key, text, source, part=part, **options).groupBy(F.col(key).alias("mix_key"), F.col("part").alias("mix_of")).agg(F.sum("repeats").alias(names[1])).where(F.col(names[1]) > 0)
+    one = marked.dropDuplicates([key, names[0]])
+    return one.join(taken, one[key].eqNullSafe(taken["mix_key"]) & (one[names[0]] == taken["mix_of"])).withColumn(names[1], F.explode(F.array_repeat(F.lit(0), F.col(names[1]).cast("int")))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from causeway.llm import chunks, jaccard, mixing, oracles, packing, quality, topk, urls, warc
+from causeway.llm import chunks, jaccard, mixing, oracles, packing, quality, suffixes, topk, urls, warc
 from causeway.llm._common import new_path, table
 
 
@@ -51,12 +51,16 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, is_query=F.col("vec_id") % 100 == 0)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_source_mixing, op4_best_fit_packing, op6_ngram_jaccard_join, op7_quality_rules, op8_exact_top_k, op10_url_filters)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_source_mixing, op4_best_fit_packing, op6_ngram_jaccard_join, op7_quality_rules, op8_exact_top_k, op9_suffix_dedup, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
