@@ -36,8 +36,11 @@ from causeway.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-#: Groups of the count vectors that points are pruned by.
-GROUPS = 64
+#: Groups of the points in the tree, and of the finer ones that pairs are checked by before their texts are fetched.
+GROUPS, FINE = 64, 512
+FULL = 65535
+#: So many ids are sent to all tasks to fetch the texts of candidates (16 MB); more are joined.
+BROADCAST_ROWS = 500_000
 #: Counters of the sketch that tells rare shingles from common ones; its size is fixed.
 SKETCH = 1 << 20
 PIECES = 64
@@ -84,31 +87,51 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
         rows = []
         for i, piece in enumerate(counts.reshape(PIECES, -1)):
             at = np.flatnonzero(piece)
-            rows.append((i, at.astype(np.int32).tobytes(), piece[at].tobytes()))
+            rows.append((i, at.astype(np.uint16).tobytes(), piece[at].astype(np.uint32).tobytes()))
         part, at, value = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["piece", "at", "value"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH // PIECES, dtype=np.int64)
         for at, value in zip(pdf["at"], pdf["value"], strict=True):
-            total[np.frombuffer(at, np.int32)] += np.frombuffer(value, np.int64)
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(value, np.uint32)
         at = np.flatnonzero(total)
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "at": [at.astype(np.int32).tobytes()], "value": [total[at].tobytes()]})
+        value = np.minimum(total[at], 2**32 - 1).astype(np.uint32)
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "at": [at.astype(np.uint16).tobytes()], "value": [value.tobytes()]})
 
     kind = "piece int, at binary, value binary"
     parts = docs.mapInArrow(count, kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
     added = parts.groupBy("piece", "part").applyInPandas(add, kind).groupBy("piece").applyInPandas(add, kind)
     counts = np.zeros((PIECES, SKETCH // PIECES))
     for r in added.collect():  # PIECES rows of fixed size, whatever the input
-        counts[r["piece"], np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.int64)
+        counts[r["piece"], np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.uint32)
     mean = max(1.0, counts.mean())
     return np.clip(np.log2(np.maximum(counts.ravel() / mean, 1)), 0, 63).astype(np.uint8)
 
 
+def _counted(values: np.ndarray, owner: np.ndarray, texts: int, groups: int) -> list[bytes]:
+    """How many shingles of each text fall in each group; a point with a count beyond 16 bits is full everywhere, which
+    bounds nothing."""
+    group = (values & np.uint64(groups - 1)).astype(np.int64)
+    point = np.bincount(owner * groups + group, minlength=texts * groups).reshape(-1, groups)
+    point[point.max(axis=1, initial=0) >= FULL] = FULL
+    return [p.tobytes() for p in point.astype(np.uint16)]
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array, groups: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, groups)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bound on the overlap of points; full ones have none."""
+    total = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return np.where(total >= FULL * a.shape[1], np.iinfo(np.int64).max, total)
+
+
 def _points(docs: DataFrame, key_type: T.DataType, common: np.ndarray, n: int, percent: int) -> DataFrame:
-    """key, size, digest of the set (high, low), its point and its first shingles in the common order."""
+    """key, size, digest of the set (high, low), its points and its first shingles in the common order."""
     heat = docs.sparkSession.sparkContext.broadcast(common)
-    names = ["key", "size", "high", "low", "point", "tokens"]
+    names = ["key", "size", "high", "low", "point", "fine", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in _text.slices(batches, "text"):
@@ -118,16 +141,15 @@ def _points(docs: DataFrame, key_type: T.DataType, common: np.ndarray, n: int, p
             with np.errstate(over="ignore"):
                 high = np.array([np.add.reduce(_text.mix(values[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64)
                 low = np.array([np.add.reduce(_text.mix(values[a:b] ^ np.uint64(0x9E3779B97F4A7C15))) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64)
-            group = (values & np.uint64(GROUPS - 1)).astype(np.int64)
-            point = np.minimum(np.bincount(owner * GROUPS + group, minlength=len(size) * GROUPS), 2**31 - 1).astype(np.int32).reshape(-1, GROUPS)
+            point, fine = (_counted(values, owner, len(size), g) for g in (GROUPS, FINE))
             order = np.lexsort((_text.mix(values), heat.value[(values >> np.uint64(44)).astype(np.int64)], owner))
             ranked = values[order]
             many = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
             first = [ranked[a : a + m].tobytes() for a, m in zip(at[:-1], many, strict=True)]
-            columns = [rows.column(0), pa.array(size.astype(np.int32)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array([p.tobytes() for p in point], pa.binary()), pa.array(first, pa.binary())]
+            columns = [rows.column(0), pa.array(size.astype(np.int32)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array(first, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = [key_type, T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType()]
+    kinds = [key_type, T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.BinaryType()]
     return docs.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]))
 
 
@@ -151,16 +173,16 @@ def _block_rows(points: DataFrame, key_type: T.DataType, percent: int) -> DataFr
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and points allow a link."""
-    side = lambda c: points.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), F.col("point").alias(f"{c}_point"))
+    side = lambda c: points.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), F.col("fine").alias(f"{c}_point"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            a, b = (np.frombuffer(b"".join(get(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("a_point", "b_point"))
+            a, b = (_unpacked(get(c), FINE) for c in ("a_point", "b_point"))
             need = required(get("a_size").to_numpy().astype(np.int64), get("b_size").to_numpy().astype(np.int64), percent)
-            ok = pa.array(np.minimum(a, b).sum(axis=1, dtype=np.int64) >= need)
+            ok = pa.array(_overlap(a, b) >= need)
             yield pa.RecordBatch.from_arrays([get("a").filter(ok), get("b").filter(ok)], ["a", "b"])
 
     kind = points.schema["key"].dataType
@@ -169,6 +191,9 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets are linked, by the texts themselves."""
+    ids = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    docs = docs.join(ids, "key", "left_semi")
     both = pairs.join(docs.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a").join(docs.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +234,11 @@ class RTree:
         for level in range(len(self.levels) - 1, -1, -1):
             low, high, corner = (x[nodes] for x in self.levels[level])
             ok = (100 * high >= percent * size) & (percent * low <= 100 * size)
-            ok &= np.minimum(corner, point).sum(axis=1, dtype=np.int64) >= required(np.maximum(low, -(-percent * size // 100)), size, percent)
+            ok &= _overlap(corner, point) >= required(np.maximum(low, -(-percent * size // 100)), size, percent)
             below = len(self.levels[level - 1][0]) if level else len(self.size)
             nodes = (nodes[ok][:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < below]
-        ok = (100 * np.minimum(self.size[nodes], size) >= percent * np.maximum(self.size[nodes], size)) & (np.minimum(self.point[nodes], point).sum(axis=1, dtype=np.int64) >= required(self.size[nodes], size, percent))
+        ok = (100 * np.minimum(self.size[nodes], size) >= percent * np.maximum(self.size[nodes], size)) & (_overlap(self.point[nodes], point) >= required(self.size[nodes], size, percent))
         return self.order[nodes[ok]]
 
 
@@ -229,7 +254,7 @@ def _near(block: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarr
         j = i + step
         ok = (part[i] != part[j]) & (role[i] | role[j]) & (home[i] | home[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
-        ok = np.minimum(point[i], point[j]).sum(axis=1, dtype=np.int64) >= required(size[i], size[j], percent)
+        ok = _overlap(point[i], point[j]) >= required(size[i], size[j], percent)
         left.append(i[ok])
         right.append(j[ok])
     for start, length in zip(edge[many > LEAF], many[many > LEAF], strict=True):
@@ -249,7 +274,7 @@ def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         get = lambda c: table.column(c).to_numpy()
-        point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+        point = _unpacked(table.column("point"), GROUPS)
         a, b = _near(get("block"), get("size").astype(np.int64), point, get("part"), get("role"), get("home"), percent)
         keys = table.column("key").combine_chunks()
         return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
@@ -277,32 +302,33 @@ def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tup
     """Of docs (key, text): the table of points (key, size, ...), and key and component of the keys that are linked with
     another one or share another one's set."""
     key_type = docs.schema["key"].dataType
-    points = written(_points(docs, key_type, sketch(docs.select("text"), n), n, percent), "points")
+    points = _points(docs, key_type, sketch(docs.select("text"), n), n, percent)
+    points = written(points.withColumn("row", F.monotonically_increasing_id()), "points")
     full = points.where("size > 0 and key is not null")
-    of_set = full.groupBy("high", "low", "size").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
-    # One row stands for a set: that of the smallest id, and of rows with one id and one set any.
-    reps = full.join(of_set.select(F.col("first").alias("key"), "high", "low", "size"), ["key", "high", "low", "size"], "left_semi").dropDuplicates(["key", "high", "low", "size"])
+    of_set = written(full.groupBy("high", "low", "size").agg(F.min(F.struct("key", "row")).alias("first"), F.count("*").alias("copies")), "sets")
+    # One row stands for a set: one with the smallest id.
+    reps = full.join(of_set.select("first.row"), "row", "left_semi")
     rows = _block_rows(reps, key_type, percent)
-    leaders = rows.where("role").groupBy("token").agg(F.min("key").alias("leader"))
+    # A block matters if it has two documents, one of them in the smaller one's role; the smallest of these leads it.
+    leaders = rows.groupBy("token").agg(F.min(F.when(F.col("role"), F.col("key"))).alias("leader"), F.count("*").alias("n")).where("n > 1 and leader is not null").drop("n")
     met = written(rows.join(leaders, "token"), "blocks")
-    shared = met.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("token")
-    met = written(met.join(shared, "token"), "shared")
-    lean = reps.select("key", "size", "point")
+    lean = points.join(of_set.select("first.row"), "row", "left_semi").select("key", "size", "point", "fine")
     pairs = met.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-    links = written(_verified(_bounded(pairs, lean, percent), docs, n, percent), "links")
+    near = written(_bounded(pairs, lean, percent), "pairs")
+    links = written(_verified(near, docs, n, percent), "links")
     found = components(links)
 
     part = F.coalesce("component", "key")
     placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", part.alias("component"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = placed.join(mixed, "token").join(lean, "key").withColumn("part", F.xxhash64("component"))
+    open_ = placed.join(mixed, "token").join(lean.drop("fine"), "key").withColumn("part", F.xxhash64("component"))
     # A pair's sizes differ by a quarter at most, so it meets in the band of the larger one.
     band = F.floor(F.ln("size") / F.ln(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
     banded = open_.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band")).drop("own")
-    lost = written(_across(banded, key_type, percent).distinct(), "across")
-    more = _verified(lost, docs, n, percent)
+    across = written(_across(banded, key_type, percent).distinct(), "across")
+    more = _verified(written(_bounded(across, lean, percent), "pairs"), docs, n, percent)
     # Copies of a set hang on its smallest id; rows that share an id hang together by that id.
-    copies = full.join(of_set.where("copies > 1").select("high", "low", "size", "first"), ["high", "low", "size"]).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    copies = full.join(of_set.where("copies > 1"), ["high", "low", "size"]).where("key <> first.key").select(F.col("key").alias("a"), F.col("first.key").alias("b"))
     return points, components(links.unionAll(more).unionAll(copies))
 
 
