@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.llm import _text
+from causeway.llm._common import written
 from causeway.llm.chunks import cut_out, identified, with_text
 
 LENGTH = 50
@@ -83,51 +84,67 @@ def _lists(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _tags(h: np.ndarray) -> np.ndarray:
+    """32 bits of the hashes. Two that agree only in these cost a needless context, no more."""
+    return (h >> U(32)).astype(np.uint32)
+
+
 def _shared(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, gram: int) -> DataFrame:
-    """key, part and the hashes (binary) of samples that are found in another document too; several rows a document."""
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("parts", T.ArrayType(T.LongType())), T.StructField("counts", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
+    """key, part and the tags (binary) of samples that another text has too; several rows a document. Of equal texts in
+    a slice only that with the smallest id is looked at: the others are cut out as copies."""
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("parts", T.ArrayType(T.LongType())), T.StructField("counts", T.BinaryType()), T.StructField("tags", T.BinaryType())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in _text.slices(batches, "text"):
             h, doc, _, _ = samples(data, offsets, length, gram)
+            part = rows.column(1).to_numpy()
+            order = np.lexsort((_ranks(rows.column(0)), part))
+            one = np.zeros(rows.num_rows, bool)
+            one[order[np.append(True, np.diff(part[order]) != 0)]] = True
+            h, doc = h[one[doc]], doc[one[doc]]
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
             h, doc = h[new], doc[new]
             first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-            # what several documents of this slice have is known to be shared; one of them stands for it elsewhere
+            # what several texts of this slice have is known to be shared; one of them stands for it elsewhere
             for known, pick in ((False, first), (True, ~first | np.append(~first[1:], False)[: len(first)])):
                 hh, dd = h[pick], doc[pick]
                 for bucket, at in _by_bucket((hh % U(buckets)).astype(np.int64)):
                     at = at[np.argsort(dd[at], kind="stable")]
                     own, count = np.unique(dd[at], return_counts=True)
                     keys, parts = _ids(rows, own)
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([known]), _lists(keys), _lists(parts), pa.array([count.astype(np.int32).tobytes()]), pa.array([hh[at].tobytes()])], schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([known]), _lists(keys), _lists(parts), pa.array([count.astype(np.int32).tobytes()]), pa.array([_tags(hh[at]).tobytes()])], schema.names)
 
-    out = T.StructType([T.StructField("key", key_type), T.StructField("part", T.LongType()), T.StructField("hashes", T.BinaryType())])
+    out = T.StructType([T.StructField("key", key_type), T.StructField("part", T.LongType()), T.StructField("tags", T.BinaryType())])
 
     def find(table: pa.Table) -> pa.Table:
         keys, parts = (pc.list_flatten(table.column(c)).combine_chunks() for c in ("keys", "parts"))
-        count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32)
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), U)
-        rows = np.diff(np.concatenate(([0], np.cumsum([len(x) for x in table.column("counts").to_pylist()]))) // 4)
-        known = np.repeat(np.repeat(table.column("known").to_numpy(zero_copy_only=False), rows), count)
+        counts, tags = (table.column(c).to_pylist() for c in ("counts", "tags"))
+        count, h = np.frombuffer(b"".join(counts), np.int32), np.frombuffer(b"".join(tags), np.uint32)
+        known = np.repeat(table.column("known").to_numpy(zero_copy_only=False), [len(x) // 4 for x in tags])
         doc = np.repeat(np.arange(len(count)), count)
+        part = parts.to_numpy()[doc]
         ask = np.flatnonzero(~known)
-        order = ask[np.argsort(h[ask])]
+        order = ask[np.lexsort((part[ask], h[ask]))]
         same = h[order[1:]] == h[order[:-1]]
+        edge = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
+        last = np.append(edge[1:], len(order)) - 1
         hit = known.copy()
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
+        hit[order] = np.repeat(part[order[edge]] != part[order[last]], last - edge + 1)
         at = np.flatnonzero(hit)
         edge = np.searchsorted(doc[at], np.arange(len(count) + 1))
         has = np.flatnonzero(edge[1:] > edge[:-1])
         found = [h[at[edge[d] : edge[d + 1]]].tobytes() for d in has]
-        return pa.table({"key": keys.take(pa.array(has)), "part": parts.take(pa.array(has)), "hashes": pa.array(found, pa.binary())})
+        return pa.table({"key": keys.take(pa.array(has)), "part": parts.take(pa.array(has)), "tags": pa.array(found, pa.binary())})
 
     return docs.mapInArrow(send, schema).groupBy("bucket").applyInArrow(find, out)
 
 
+def _ranks(keys: pa.Array) -> np.ndarray:
+    return pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+
+
 def windows(raw: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every window of the contexts that begin at ``at`` and have count windows, and the context's number."""
     owner = np.repeat(np.arange(len(at)), count)
@@ -140,23 +157,22 @@ def _spans(key_type: T.DataType) -> T.StructType:
 
 
 def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, gram: int) -> DataFrame:
-    """Spans (key, part, start, end) to cut out of docs (key, part, text, hashes: a list of binaries)."""
+    """Spans (key, part, start, end) to cut out of docs (key, part, text, tags: a list of binaries)."""
     fields = [("bucket", T.IntegerType()), ("known", T.BooleanType()), ("keys", T.ArrayType(key_type)), ("parts", T.ArrayType(T.LongType()))]
-    schema = T.StructType([T.StructField(n, k) for n, k in fields + [(c, T.BinaryType()) for c in ("counts", "hashes", "first", "size", "bytes")]])
+    schema = T.StructType([T.StructField(n, k) for n, k in fields + [(c, T.BinaryType()) for c in ("counts", "tags", "first", "size", "bytes")]])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in _text.slices(batches, "text"):
             lists = rows.column(3).to_pylist()
-            salt = _text.mix(np.arange(1, rows.num_rows + 1, dtype=U))
-            asked = [np.frombuffer(b"".join(x), U) ^ salt[i] for i, x in enumerate(lists) if x]
+            asked = [np.frombuffer(b"".join(x), np.uint32).astype(U) | U(i << 32) for i, x in enumerate(lists) if x]
             if not asked:
                 continue
             h, doc, first, last = samples(data, offsets, length, gram)
-            keep = np.isin(h ^ salt[doc], np.concatenate(asked))
+            keep = np.isin(_tags(h).astype(U) | doc.astype(U) << U(32), np.concatenate(asked))
             h, doc, first, size = h[keep], doc[keep], first[keep], last[keep] - first[keep] + length
             # Equal contexts of this slice: the smallest id's is sent, the others lie in it. Rows with that id are sent too.
             whole = _text.span(_text.prefix(data), first, first + size) ^ h
-            rank = pc.rank(rows.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+            rank = _ranks(rows.column(0))
             order = np.lexsort((rank[doc], whole))
             edge = np.append(True, whole[order][1:] != whole[order][:-1]) if len(order) else np.zeros(0, bool)
             least = np.empty(len(order), np.int64)
@@ -170,17 +186,19 @@ def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, g
                     own, count = np.unique(doc[at], return_counts=True)
                     keys, parts = _ids(rows, own)
                     raw = b"" if known else b"".join([data[a : a + s].tobytes() for a, s in zip(first[at], size[at], strict=True)])
-                    packed = [count.astype(np.int32), h[at], (first[at] - offsets[doc[at]]).astype(np.int32), size[at].astype(np.uint8)]
+                    packed = [count.astype(np.int32), np.zeros(0, np.uint32) if known else _tags(h[at]), (first[at] - offsets[doc[at]]).astype(np.int32), size[at].astype(np.uint8)]
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([known]), _lists(keys), _lists(parts), *(pa.array([x.tobytes()]) for x in packed), pa.array([raw], pa.binary())], schema.names)
 
     def sort(table: pa.Table) -> pa.Table:
         keys, parts = (pc.list_flatten(table.column(c)).combine_chunks() for c in ("keys", "parts"))
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        count, h, first, size = joined("counts", np.int32), joined("hashes", U), joined("first", np.int32), joined("size", np.uint8).astype(np.int64)
+        count, first, size = joined("counts", np.int32), joined("first", np.int32), joined("size", np.uint8).astype(np.int64)
         rows = [len(x) // 4 for x in table.column("first").to_pylist()]
         known = np.repeat(table.column("known").to_numpy(zero_copy_only=False), rows)
         doc = np.repeat(np.arange(len(count)), count)
-        rank = pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+        rank = _ranks(keys)
+        h = np.zeros(len(known), np.uint32)
+        h[~known] = joined("tags", np.uint32)
         raw = joined("bytes", np.uint8)
         begin = np.cumsum(np.where(known, 0, size)) - np.where(known, 0, size)
         at = np.flatnonzero(known)
@@ -197,7 +215,7 @@ def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, g
             i = j
             body = np.concatenate([raw[a : a + s] for a, s in zip(begin[part], size[part], strict=True)])
             place = np.cumsum(size[part]) - size[part]
-            whole = _text.span(_text.prefix(body), place, place + size[part]) ^ h[part]
+            whole = _text.span(_text.prefix(body), place, place + size[part])
             order = np.lexsort((rank[doc[part]], whole))
             edge = np.append(True, whole[order][1:] != whole[order][:-1])
             rep = order[edge]  # of every context, the occurrence with the smallest id
@@ -240,6 +258,13 @@ def _cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
     key_type, plain = docs.schema["key"].dataType, docs.select("key", "part", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-total // BUCKET_BYTES))
-    shared = _shared(plain, key_type, buckets, length, gram).groupBy("key", "part").agg(F.collect_list("hashes").alias("hashes"))
-    asked = plain.alias("d").join(shared.alias("s"), F.expr("d.key <=> s.key AND d.part = s.part"), "left").select("d.key", "d.part", "d.text", "s.hashes")
-    return cut_out(docs, _repeats(asked, key_type, buckets, length, gram), key_type)
+    # Copies of a text with a smaller id go whole, if they have a window at all, and take no further part.
+    texts = written(plain.select("key", "part", F.md5("text").alias("sum"), F.octet_length("text").alias("end")).where(F.col("end") >= length), "texts")
+    least = texts.groupBy("part", "sum", "end").agg(F.min(F.struct("key")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = texts.join(least, ["part", "sum", "end"]).where(~F.col("key").eqNullSafe(F.col("least.key"))).select("key", "part", F.lit(0).alias("start"), "end").distinct()
+    copies = written(copies, "copies")
+    shared = _shared(plain, key_type, buckets, length, gram).groupBy("key", "part").agg(F.collect_list("tags").alias("tags"))
+    shared = shared.alias("s").join(copies.alias("c"), F.expr("s.key <=> c.key AND s.part = c.part"), "left_anti")
+    asked = plain.alias("d").join(shared.alias("s"), F.expr("d.key <=> s.key AND d.part = s.part"), "left").select("d.key", "d.part", "d.text", "s.tags")
+    spans = _repeats(asked, key_type, buckets, length, gram).unionAll(copies)
+    return cut_out(docs, spans, key_type)
