@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from causeway.llm import chunks, jaccard, mixing, oracles, packing, quality, suffixes, topk, urls, warc
+from causeway.llm import chunks, jaccard, mixing, oracles, packing, quality, suffix_tree, suffixes, topk, urls, warc
 from causeway.llm._common import new_path, table
 
 
@@ -37,6 +37,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_tree.score(docs, held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,7 +65,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_source_mixing, op4_best_fit_packing, op6_ngram_jaccard_join, op7_quality_rules, op8_exact_top_k, op9_suffix_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_source_mixing, op4_best_fit_packing, op5_suffix_tree_scoring, op6_ngram_jaccard_join, op7_quality_rules, op8_exact_top_k, op9_suffix_dedup, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
