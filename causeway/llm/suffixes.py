@@ -69,8 +69,10 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
     for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
