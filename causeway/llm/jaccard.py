@@ -36,9 +36,9 @@ from causeway.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-#: Groups of the points in the tree, and of the finer ones that pairs are checked by before their texts are fetched.
-GROUPS, FINE = 64, 512
-FULL = 65535
+#: Fewest groups of a point; there are more for larger sets, a power of two with two to four shingles in each.
+GROUPS = 64
+FULL = 255
 #: So many ids are sent to all tasks to fetch the texts of candidates (16 MB); more are joined.
 BROADCAST_ROWS = 500_000
 #: Counters of the sketch that tells rare shingles from common ones; its size is fixed.
@@ -109,29 +109,50 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     return np.clip(np.log2(np.maximum(counts.ravel() / mean, 1)), 0, 63).astype(np.uint8)
 
 
-def _counted(values: np.ndarray, owner: np.ndarray, texts: int, groups: int) -> list[bytes]:
-    """How many shingles of each text fall in each group; a point with a count beyond 16 bits is full everywhere, which
-    bounds nothing."""
-    group = (values & np.uint64(groups - 1)).astype(np.int64)
-    point = np.bincount(owner * groups + group, minlength=texts * groups).reshape(-1, groups)
-    point[point.max(axis=1, initial=0) >= FULL] = FULL
-    return [p.tobytes() for p in point.astype(np.uint16)]
+def groups_of(size: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
+    """How many groups the point of a set has: those of the band above its own, in which it may be asked for."""
+    top = (100 / percent) ** (bands(size, percent) + 2)
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(top / 4)).astype(np.int64).clip(0, 40))
 
 
-def _unpacked(column: pa.ChunkedArray | pa.Array, groups: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, groups)
+def bands(size: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
+    """Sizes in a ratio of at most percent to 100 are in one band or in neighbouring ones."""
+    return np.floor(np.log(size) / np.log(100 / percent) + 1e-9).astype(np.int64)
+
+
+def _counted(values: np.ndarray, at: np.ndarray, percent: int) -> list[bytes]:
+    """How many shingles of each text fall in each of its groups, in a byte each; a point with a larger count is full
+    everywhere, which bounds nothing."""
+    out = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        groups = int(groups_of(b - a, percent)) if b > a else 0
+        point = np.bincount((values[a:b] & np.uint64(groups - 1)).astype(np.int64), minlength=groups) if b > a else np.zeros(0, np.int64)
+        out.append((np.full(groups, FULL) if groups and point.max() >= FULL else point).astype(np.uint8).tobytes())
+    return out
+
+
+def _folded(points: list[bytes], groups: int) -> np.ndarray:
+    """Points with so many groups as a matrix; those with more are added up."""
+    out = np.empty((len(points), groups), np.uint16)
+    by_length: dict[int, list[int]] = {}
+    for i, p in enumerate(points):
+        by_length.setdefault(len(p), []).append(i)
+    for length, rows in by_length.items():
+        raw = np.frombuffer(b"".join([points[i] for i in rows]), np.uint8).reshape(len(rows), length // groups, groups)
+        out[rows] = np.where((raw == FULL).all(axis=(1, 2))[:, None], 65535, raw.sum(axis=1, dtype=np.uint16))
+    return out
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The bound on the overlap of points; full ones have none."""
+    """The bound on the overlap of points; where both are full there is none."""
     total = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    return np.where(total >= FULL * a.shape[1], np.iinfo(np.int64).max, total)
+    return np.where(total >= 65535 * a.shape[1], np.iinfo(np.int64).max, total)
 
 
 def _points(docs: DataFrame, key_type: T.DataType, common: np.ndarray, n: int, percent: int) -> DataFrame:
     """key, size, digest of the set (high, low), its points and its first shingles in the common order."""
     heat = docs.sparkSession.sparkContext.broadcast(common)
-    names = ["key", "size", "high", "low", "point", "fine", "tokens"]
+    names = ["key", "size", "high", "low", "point", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in _text.slices(batches, "text"):
@@ -141,15 +162,15 @@ def _points(docs: DataFrame, key_type: T.DataType, common: np.ndarray, n: int, p
             with np.errstate(over="ignore"):
                 high = np.array([np.add.reduce(_text.mix(values[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64)
                 low = np.array([np.add.reduce(_text.mix(values[a:b] ^ np.uint64(0x9E3779B97F4A7C15))) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64)
-            point, fine = (_counted(values, owner, len(size), g) for g in (GROUPS, FINE))
+            point = _counted(values, at, percent)
             order = np.lexsort((_text.mix(values), heat.value[(values >> np.uint64(44)).astype(np.int64)], owner))
             ranked = values[order]
             many = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
             first = [ranked[a : a + m].tobytes() for a, m in zip(at[:-1], many, strict=True)]
-            columns = [rows.column(0), pa.array(size.astype(np.int32)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array(first, pa.binary())]
+            columns = [rows.column(0), pa.array(size.astype(np.int32)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(point, pa.binary()), pa.array(first, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = [key_type, T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.BinaryType()]
+    kinds = [key_type, T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType()]
     return docs.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]))
 
 
@@ -173,16 +194,21 @@ def _block_rows(points: DataFrame, key_type: T.DataType, percent: int) -> DataFr
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and points allow a link."""
-    side = lambda c: points.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), F.col("fine").alias(f"{c}_point"))
+    side = lambda c: points.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), F.col("point").alias(f"{c}_point"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            a, b = (_unpacked(get(c), FINE) for c in ("a_point", "b_point"))
-            need = required(get("a_size").to_numpy().astype(np.int64), get("b_size").to_numpy().astype(np.int64), percent)
-            ok = pa.array(_overlap(a, b) >= need)
+            sizes = [get(c).to_numpy().astype(np.int64) for c in ("a_size", "b_size")]
+            need, groups = required(*sizes, percent), groups_of(np.minimum(*sizes), percent)
+            points, ok = [get(c).to_pylist() for c in ("a_point", "b_point")], np.zeros(batch.num_rows, bool)
+            for g in np.unique(groups):
+                at = np.flatnonzero(groups == g)
+                a, b = (_folded([p[i] for i in at], int(g)) for p in points)
+                ok[at] = _overlap(a, b) >= need[at]
+            ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([get("a").filter(ok), get("b").filter(ok)], ["a", "b"])
 
     kind = points.schema["key"].dataType
@@ -272,12 +298,16 @@ def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
     """Pairs of different components in the blocks (token, band, home, key, part, role, size, point) that the bound lets
     through. A block's rows follow one another in a partition; only the last, unfinished block of a batch is held."""
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        get = lambda c: table.column(c).to_numpy()
-        point = _unpacked(table.column("point"), GROUPS)
-        a, b = _near(get("block"), get("size").astype(np.int64), point, get("part"), get("role"), get("home"), percent)
-        keys = table.column("key").combine_chunks()
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        # All rows of a block have its band, and fold their points to as many groups as its smallest sets have.
+        band = table.column("band").to_numpy()
+        groups = groups_of((100 / percent) ** (band - 1.0), percent)
+        for g in np.unique(groups):
+            part = table.take(pa.array(np.flatnonzero(groups == g)))
+            get = lambda c, part=part: part.column(c).to_numpy()
+            a, b = _near(get("block"), get("size").astype(np.int64), _folded(part.column("point").to_pylist(), int(g)), get("part"), get("role"), get("home"), percent)
+            keys = part.column("key").combine_chunks()
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -290,11 +320,11 @@ def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
             done = int(np.searchsorted(block, block[-1]))
             held = table.slice(done)
             if done:
-                yield pairs(table.slice(0, done))
+                yield from pairs(table.slice(0, done))
         if held is not None:
-            yield pairs(held)
+            yield from pairs(held)
 
-    sorted_ = blocks.withColumn("block", F.xxhash64("token", "band")).select("block", "key", "part", "role", "home", "size", "point").repartition("block").sortWithinPartitions("block")
+    sorted_ = blocks.withColumn("block", F.xxhash64("token", "band")).select("block", "band", "key", "part", "role", "home", "size", "point").repartition("block").sortWithinPartitions("block")
     return sorted_.mapInArrow(run, T.StructType([T.StructField("a", key_type), T.StructField("b", key_type)]))
 
 
@@ -312,7 +342,7 @@ def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tup
     # A block matters if it has two documents, one of them in the smaller one's role; the smallest of these leads it.
     leaders = rows.groupBy("token").agg(F.min(F.when(F.col("role"), F.col("key"))).alias("leader"), F.count("*").alias("n")).where("n > 1 and leader is not null").drop("n")
     met = written(rows.join(leaders, "token"), "blocks")
-    lean = points.join(of_set.select("first.row"), "row", "left_semi").select("key", "size", "point", "fine")
+    lean = points.join(of_set.select("first.row"), "row", "left_semi").select("key", "size", "point")
     pairs = met.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
     near = written(_bounded(pairs, lean, percent), "pairs")
     links = written(_verified(near, docs, n, percent), "links")
@@ -321,7 +351,7 @@ def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tup
     part = F.coalesce("component", "key")
     placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", part.alias("component"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = placed.join(mixed, "token").join(lean.drop("fine"), "key").withColumn("part", F.xxhash64("component"))
+    open_ = placed.join(mixed, "token").join(lean, "key").withColumn("part", F.xxhash64("component"))
     # A pair's sizes differ by a quarter at most, so it meets in the band of the larger one.
     band = F.floor(F.ln("size") / F.ln(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
     banded = open_.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band")).drop("own")
