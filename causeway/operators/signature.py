@@ -62,10 +62,13 @@ def by_functions(path: Column, channels: int, depth: int) -> Column:
     steps = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.zip_with(F.get(path, i), F.get(path, i - 1), lambda x, y: x - y))
     zero = F.struct(*(F.array_repeat(F.lit(0.0), channels**k).alias(f"l{k}") for k in range(1, depth + 1)))
 
+    def over(values: Column, k: int) -> Column:
+        return F.transform(values, lambda x: x / F.lit(float(k)))
+
     def merge(acc: Column, step: Column) -> Column:
         exp = [step]
         for k in range(2, depth + 1):
-            exp.append(F.transform(_outer(exp[-1], step), lambda x, k=k: x / F.lit(float(k))))
+            exp.append(over(_outer(exp[-1], step), k))
         levels = []
         for k in range(1, depth + 1):
             value = _plus(acc[f"l{k}"], exp[k - 1])
