@@ -8,9 +8,9 @@ all.
 An R-tree prunes points of unlike sizes and compositions, but in so many dimensions its rectangles overlap, so the points
 are first dealt into blocks that no linked pair can miss: shingles have one order for all documents (the rarer first, by a
 count sketch of the whole table; then by hash), and two sets with a similarity of s share one among the first
-n - ceil(s n) + 1 of either. Every document is then linked in two rounds. First it meets, in each of its blocks, the
-block's smallest document; what is found linked becomes one component. Then the blocks that still hold several components
-are searched with an R-tree for pairs of different components. So a group of near copies, however large, needs a pair for
+n - ceil(s n) + 1 of either. Every document first meets, in each of its blocks, the block's smallest document, and
+then, where the block holds several components, a random one; what is found linked becomes one component. Last, the blocks
+that still hold several components are searched with an R-tree for pairs of different components. So a group of near copies, however large, needs a pair for
 each of its members, not all pairs, and no link between two components is lost. The bound decides which pairs are
 verified, by the sets themselves.
 
@@ -41,6 +41,8 @@ GROUPS = 64
 FULL = 255
 #: So many ids are sent to all tasks to fetch the texts of candidates (16 MB); more are joined.
 BROADCAST_ROWS = 500_000
+#: Rounds with random partners before components are compared with each other.
+ROUNDS = 2
 #: Counters of the sketch that tells rare shingles from common ones; its size is fixed.
 SKETCH = 1 << 20
 PIECES = 64
@@ -348,10 +350,24 @@ def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tup
     links = written(_verified(near, docs, n, percent), "links")
     found = components(links)
 
-    part = F.coalesce("component", "key")
-    placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", part.alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = placed.join(mixed, "token").join(lean, "key").withColumn("part", F.xxhash64("component"))
+    def mixed() -> DataFrame:
+        """The rows (token, key, role, component) of the blocks that hold several components."""
+        placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", F.coalesce("component", "key").alias("component"))
+        several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        return placed.join(several, "token")
+
+    # A large group of copies that are not all alike: its members meet a random one in each of their blocks.
+    for seed in range(ROUNDS):
+        rows = written(mixed(), "mixed")
+        chance = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "key", F.lit(seed)).alias("h"), "key", "component")).alias("l"))
+        pairs = rows.join(chance, "token").where("component <> l.component").select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
+        more = written(_verified(written(_bounded(pairs, lean, percent), "pairs"), docs, n, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        found = components(links)
+
+    open_ = mixed().join(lean, "key").withColumn("part", F.xxhash64("component"))
     # A pair's sizes differ by a quarter at most, so it meets in the band of the larger one.
     band = F.floor(F.ln("size") / F.ln(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
     banded = open_.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band")).drop("own")
