@@ -90,10 +90,13 @@ def batch(paths: np.ndarray, depth: int) -> np.ndarray:
     # Of level k, the running value before each segment: (n, segments, d**k).
     before, totals = [np.ones((*steps.shape[:2], 1))], []
     for k in range(1, depth + 1):
-        gained = 0.0
-        for j in range(k, 0, -1):  # Horner's rule: ((level 0 * step / k + level 1) * step / (k - 1) + ...) * step
-            gained = ((before[k - j] + gained)[..., :, None] * steps[..., None, :] / j).reshape(n, steps.shape[1], -1)
-        running = np.cumsum(gained, axis=1)
+        lead = before[0] / k  # Horner's rule: ((level 0 * step / k + level 1) * step / (k - 1) + ...) * step
+        for j in range(k, 1, -1):
+            lead = before[k - j + 1] / (j - 1) + (lead[..., :, None] * steps[..., None, :]).reshape(n, steps.shape[1], -1) / (j - 1)
+        if k == depth:  # of the top level only the sum over the segments is needed
+            totals.append((lead.transpose(0, 2, 1) @ steps).reshape(n, -1))
+            break
+        running = np.cumsum((lead[..., :, None] * steps[..., None, :]).reshape(n, steps.shape[1], -1), axis=1)
         totals.append(running[:, -1])
         before.append(np.concatenate((np.zeros((n, 1, d**k)), running[:, :-1]), axis=1))
     return np.concatenate(totals, axis=1)
