@@ -8,9 +8,9 @@ all.
 An R-tree prunes points of unlike sizes and compositions, but in so many dimensions its rectangles overlap, so the points
 are first dealt into blocks that no linked pair can miss: shingles have one order for all documents (the rarer first, by a
 count sketch of the whole table; then by hash), and two sets with a similarity of s share one among the first
-n - ceil(s n) + 1 of either. Every document first meets, in each of its blocks, the block's smallest document, and
-then, where the block holds several components, a random one; what is found linked becomes one component. Last, the blocks
-that still hold several components are searched with an R-tree for pairs of different components. So a group of near copies, however large, needs a pair for
+n - ceil(s n) + 1 of either. Every document is then linked in two rounds. First it meets, in each of its blocks, the
+block's smallest document; what is found linked becomes one component. Then the blocks that still hold several components
+are searched with an R-tree for pairs of different components. So a group of near copies, however large, needs a pair for
 each of its members, not all pairs, and no link between two components is lost. The bound decides which pairs are
 verified, by the sets themselves.
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +42,6 @@ GROUPS = 64
 FULL = 255
 #: So many ids are sent to all tasks to fetch the texts of candidates (16 MB); more are joined.
 BROADCAST_ROWS = 500_000
-#: Rounds with random partners before components are compared with each other.
-ROUNDS = 2
 #: Counters of the sketch that tells rare shingles from common ones; its size is fixed.
 SKETCH = 1 << 20
 PIECES = 64
@@ -297,8 +296,8 @@ def _near(block: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarr
 
 
 def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
-    """Pairs of different components in the blocks (token, band, home, key, part, role, size, point) that the bound lets
-    through. A block's rows follow one another in a partition; only the last, unfinished block of a batch is held."""
+    """For documents a, lists near of larger ids in other components that the bound lets through, from the blocks (token,
+    band, home, key, part, role, size, point). A block's rows follow one another in a partition; only the last, unfinished block of a batch is held."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         # All rows of a block have its band, and fold their points to as many groups as its smallest sets have.
@@ -309,7 +308,9 @@ def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
             get = lambda c, part=part: part.column(c).to_numpy()
             a, b = _near(get("block"), get("size").astype(np.int64), _folded(part.column("point").to_pylist(), int(g)), get("part"), get("role"), get("home"), percent)
             keys = part.column("key").combine_chunks()
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
+            a, b = keys.take(pa.array(a)), keys.take(pa.array(b))
+            found = pa.table({"a": pc.min_element_wise(a, b), "b": pc.max_element_wise(a, b)}).group_by("a").aggregate([("b", "distinct")])
+            yield from found.rename_columns({"b_distinct": "near"}).select(["a", "near"]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -327,7 +328,7 @@ def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
             yield from pairs(held)
 
     sorted_ = blocks.withColumn("block", F.xxhash64("token", "band")).select("block", "band", "key", "part", "role", "home", "size", "point").repartition("block").sortWithinPartitions("block")
-    return sorted_.mapInArrow(run, T.StructType([T.StructField("a", key_type), T.StructField("b", key_type)]))
+    return sorted_.mapInArrow(run, T.StructType([T.StructField("a", key_type), T.StructField("near", T.ArrayType(key_type))]))
 
 
 def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -350,28 +351,14 @@ def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tup
     links = written(_verified(near, docs, n, percent), "links")
     found = components(links)
 
-    def mixed() -> DataFrame:
-        """The rows (token, key, role, component) of the blocks that hold several components."""
-        placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", F.coalesce("component", "key").alias("component"))
-        several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        return placed.join(several, "token")
-
-    # A large group of copies that are not all alike: its members meet a random one in each of their blocks.
-    for seed in range(ROUNDS):
-        rows = written(mixed(), "mixed")
-        chance = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "key", F.lit(seed)).alias("h"), "key", "component")).alias("l"))
-        pairs = rows.join(chance, "token").where("component <> l.component").select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
-        more = written(_verified(written(_bounded(pairs, lean, percent), "pairs"), docs, n, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.unionAll(more)
-        found = components(links)
-
-    open_ = mixed().join(lean, "key").withColumn("part", F.xxhash64("component"))
+    placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", F.coalesce("component", "key").alias("component"))
+    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    rows = placed.join(several, "token").join(lean, "key").withColumn("part", F.xxhash64("component"))
     # A pair's sizes differ by a quarter at most, so it meets in the band of the larger one.
     band = F.floor(F.ln("size") / F.ln(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
-    banded = open_.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band")).drop("own")
-    across = written(_across(banded, key_type, percent).distinct(), "across")
+    banded = rows.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band")).drop("own")
+    lists = _across(banded, key_type, percent).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    across = written(lists.select("a", F.explode("near").alias("b")), "across")
     more = _verified(written(_bounded(across, lean, percent), "pairs"), docs, n, percent)
     # Copies of a set hang on its smallest id; rows that share an id hang together by that id.
     copies = full.join(of_set.where("copies > 1"), ["high", "low", "size"]).where("key <> first.key").select(F.col("key").alias("a"), F.col("first.key").alias("b"))
