@@ -17,18 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+_paths: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one that ends with the process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        path = tempfile.mkdtemp(prefix="causeway-")
-        atexit.register(shutil.rmtree, path, True)
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="causeway-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        path = _own[app]
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/causeway/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/causeway/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,11 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table of new_path() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def clear(spark: SparkSession) -> None:
+    """Delete the tables and archives written so far; results that still read them can't be computed any more."""
+    while _paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import quality, urls
+from causeway.llm import jaccard, quality, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,5 +70,22 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+def ngram_jaccard() -> str:
+    """The rows of op6."""
+    leads = ", ".join(f"lead(w, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS w{k}" for k in range(1, jaccard.SHINGLE))
+    gram = "w || ' ' || " + " || ' ' || ".join(f"w{k}" for k in range(1, jaccard.SHINGLE))
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, {gram} AS g FROM (SELECT *, {leads} FROM w)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND {jaccard.SHINGLE - 1}) WHERE g IS NOT NULL),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {jaccard.PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc)
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM d JOIN r ON r.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_warc": warc_records(), "op7_quality_rules": quality_rules(), "op8_exact_top_k": exact_top_k(), "op10_url_filters": url_filters()}
+    return {"op2_warc": warc_records(), "op6_ngram_jaccard_join": ngram_jaccard(), "op7_quality_rules": quality_rules(), "op8_exact_top_k": exact_top_k(), "op10_url_filters": url_filters()}
