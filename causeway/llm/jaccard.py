@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.llm import _text
-from causeway.llm._common import free_name, written
+from causeway.llm._common import SLICE_BYTES, free_name, written
 from causeway.llm.components import components
 
 SHINGLE = 5
@@ -226,9 +226,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index = {c: batch.schema.get_field_index(c) for c in ("a", "b", "a_text", "b_text")}
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ok = []
+            size = np.cumsum(np.add(*(pc.binary_length(batch.column(index[c])).to_numpy() for c in ("a_text", "b_text"))))
+            i = 0
+            while i < batch.num_rows:  # parts of bounded text, or one pair
+                j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, "right")))
+                part, i, ok = batch.slice(i, j - i), j, []
                 found = [sets(*_text.buffers(part.column(index[c])), n) for c in ("a_text", "b_text")]
                 (av, aa), (bv, ba) = found
                 for k in range(part.num_rows):
