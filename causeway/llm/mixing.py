@@ -143,8 +143,8 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mix itself: df's rows, each as often as the mix takes it. Rows with one id, source and text are alike."""
     # A row keeps its place in the join by id and text.
     part = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{source}`"))
-    names = [free_name(df, n) for n in ("mix_part", "mix_repeats")]
+    names = [free_name(df, n) for n in ("mix_part", "mix_repeats", "mix_key", "mix_of")]
     marked = df.withColumn(names[0], part)
-    taken = mix(df, key, text, source, part=part, **options).groupBy(F.col(key).alias("mix_key"), F.col("part").alias("mix_of")).agg(F.sum("repeats").alias(names[1])).where(F.col(names[1]) > 0)
+    taken = mix(df, key, text, source, part=part, **options).groupBy(F.col(f"`{key}`").alias(names[2]), F.col("part").alias(names[3])).agg(F.sum("repeats").alias(names[1])).where(F.col(names[1]) > 0)
     one = marked.dropDuplicates([key, names[0]])
-    return one.join(taken, one[key].eqNullSafe(taken["mix_key"]) & (one[names[0]] == taken["mix_of"])).withColumn(names[1], F.explode(F.array_repeat(F.lit(0), F.col(names[1]).cast("int")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    return one.join(taken, one[key].eqNullSafe(taken[names[2]]) & (one[names[0]] == taken[names[3]])).withColumn(names[1], F.explode(F.array_repeat(F.lit(0), F.col(names[1]).cast("int")))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -35,12 +35,12 @@ def build():
 
 
 DOCS = build()
-KIND = "doc_id long, text string, lang string, source string, n_chars long, quality string, node long, mix_part string, rest string, spans string"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, quality string, node long, mix_part string, mix_key string, mix_of string, rest string, spans string"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en", None if i % 9 == 0 else f"s{i % 4}", 0, "q", 1, "m", "r", "s") for i, t in DOCS]
+    rows = [(i, t, "en", None if i % 9 == 0 else f"s{i % 4}", 0, "q", 1, "m", "k", "o", "r", "s") for i, t in DOCS]
     return spark.createDataFrame(rows, KIND).repartition(3).cache()
 
 
