@@ -83,9 +83,9 @@ def chunk_rows(docs: DataFrame, key_type: T.DataType) -> DataFrame:
 
 
 def identified(df: DataFrame, key: str, text: str, *, rest: bool = False) -> DataFrame:
-    """key, part and text: rows with one id and different texts are parts of their own. rest: all columns, as a struct."""
+    """key, part and text: rows with one id and different texts are parts of their own. rest: all columns but text, as a struct."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    more = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("rest")] if rest else []
+    more = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("rest")] if rest else []
     return df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("part"), body.alias("text"), *more)
 
 
