@@ -1,14 +1,16 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 Tokens are lower-cased words and an end per text. The root has the smoothed frequencies of all words. Below it, contexts
-of one and two words become states if they are frequent, if the state of their suffix is there, and if their next-word
-distribution diverges from that one's: the count times the Kullback-Leibler divergence must reach a threshold for each
-word the state keeps. A state gives a kept word its discounted share, and hands what is left on to its suffix. A token is
-scored by the state of the longest suffix of its history.
+of one, two and more words become states if the state of their suffix is there and if their next-word distribution
+diverges from that one's: the count times the Kullback-Leibler divergence must reach a threshold for each word the state
+keeps, which are those that follow it LEAST_COUNT times. A state gives a kept word its discounted share, and hands what is
+left on to its suffix. A token is scored by the state of the longest suffix of its history. Depths are added until no
+context of a depth becomes a state; neither the depth nor the number of states has a bound, and LEAST_COUNT does not
+depend on the corpus.
 
-Words are counted over all training texts and stay a table of any size; words that are not frequent are priced by a join
-with it. Frequent words, contexts and entries have at least 1/ENTRIES of all tokens, so there are at most ENTRIES of each,
-and the tree can be sent to all tasks whatever the corpus.
+Word counts, states and kept words are tables of any size. Tasks hold bitmaps of fixed size that may say yes too often but
+never no too often, and a cache of the most frequent states, kept words and words. The bitmaps only save the shuffle
+of what a join would drop, and what the cache lacks is priced by joins with the tables: results depend on neither.
 
 Defined results: a null or empty text is its end alone; a null id is no hold-out; repeated rows are scored one by one and
 count each; an empty table gives an empty result; without training texts, all tokens are unknown.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,17 +30,22 @@ from pyspark.sql import types as T
 from causeway.llm import _text
 from causeway.llm._common import written
 
-#: At most so many frequent words, and so many entries of each depth.
-ENTRIES = 1 << 21
+#: At most so many words, states and kept words, each, are cached in the tasks.
+CACHE = 1 << 21
 LEAST_COUNT = 16
 DISCOUNT = 0.75
 #: Least count times divergence, in nats, for each word that a state keeps.
 DIVERGENCE = 4.0
 #: Hash that stands for the end of a text.
 END = np.uint64(0x5DEECE66D1CE4E5B)
-BITS = 21
-#: Tokens whose pairs make a bucket, about.
-BUCKET_TOKENS = 1 << 22
+#: Stands for any next word, in the counts of contexts.
+ANY = np.uint64(0x2545F4914F6CDD1D)
+STEP, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Most bits of a bitmap.
+BITMAP = 1 << 27
+#: Tokens whose entries make a bucket, about.
+BUCKET_TOKENS = 1 << 21
+ASK = "array<struct<pos:int,kind:int,depth:int,key:long,value:double>>"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,116 +89,163 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with one more word before them."""
+    return _text.mix(context * STEP + word)
+
+
+def entry(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with their next words."""
+    return _text.mix(context * NEXT + word)
+
+
+class Bitmap:
+    """Which hashes may be in a table's column."""
+
+    def __init__(self, df: DataFrame, column: str) -> None:
+        bits = max(15, min(BITMAP.bit_length() - 1, (32 * df.count()).bit_length()))
+        self.mask = (1 << bits) - 1
+        at = F.col(column).bitwiseAND(F.lit(self.mask)) + 1
+        parts = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+        self.bits = np.zeros((self.mask + 1) >> 3, np.uint8)
+        for b, bits in parts:
+            self.bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & np.uint64(self.mask)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+class Cached:
+    """The values of the most frequent rows of a table (key, n, value) by key, and whether these are all rows."""
+
+    def __init__(self, df: DataFrame, most: int) -> None:
+        level = F.floor(8 * F.log2("n")).cast("long")
+        counts = sorted(((r["level"], r["count"]) for r in df.groupBy(level.alias("level")).count().collect()), reverse=True)
+        held = np.cumsum([c for _, c in counts])
+        fit = int(np.searchsorted(held, most, "right"))
+        self.complete = fit == len(counts)
+        rows = df.where(level >= (counts[fit - 1][0] if fit else 1 << 40)).select("key", "value").toArrow()
+        key, value = (rows.column(c).to_numpy() for c in ("key", "value"))
+        key = key.view(np.uint64)
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order].astype(np.float64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, nan where there are none."""
+        if not len(self.key):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, self.value[at], np.nan)
+
+
 class Tree:
-    """The frequent words and the states of both depths, as sorted arrays."""
+    """What tasks hold of the tables. A token's log10 probability is the value of the deepest state of its history (the log
+    of all that its line of states hands on) plus that of the deepest of these states that keeps the token (the log of its
+    probability there, less the state's value), or of the root if none does."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int) -> None:
-        order = np.argsort(h)
-        self.h, self.c = h[order], c[order].astype(np.float64)
-        self.z = total + distinct + 1
+    def __init__(self, words: Cached, states: Cached, kept: Cached, maybe_state: Bitmap, maybe_kept: Bitmap, z: int) -> None:
+        self.h, self.c, self.z = words.key, words.value, z
+        self.words_cached, self.states, self.kept, self.maybe_state, self.maybe_kept = words, states, kept, maybe_state, maybe_kept
         self.root = (self.c + 1) / self.z
-        self.kept: list[tuple[np.ndarray, np.ndarray]] = []  # entry codes and shares, by depth
-        self.passed = [np.full(len(h), np.nan)]  # by context: what its state hands on; nan where there is no state
-        self.pairs = np.zeros(0, np.int64)  # codes of the two-word contexts, sorted
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the words, -1 for those that are not frequent."""
+        """Numbers of the words, -1 for those that are not cached."""
         if not len(self.h):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
         return np.where(self.h[at] == hashes, at, -1)
 
-    def pair(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Numbers of the two-word contexts, -1 for those that are none."""
-        code = np.where((before >= 0) & (last >= 0), before << BITS | last, -1)
-        if not len(self.pairs):
-            return np.full(len(code), -1)
-        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == code) & (code >= 0), at, -1)
-
-    def share(self, depth: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The discounted share of a word after a context, 0 where the state does not keep it."""
-        codes, shares = self.kept[depth]
-        code = context << BITS | word
-        if not len(codes):
-            return np.zeros(len(code))
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        return np.where((codes[at] == code) & (context >= 0) & (word >= 0), shares[at], 0.0)
-
-    def grow(self, depth: int, codes: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
-        """Add the states of a depth: counts of entries by code, and the count of every context."""
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order].astype(np.float64)
-        context, word = codes >> BITS, codes & ((1 << BITS) - 1)
-        if depth == 0:
-            below = self.root[word]
-        else:
-            last = self.pairs[context] & ((1 << BITS) - 1)
-            below = self.passed[0][last] * self.root[word] + self.share(0, last, word)
-        share = counts / total[context]
-        some = lambda x: np.bincount(context, x, minlength=len(total))
-        rest, rest_below = np.maximum(1 - some(share), 1e-12), np.maximum(1 - some(below), 1e-12)
-        gain = some(counts * np.log(share / below)) + total * rest * np.log(rest / rest_below)
-        number = np.bincount(context, minlength=len(total))
-        state = (number > 0) & (gain >= DIVERGENCE * number)
-        shares = np.maximum(counts - DISCOUNT, 0) / total[context]
-        passed = np.where(state, 1 - some(shares), np.nan)
-        keep = state[context]
-        self.kept.append((codes[keep], shares[keep]))
-        if depth == 0:
-            self.passed[0] = passed
-        else:
-            self.passed.append(passed)
-
-    def price(self, word: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of the probabilities; of words that are not frequent, without the root's part."""
-        root = np.where(word >= 0, self.root[np.maximum(word, 0)] if len(self.root) else 1.0, 1.0)
-        hand = np.where(last >= 0, self.passed[0][np.maximum(last, 0)] if len(self.passed[0]) else np.nan, np.nan)
-        has = ~np.isnan(hand)
-        p = np.where(has, np.where(has, hand, 1) * root + self.share(0, np.where(has, last, -1), word), root)
-        if len(self.passed) > 1:
-            pair = self.pair(np.where(has, before, -1), last)
-            hand = np.where(pair >= 0, self.passed[1][np.maximum(pair, 0)] if len(self.passed[1]) else np.nan, np.nan)
-            has = ~np.isnan(hand)
-            p = np.where(has, np.where(has, hand, 1) * p + self.share(1, np.where(has, pair, -1), word), p)
-        return np.log10(p)
-
-
-def _history(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token of its text and the one before that, -1 where there is none."""
-    last, before = np.full(len(word), -1), np.full(len(word), -1)
-    last[1:] = np.where(doc[1:] == doc[:-1], word[:-1], -1)
-    before[2:] = np.where(doc[2:] == doc[:-2], word[:-2], -1)
-    return last, before
-
-
-def _entries(docs: DataFrame, tree: Tree, depth: int, least: int, buckets: int) -> DataFrame:
-    """code and n of the entries (context and next word) that occur at least least times. Codes are counted in each task
-    and then dealt into buckets."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    def walk(self, word: np.ndarray, before, asks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Value and depth of the deepest cached state and kept entry of every token (0 where there is none; the root has
+        depth 0). before(at, d) has the words d places before tokens, and which tokens have one. What only the tables
+        know is added to asks: token, kind (0 state, 1 entry), depth, key."""
+        state, entered = np.zeros(len(word)), np.zeros(len(word))
+        state_depth, entry_depth = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        at, context, d = np.arange(len(word)), np.zeros(len(word), np.uint64), 0
+        while len(at):
+            d += 1
+            more, ok = before(at, d)
+            at, context = at[ok], longer(context[ok], more[ok])
+            maybe = self.maybe_state.has(context)
+            at, context = at[maybe], context[maybe]
+            for kind, table, keys, where, value, depth in ((0, self.states, context, at, state, state_depth), (1, self.kept, entry(context, word[at]), at, entered, entry_depth)):
+                if kind:
+                    some = self.maybe_kept.has(keys)
+                    keys, where = keys[some], where[some]
+                got = table.get(keys)
+                found = ~np.isnan(got)
+                value[where[found]], depth[where[found]] = got[found], d
+                if not table.complete and not found.all():
+                    asks.append((where[~found], np.full(int((~found).sum()), kind), np.full(int((~found).sum()), d), keys[~found]))
+                if not kind and table.complete:
+                    at, context = at[found], context[found]
+        return state, state_depth, entered, entry_depth
+
+    def price(self, word: np.ndarray, *history: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities by what is cached. Words and their history, the last word first, are numbers; -1 has
+        no such word. Of a word -1, without the root's part."""
+        named = lambda x: self.h[np.maximum(x, 0)] if len(self.h) else np.zeros(len(x), np.uint64)
+
+        def before(at: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+            x = history[d - 1][at] if d <= len(history) else np.full(len(at), -1)
+            return named(x), x >= 0
+
+        state, _, entered, depth = self.walk(np.where(word >= 0, named(word), ANY), before, [])
+        root = np.where(word >= 0, np.log10(self.root[np.maximum(word, 0)]) if len(self.root) else 0.0, 0.0)
+        return state + np.where(depth > 0, entered, root)
+
+
+def _before(h: np.ndarray, doc: np.ndarray):
+    """The words before tokens in their texts, for Tree.walk."""
+    first = np.searchsorted(doc, doc)
+
+    def before(at: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        return h[np.maximum(at - d, 0)], at - d >= first[at]
+
+    return before
+
+
+def _entries(docs: DataFrame, depth: int, words: Broadcast, pairs: Broadcast | None, states: list[Broadcast], least: int, buckets: int) -> DataFrame:
+    """code, context, suffix (the context without its first word), word and n of what occurs at least least times: contexts
+    of depth words with their next word, and with ANY. Contexts are left out where the suffix is no state or two words in
+    a row are too rare. Entries are counted in each task and then dealt into buckets by code."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = shared.value, [], 0
+        held, size = [], 0
+
+        def merged() -> list[np.ndarray]:
+            code, context, suffix, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            code, at, inverse = np.unique(code, return_index=True, return_inverse=True)
+            return [code, context[at], suffix[at], word[at], np.bincount(inverse, n).astype(np.int64)]
 
         def packed() -> pa.RecordBatch:
-            code, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            code, inverse = np.unique(code, return_inverse=True)
-            n = np.bincount(inverse, n).astype(np.int64)
-            bucket = (_text.mix(code.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            code, context, suffix, word, n = merged()
+            bucket = (code % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((word, context, suffix, bucket))
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             parts = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
             some = [i for i, x in enumerate(parts) if len(x)]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([code[parts[i]].tobytes() for i in some], pa.binary()), pa.array([np.minimum(n[parts[i]], 2**32 - 1).astype(np.uint32).tobytes() for i in some], pa.binary())], ["bucket", "codes", "counts"])
+            columns = [pa.array([x[parts[i]].tobytes() for i in some], pa.binary()) for x in (context, suffix, word, np.minimum(n, 2**32 - 1).astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], ["bucket", "context", "suffix", "word", "n"])
 
         for _, data, offsets in _text.slices(batches, "text"):
             h, doc = tokens(data, offsets)
-            word = known.words(h)
-            last, before = _history(word, doc)
-            context = last if depth == 0 else known.pair(before, last)
-            at = np.flatnonzero((context >= 0) & (word >= 0))
-            code, n = np.unique(context[at] << BITS | word[at], return_counts=True)
-            held.append((code, n))
+            before, known = _before(h, doc), words.value.has(h)
+            joined = None if pairs is None else np.append(False, pairs.value.has(entry(longer(np.zeros(len(h) - 1, np.uint64), h[:-1]), h[1:])))
+            at = np.flatnonzero(before(np.arange(len(h)), 1)[1])
+            at = at[known[at - 1]]
+            suffix, context = np.zeros(len(at), np.uint64), longer(np.zeros(len(at), np.uint64), h[at - 1])
+            for d in range(2, depth + 1):
+                more, ok = before(at, d)
+                ok &= joined[at - d + 1]
+                ok[ok] = states[d - 2].value.has(context[ok])
+                at, suffix = at[ok], context[ok]
+                context = longer(suffix, more[ok])
+            often = known[at] if pairs is None else joined[at]
+            every = np.concatenate((context[often], context)), np.concatenate((suffix[often], suffix)), np.concatenate((h[at[often]], np.full(len(at), ANY)))
+            code, first, n = np.unique(entry(every[0], every[2]), return_index=True, return_counts=True)
+            held.append((code, *(x[first] for x in every), n))
             size += len(code)
             if size > 1 << 21:
                 yield packed()
@@ -199,74 +254,132 @@ def _entries(docs: DataFrame, tree: Tree, depth: int, least: int, buckets: int)
             yield packed()
 
     def add(table: pa.Table) -> pa.Table:
-        code, inverse = np.unique(np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int64), return_inverse=True)
-        n = np.bincount(inverse, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)).astype(np.int64)
-        return pa.table({"code": code[n >= least], "n": n[n >= least]})
-
-    return docs.mapInArrow(send, "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(add, "code long, n long")
-
-
-def _fetched(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Columns of a table of bounded size."""
-    got = df.select(*columns).toArrow()
-    return [got.column(c).to_numpy() for c in columns]
-
-
-def learn(docs: DataFrame, *, entries: int = ENTRIES, least_count: int = LEAST_COUNT) -> tuple[Tree, DataFrame, int]:
-    """The tree of docs (text), the table of all token counts (h, c) and the number of tokens."""
+        context, suffix, word = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("context", "suffix", "word"))
+        code, at, inverse = np.unique(entry(context, word), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)).astype(np.int64)
+        ok = n >= least
+        at = at[ok]
+        return pa.table({"code": code[ok].view(np.int64), "context": context[at].view(np.int64), "suffix": suffix[at].view(np.int64), "word": word[at].view(np.int64), "n": n[ok]})
+
+    sent = docs.mapInArrow(send, "bucket int, context binary, suffix binary, word binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(add, "code long, context long, suffix long, word long, n long")
+
+
+def _grown(entries: DataFrame, below: DataFrame) -> DataFrame:
+    """The kept words of a depth's states: code, context, word, n, total, p (the probability of the word) and s (the log10 of
+    what the state and those before it hand on). below: suffix, word, p and s of the depth before."""
+    any_ = int(ANY.view(np.int64))
+    totals = entries.where(F.col("word") == any_).select("context", F.col("n").alias("total"))
+    rows = entries.where(F.col("word") != any_).join(totals, "context").join(below.select("suffix", "word", F.col("p").alias("q"), F.col("s").alias("s_below")), ["suffix", "word"])
+    rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+    share, total = F.col("n") / F.col("total"), F.first("total")
+    gain = F.sum(F.col("n") * F.log(share / F.col("q"))) + total * rest(share) * F.log(rest(share) / rest(F.col("q")))
+    kept_share = (F.col("n") - DISCOUNT) / F.col("total")
+    states = rows.groupBy("context").agg(gain.alias("gain"), F.count("*").alias("number"), (1 - F.sum(kept_share)).alias("passed"), F.first("s_below").alias("s_below"))
+    states = states.where(F.col("gain") >= DIVERGENCE * F.col("number")).select("context", "passed", (F.col("s_below") + F.log10("passed")).alias("s"))
+    return rows.join(states, "context").select("code", "context", "word", "n", "total", (kept_share + F.col("passed") * F.col("q")).alias("p"), "s")
+
+
+def learn(docs: DataFrame, *, cache: int = CACHE, least_count: int = LEAST_COUNT) -> tuple[Tree, DataFrame, int]:
+    """The tree of docs (text), the table of the values of all keys (kind, key, value; kind 0 states, 1 kept words, 2 counts
+    of tokens) and the number of tokens."""
     counts = written(_counted(docs), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(least_count, -(-total // entries))
-    h, c = _fetched(counts.where((F.col("c") >= least) | (F.col("h") == int(END.view(np.int64)))), "h", "c")
-    tree = Tree(h.view(np.uint64), c, total, distinct)
+    z = total + distinct + 1
+    often = counts.where(F.col("c") >= least_count)
+    send = docs.sparkSession.sparkContext.broadcast
+    words, pairs, maybe, depths = send(Bitmap(often, "h")), None, [], []
     buckets = max(32, -(-total // BUCKET_TOKENS))
-    code, n = _fetched(_entries(docs, tree, 0, least, buckets), "code", "n")
-    tree.grow(0, code, n, tree.c)
-    # Frequent pairs whose last word has a state are the contexts of the next depth; the text's end is no context.
-    end = tree.words(np.array([END], np.uint64))[0]
-    order = np.argsort(code)
-    code, n = code[order], n[order]
-    word = code & ((1 << BITS) - 1)
-    ok = ~np.isnan(tree.passed[0][word]) & (word != end)
-    tree.pairs = code[ok]
-    code, after = _fetched(_entries(docs, tree, 1, least, buckets), "code", "n")
-    tree.grow(1, code, after, n[ok].astype(np.float64))
-    return tree, counts, total
+    below = often.select(F.lit(0).cast("long").alias("suffix"), F.col("h").alias("word"), ((F.col("c") + 1) / F.lit(float(z))).alias("p"), F.lit(0.0).alias("s"))
+    while True:
+        found = written(_entries(docs, len(depths) + 1, words, pairs, maybe, least_count, buckets), "entries")
+        if pairs is None:
+            pairs = send(Bitmap(found, "code"))
+        depths.append(written(_grown(found, below), "kept"))
+        if depths[-1].isEmpty():
+            break
+        maybe.append(send(Bitmap(depths[-1], "context")))
+        below = depths[-1].select(F.col("context").alias("suffix"), "word", "p", "s")
+    kept = depths[0]
+    for more in depths[1:]:
+        kept = kept.unionByName(more)
+    states = kept.groupBy(F.col("context").alias("key")).agg(F.first("total").alias("n"), F.first("s").alias("value"))
+    states = written(states, "states")
+    entries = kept.select(F.col("code").alias("key"), "n", (F.log10("p") - F.col("s")).alias("value"))
+    count = counts.select(F.col("h").alias("key"), F.col("c").alias("n"), F.col("c").cast("double").alias("value"))
+    end = int(END.view(np.int64))
+    tree = Tree(Cached(count.where((F.col("n") >= least_count) | (F.col("key") == end)), cache), Cached(states, cache), Cached(entries, cache), Bitmap(states, "key"), Bitmap(entries, "key"), z)
+    values = [x.select(F.lit(kind).alias("kind"), "key", "value") for kind, x in enumerate((states, entries, count))]
+    return tree, values[0].unionByName(values[1]).unionByName(values[2]), total
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", *, held_out: Column, **options) -> DataFrame:
     """A row for each row of df: key, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     docs = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    tree, counts, total = learn(docs.where(~F.col("held_out")).select("text"), **options)
+    tree, values, total = learn(docs.where(~F.col("held_out")).select("text"), **options)
     shared = df.sparkSession.sparkContext.broadcast(tree)
-    names = ["key", "held_out", "n_tokens", "known", "base", "model", "rare", "times"]
-    kinds = [docs.schema["key"].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())]
+    names = ["key", "held_out", "n_tokens", "known", "base", "model", "rare", "times", "priced", "asks"]
+    kinds = [docs.schema["key"].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()), T._parse_datatype_string(ASK)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for rows, data, offsets in _text.slices(batches, "text"):
             h, doc = tokens(data, offsets)
-            word = known.words(h)
-            price = known.price(word, *_history(word, doc))
+            word, asks = known.words(h), []
+            state, state_depth, entered, entry_depth = known.walk(h, _before(h, doc), asks)
             per = lambda at, x=None: np.bincount(doc[at], x, minlength=rows.num_rows)
             often = (word >= 0) & (known.c[np.maximum(word, 0)] > 0) if len(known.c) else np.zeros(len(word), bool)
             base = np.where(often, np.log10(known.c[np.maximum(word, 0)] + 1) if len(known.c) else 0.0, 0.0) - np.log10(known.z)
-            price = price - np.where(word < 0, np.log10(known.z), 0.0)
-            at = np.flatnonzero(word < 0)
-            order = at[np.lexsort((h[at], doc[at]))]
+            price = state + np.where(entry_depth > 0, entered, base)
+            # Tokens with a part that is not cached are priced from the tables alone, by all the parts that are known of them.
+            kind, depth = (np.concatenate([x[i] for x in asks] or [np.zeros(0, np.int64)]) for i in (1, 2))
+            at, asked = np.concatenate([x[0] for x in asks] or [np.zeros(0, np.int64)]), np.concatenate([x[3] for x in asks] or [np.zeros(0, np.uint64)])
+            is_open = np.zeros(len(h), bool)
+            is_open[at] = True
+            some = np.flatnonzero(is_open)
+            price[some] = 0.0
+            rare = np.flatnonzero(word < 0)
+            order = rare[np.lexsort((h[rare], doc[rare]))]
             edge = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1]))) if len(order) else np.zeros(0, np.int64)
             times, owner = np.diff(np.append(edge, len(order))), doc[order[edge]]
+            by_root = np.add.reduceat((~is_open & (entry_depth == 0))[order].astype(np.int32), edge) if len(order) else np.zeros(0, np.int32)
             lists = pa.array(np.searchsorted(owner, np.arange(rows.num_rows + 1)).astype(np.int32))
+            # Asks: the open parts, the cached state and entry, and the root, by count where the word is not cached.
+            new = some[word[some] < 0]
+            parts = [
+                (at, kind, depth, asked.view(np.int64), np.full(len(at), np.nan)),
+                (some, np.zeros(len(some), np.int64), state_depth[some], None, state[some]),
+                (some, np.ones(len(some), np.int64), entry_depth[some], None, np.where(entry_depth[some] > 0, entered[some], base[some])),
+                (new, np.full(len(new), 2), np.zeros(len(new), np.int64), h[new].view(np.int64), np.full(len(new), np.nan)),
+            ]
+            pos, kind, depth, value = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 4))
+            keys = np.concatenate([np.zeros(len(p[0]), np.int64) if p[3] is None else p[3] for p in parts])
+            closed = np.concatenate([np.full(len(p[0]), p[3] is None) for p in parts])
+            sort = np.argsort(doc[pos], kind="stable")
+            ask_lists = pa.array(np.searchsorted(doc[pos][sort], np.arange(rows.num_rows + 1)).astype(np.int32))
+            fields = [pa.array(x[sort].astype(np.int32)) for x in (pos, kind, depth)] + [pa.array(keys[sort], mask=closed[sort]), pa.array(value[sort], mask=~closed[sort])]
+            ask_structs = pa.StructArray.from_arrays(fields, ["pos", "kind", "depth", "key", "value"])
             everything = np.arange(len(doc))
-            columns = [rows.column(0), rows.column(1), pa.array(per(everything)), pa.array(per(np.flatnonzero(often))), pa.array(per(everything, base)), pa.array(per(everything, price)), pa.ListArray.from_arrays(lists, pa.array(h[order[edge]].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [rows.column(0), rows.column(1), pa.array(per(everything)), pa.array(per(np.flatnonzero(often))), pa.array(per(everything, base)), pa.array(per(everything, price))]
+            columns += [pa.ListArray.from_arrays(lists, pa.array(x)) for x in (h[order[edge]].view(np.int64), times.astype(np.int32), by_root.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ask_lists, ask_structs)], names)
 
     scored = docs.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    asked = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    priced = asked.join(counts, "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("seen"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.join(priced, "row", "left").select(
+    asked = scored.select("row", F.explode(F.arrays_zip("rare", "times", "priced")).alias("x")).select("row", F.col("x.rare").alias("key"), "x.times", "x.priced")
+    log = F.log10(F.col("value") + 1)
+    priced = asked.join(values.where("kind = 2"), "key").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.col("priced") * log).alias("more_priced"), F.sum("times").alias("seen"))
+    out = scored.join(priced, "row", "left")
+    found = F.lit(0.0)
+    if not (tree.states.complete and tree.kept.complete):
+        asks = scored.select("row", F.explode("asks").alias("a")).select("row", "a.*")
+        got = asks.where("key is not null").drop("value").join(values, ["kind", "key"]).withColumn("value", F.when(F.col("kind") == 2, log - F.log10(F.lit(float(tree.z)))).otherwise(F.col("value")))
+        # A word's count goes before the 1 / z of unknown words, which has the same depth.
+        every = got.select("row", "pos", "kind", "depth", "value").unionByName(asks.where("key is null").select("row", "pos", "kind", "depth", "value"))
+        best = every.groupBy("row", "pos", (F.col("kind") > 0).alias("of_word")).agg(F.max_by("value", F.struct("depth", "kind")).alias("value"))
+        out = out.join(best.groupBy("row").agg(F.sum("value").alias("found")), "row", "left")
+        found = F.coalesce("found", F.lit(0.0))
+    return out.select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("more_priced", F.lit(0.0)) + found).alias("score"),
     )

@@ -367,3 +367,51 @@ def test_warc_reads_other_archives(spark, tmp_path):
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_suffix_tree_keeps_all_frequent_contexts(spark):
+    """Contexts of any length and number, by a threshold that neither the corpus nor the cache moves."""
+    rng = random.Random(6)
+    few = VOCABULARY[:6]
+    rows = []
+    for i in range(160):
+        w = [rng.choice(few) for _ in range(4)]
+        for _ in range(90):  # The word follows from the three before it; two say less.
+            w.append(few[zlib.crc32(" ".join(w[-3:]).encode()) % 6] if rng.random() < 0.9 else rng.choice(few))
+        rows.append((i, " ".join(w)))
+    rows.append((160, f"{few[0]} unseen {few[1]}"))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    training = [[*t.split(), None] for i, t in rows if i % 7]
+    counts = Counter(w for t in training for w in t)
+    z = sum(counts.values()) + len(counts) + 1
+    root = lambda w: (counts[w] + 1) / z
+    kept, passed, depth = {}, {}, 0
+
+    def p(history, w):
+        value = root(w)
+        for d in range(1, len(history) + 1):
+            c = tuple(history[-d:])
+            if c not in passed:
+                break
+            value = passed[c] * value + kept[c].get(w, 0)
+        return value
+
+    while depth < 1 or any(len(c) == depth for c in passed):
+        depth += 1
+        after = defaultdict(Counter)
+        for t in training:
+            for k in range(depth, len(t)):
+                after[tuple(t[k - depth : k])][t[k]] += 1
+        for c, n in after.items():
+            total, some = sum(n.values()), {w: x for w, x in n.items() if x >= 16}
+            if some and (depth == 1 or c[1:] in passed):
+                below = {w: p(c[1:], w) for w in some}
+                rest, rest_below = max(1 - sum(some.values()) / total, 1e-12), max(1 - sum(below.values()), 1e-12)
+                gain = sum(x * math.log(x / total / below[w]) for w, x in some.items()) + total * rest * math.log(rest / rest_below)
+                if gain >= 4 * len(some):
+                    kept[c], passed[c] = {w: (x - 0.75) / total for w, x in some.items()}, 1 - sum(x - 0.75 for x in some.values()) / total
+    assert max(map(len, passed)) >= 3
+    want = {i: sum(math.log10(p(t[:k], w)) for t in [[*text.split(), None]] for k, w in enumerate(t)) for i, text in rows}
+    for cache in (1 << 21, 40):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score(table, held_out=F.col("doc_id") % 7 == 0, cache=cache).collect()}
+        assert got == pytest.approx(want), cache
