@@ -4,8 +4,9 @@
 ``df.write.format("warc").mode("append").save(folder)``. Every record is a gzip member of its own whose header names
 the member's length (the ``sl`` field), so a reader inflates a record's first bytes, parses its WARC headers, and goes
 on to the next record without reading the payload if a pushed predicate on record type or headers fails. Each file is a
-partition. Archives without that field, and plain ``.warc`` files, are read too. A folder's manifest, written when all
-tasks have ended, lists its files; what lost or repeated tasks left is not in it and is never read.
+partition. Archives without that field, and plain ``.warc`` files, are read too. Every job writes a manifest of its files
+when all its tasks have ended, and a folder's manifests together list its files; what lost or repeated tasks left is in
+none and is never read. The first job in a folder without manifests lists the files that were there as well.
 
 Defined results: a null payload is empty, a null url leaves its header out, line ends in header values are escaped; a
 record with a null id has a null id when read back; repeated rows give a record each.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 #: Bytes after which a task begins another file.
 FILE_BYTES = 256 << 20
 HEAD_BYTES = 4096
@@ -42,6 +43,13 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def _manifests(fs: pafs.FileSystem, path: str) -> tuple[list[str], list[str]]:
+    """The manifests of a folder, and its files where it has none."""
+    names = [x.base_name for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))]
+    found = sorted(n for n in names if n.startswith(MANIFEST) and n.endswith(".json"))
+    return found, [] if found else [n for n in names if n.endswith((".warc", ".warc.gz"))]
+
+
 def _escaped(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -169,12 +177,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[_File]:
         fs, path = _file_system(self.path)
-        if fs.get_file_info(f"{path}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
-                names = json.loads(f.read())
-        else:
-            names = [x.base_name for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith((".warc", ".warc.gz"))]
-        return [_File(x) for x in sorted(names)] or [_File("")]
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        manifests, names = _manifests(fs, path)
+        for manifest in manifests:
+            with fs.open_input_stream(f"{path}/{manifest}") as f:
+                names += json.loads(f.read())
+        return [_File(x) for x in sorted(set(names))] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         if partition.value:
@@ -189,8 +198,11 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.file_bytes = options["path"], int(options.get("file_bytes", FILE_BYTES))
+        # Taken before the tasks begin: what an append must keep, and what an overwrite replaces.
+        manifests, files = _manifests(*_file_system(self.path))
+        self.replaced, self.present = (manifests, []) if overwrite else ([], files)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, path = _file_system(self.path)
@@ -214,8 +226,10 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         fs, path = _file_system(self.path)
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/{MANIFEST}") as f:
-            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        with fs.open_output_stream(f"{path}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps([*self.present, *(n for m in messages if m for n in m.names)]).encode())
+        for name in self.replaced:
+            fs.delete_file(f"{path}/{name}")
 
     def abort(self, messages: list[_Written | None]) -> None:
         fs, path = _file_system(self.path)
@@ -237,7 +251,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

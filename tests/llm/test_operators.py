@@ -415,3 +415,22 @@ def test_suffix_tree_keeps_all_frequent_contexts(spark):
     for cache in (1 << 21, 40):
         got = {r["doc_id"]: r["score"] for r in suffix_tree.score(table, held_out=F.col("doc_id") % 7 == 0, cache=cache).collect()}
         assert got == pytest.approx(want), cache
+
+
+def test_warc_appends_keep_earlier_records(spark, tmp_path):
+    table = lambda i: warc.archive_rows(spark.createDataFrame([(i, f"http://{i}", "x")], "page_id long, url string, html string"), "page_id", "url", "html")
+    ids = lambda path: sorted(r["record_id"] for r in warc.read_archive(spark, path).collect())
+    name = lambda *i: [f"<urn:page:{k}>" for k in i]
+    path = str(tmp_path / "own")
+    for i in (1, 2, 3):
+        warc.write_archive(table(i), path)
+    (tmp_path / "own" / "lost.warc.gz").write_bytes(b"left by a lost task")
+    assert ids(path) == name(1, 2, 3)
+    table(4).select(*warc.WRITE_COLUMNS).write.format("warc").mode("overwrite").save(path)
+    assert ids(path) == name(4)
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "plain.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:0>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")
+    for i in (1, 2):
+        warc.write_archive(table(i), str(other))
+    assert ids(str(other)) == name(0, 1, 2)
