@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from causeway.llm import _text
 from causeway.llm._common import free_name
 
-#: Most percent of the characters in words that duplicated n-grams of so many words may cover.
-NGRAM_LIMITS = {5: 50, 6: 49, 7: 48, 8: 47, 9: 46, 10: 45}
+#: Most percent of the characters in words that duplicated n-grams of so many words may cover; the usual limits of this rule.
+NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Most percent of the characters in words that may stand in lines equal to an earlier line.
 LINE_LIMIT = 30
 #: Most symbols in a hundred words.

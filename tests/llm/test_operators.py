@@ -434,3 +434,14 @@ def test_warc_appends_keep_earlier_records(spark, tmp_path):
     for i in (1, 2):
         warc.write_archive(table(i), str(other))
     assert ids(str(other)) == name(0, 1, 2)
+
+
+def test_ngram_limits_reject_by_themselves(spark):
+    """One long passage twice in a text that no other rule rejects."""
+    word = (f"w{i}x" for i in itertools.count())
+    fresh = lambda n: " ".join(itertools.islice(word, n))
+    passage = fresh(20)
+    rows = [(0, f"{fresh(80)} {passage} {fresh(80)} {passage}"), (1, f"{fresh(200)} {passage} {fresh(200)} {passage}"), (2, fresh(200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in quality.keep(df).collect()} == {1, 2}
+    assert {r["doc_id"] for r in quality.keep(df, ngram_limits={}).collect()} == {0, 1, 2}
