@@ -39,6 +39,27 @@ def _hash_tokens(lists: pd.Series) -> pd.Series:
     return pd.Series(list((out / np.maximum(np.linalg.norm(out, axis=1), 1)[:, None]).astype(np.float32)))
 
 
+def hash_text_md5(text: Column) -> Column:
+    """The normalised vector of a text, by MD5 digests, in doubles."""
+    return _hash_tokens_md5(tokens(F.coalesce(text, F.lit(""))))
+
+
+@lru_cache(maxsize=1 << 16)
+def _md5_bucket_and_sign(token: str) -> tuple[int, float]:
+    h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    return h % BUCKETS, 1.0 if h >> 31 else -1.0
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _hash_tokens_md5(lists: pd.Series) -> pd.Series:
+    out = np.zeros((len(lists), BUCKETS))
+    for row, words in zip(out, lists, strict=True):
+        for word in words:
+            bucket, sign = _md5_bucket_and_sign(word)
+            row[bucket] += sign
+    return pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1), 1)[:, None]))
+
+
 def md5_bucket_and_sign(token: Column) -> tuple[Column, Column]:
     """The same with the first 32 bits of an MD5 digest, in SQL functions only."""
     h = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long")

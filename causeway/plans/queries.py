@@ -130,11 +130,25 @@ def text_hash_blake2b(spark, sf):
 
 @query
 def news_panel(spark, sf):
-    """Per session: mean hashed text of the documents (by MD5), log count, and mean share of the length limit."""
+    """Per session: log count, and mean share of the length limit. news_panel_features has the mean hashed text too."""
+    news = _news(spark, sf)
+    return news.groupBy("idx", "session").agg(r6(F.log1p(F.count("*"))).alias("log_n"), r6(F.avg(F.least(F.length("text"), F.lit(text.CHARS)) / text.CHARS)).alias("mean_length"))
+
+
+@query
+def news_panel_features(spark, sf):
+    """All features of the news panel, a row for each session and feature k: 0 to 31 are the mean hashed text of the
+    documents (by MD5), 32 the log count and 33 the mean share of the length limit."""
+    vectors = _news(spark, sf).select("idx", "session", text.hash_text_md5(F.col("text")).alias("vector"))
+    means = facts.vector_mean(vectors, ["idx", "session"], "vector").select("idx", "session", F.posexplode("mean").alias("k", "value"))
+    rest = news_panel(spark, sf).select("idx", "session", F.posexplode(F.array("log_n", "mean_length")).alias("k", "value"))
+    return means.select("idx", "session", "k", r6("value").alias("value")).unionByName(rest.withColumn("k", F.col("k") + text.BUCKETS))
+
+
+def _news(spark, sf) -> DataFrame:
     calendar = series_a(spark, sf).select("session", "idx")
     dated = table(spark, sf, "documents").select("doc_id", "text", F.date_add(F.lit("1998-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("event_date")).where(F.length("text") > 0)
-    news = alignment.next_session_by_calendar(dated, calendar).where("idx > 0")
-    return news.groupBy("idx", "session").agg(r6(F.log1p(F.count("*"))).alias("log_n"), r6(F.avg(F.least(F.length("text"), F.lit(text.CHARS)) / text.CHARS)).alias("mean_length"))
+    return alignment.next_session_by_calendar(dated, calendar).where("idx > 0")
 
 
 @query

@@ -133,6 +133,13 @@ SELECT idx, session, {r6('avg(v)')} AS mean_fact, {r6('CAST(count(v) AS DOUBLE)
         "text_hash_md5": f"WITH t AS (SELECT lang, unnest({tokens}) AS token FROM documents), h AS (SELECT lang, {digest} AS h FROM t) SELECT lang, CAST(h % 32 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS BIGINT) AS value, count(*) AS tokens FROM h GROUP BY 1, 2",
         "news_panel": f"""WITH {A}, d AS (SELECT text, CAST(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS event_date FROM documents WHERE length(text) > 0)
 SELECT idx, session, {r6('ln(1 + count(*))')} AS log_n, {r6('avg(least(length(text), 5000) / CAST(5000 AS DOUBLE))')} AS mean_length FROM d ASOF JOIN a ON d.event_date < a.session WHERE idx > 0 GROUP BY 1, 2""",
+        "news_panel_features": f"""WITH {A}, d AS (SELECT row_number() OVER () AS r, text, CAST(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS event_date FROM documents WHERE length(text) > 0),
+n AS (SELECT r, text, idx, session FROM d ASOF JOIN a ON d.event_date < a.session WHERE idx > 0), t AS (SELECT r, {digest} AS h FROM (SELECT r, unnest({tokens}) AS token FROM n)),
+v AS (SELECT r, CAST(h % 32 AS INTEGER) AS k, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM t GROUP BY 1, 2), u AS (SELECT r, greatest(sqrt(sum(x * x)), 1) AS norm FROM v GROUP BY r),
+p AS (SELECT idx, k, sum(x / norm) AS s FROM v JOIN u USING (r) JOIN n USING (r) GROUP BY 1, 2),
+c AS (SELECT idx, session, count(*) AS docs, avg(least(length(text), 5000) / CAST(5000 AS DOUBLE)) AS mean_length FROM n GROUP BY 1, 2)
+SELECT c.idx, session, CAST(b.k AS INTEGER) AS k, {r6('coalesce(s, 0) / docs')} AS value FROM c CROSS JOIN range(32) b(k) LEFT JOIN p ON p.idx = c.idx AND p.k = b.k
+UNION ALL SELECT idx, session, 32, {r6('ln(1 + docs)')} FROM c UNION ALL SELECT idx, session, 33, {r6('mean_length')} FROM c""",
         "sample_windows": f"""WITH {A}, w AS (SELECT i.idx AS issue, a.session, a.close, a.idx - i.idx + {W - 1} AS pos FROM a i JOIN a ON a.idx BETWEEN i.idx - {W - 1} AND i.idx WHERE i.idx >= {W - 1})
 SELECT issue, count(*) AS n, min(session) AS first_session, max(session) AS last_session, {r6('ln(arg_max(close, pos) / arg_min(close, pos))')} AS anchored_last, {r6(f'sum(ln(close)) - {W} * ln(arg_min(close, pos))', 5)} AS anchored_sum FROM w GROUP BY issue""",
         **{f"signature_depth{d}": signature(d) for d in (1, 2, 3)},

@@ -115,3 +115,18 @@ def test_online_scores_keep_state(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["idx"]: r["probability"] for r in spark.table("online").collect()}
     assert got[0] == 0.5 and got[199] > 0.6 and got[198] < 0.4
+
+
+def test_news_panel_has_all_features(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from causeway.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in registry.queries()["news_panel_features"](spark, folder).collect())
+    db = duckdb.connect()
+    for name in ("documents", "lineitem"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = sorted(db.execute(registry.oracle_sql()["news_panel_features"]).fetchall())
+    assert [r[:3] for r in got] == [r[:3] for r in want] and {r[2] for r in got} == set(range(34))
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
+    assert any(r[3] for r in got if r[2] < 32)
