@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from causeway.llm._common import written
 
@@ -46,14 +48,40 @@ END_OF_FAST = 0x130
 OTHER = re.compile(f"[^\\x00-\\x1b\\x20-{chr(END_OF_FAST - 1)}]")
 #: The words of the tokenizer's own pattern for such texts: the same matches, with classes that re can look up.
 WORDS = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_class('L')}{_class('N')}]+")
+#: The printable characters that byte-level models have for bytes; the other bytes follow from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = [chr(b) if b in PRINTABLE else chr(0x100 + sum(x not in PRINTABLE for x in range(b))) for b in range(256)]
 #: The pattern that WORDS stands for; another tokenizer takes the slow way throughout.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+class _Ids(dict):
+    """Ids of strings without white space, put together from their words. What was not met for a while is forgotten."""
+
+    def __init__(self, model: BPE) -> None:
+        super().__init__()
+        self.model, self.older = model, {}
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.older.get(token)
+        if ids is None:
+            words = WORDS.findall(token)
+            if len(words) == 1 and words[0] == token:
+                found = self.model.tokenize(token if token.isascii() and token.isprintable() else "".join([BYTE_CHARS[b] for b in token.encode()]))
+                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            else:
+                ids = b"".join([self[w] for w in words])
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[token] = ids
+        return ids
+
+
 class CachedTokenizer:
-    """Ids of a word-level BPE tokenizer. Its merges never cross the words of its own pre-tokenizer, so the ids of a
-    word are kept and texts are put together from them; texts that its normalizer may change otherwise than by lower()
-    are encoded whole."""
+    """Ids of a word-level BPE tokenizer. Its merges never cross the words of its own pre-tokenizer, so the ids of what
+    stands between white space are kept and texts are put together from them; texts that its normalizer may change
+    otherwise than by lower() are encoded whole."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,23 +90,13 @@ class CachedTokenizer:
         steps = spec["pre_tokenizer"].get("pretokenizers") or [{}]
         self.fast = steps[0].get("pattern", {}).get("Regex") == PATTERN and spec["model"].get("end_of_word_suffix") is not None
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.known) >= CACHE:
-            self.older, self.known = self.known, {}
-        self.known[word] = ids
-        return ids
+        self.ids = _Ids(self.tokenizer.model)
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
+        """The ids as unsigned 32-bit little-endian numbers."""
         if not self.fast or OTHER.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        word = self._word
-        return np.frombuffer(b"".join([self.known.get(w) or word(w) for w in WORDS.findall(text.lower())]), dtype="<u4")
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.ids.__getitem__, text.lower().split()))
 
 
 @lru_cache(maxsize=2)
@@ -91,17 +109,17 @@ def pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(tokenizer_path).encode, np.array([end_id], "<u4")
+        encode, end, step = tokenizer(tokenizer_path).encode, np.array([end_id], "<u4").tobytes(), 4 * length
         for batch in batches:
-            at, rows = [], []
-            for i, t in enumerate(batch.column(1)):
-                ids = np.concatenate((encode(t.as_py() or ""), end))
-                for k, start in enumerate(range(0, len(ids), length)):
-                    part = ids[start : start + length]
-                    at.append(i)
-                    rows.append((k, start, len(part), zlib.crc32(part.tobytes())))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["key", "piece", "start", "length", "ids_crc32"])
+            encoded = [encode(t or "") + end for t in batch.column(1).to_pylist()]
+            size = np.array([len(x) // 4 for x in encoded], np.int64)
+            parts = -(-size // length)
+            at = np.repeat(np.arange(len(size)), parts)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * length
+            sums = [zlib.crc32(x if len(x) <= step else x[i : i + step]) for x in encoded for i in range(0, len(x), step)]
+            columns = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(np.minimum(size[at] - start, length)), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], ["key", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)["key"]
     return docs.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long")
