@@ -4,9 +4,10 @@ Tokens are lower-cased words and an end per text. The root has the smoothed freq
 of one, two and more words become states if the state of their suffix is there and if their next-word distribution
 diverges from that one's: the count times the Kullback-Leibler divergence must reach a threshold for each word the state
 keeps, which are those that follow it LEAST_COUNT times. A state gives a kept word its discounted share, and hands what is
-left on to its suffix. A token is scored by the state of the longest suffix of its history. Depths are added until no
-context of a depth becomes a state; neither the depth nor the number of states has a bound, and LEAST_COUNT does not
-depend on the corpus.
+left on to its suffix. A token is scored by the state of the longest suffix of its history. The model's memory is a
+parameter, DEPTH: no context has more words. The number of states has no bound, and neither LEAST_COUNT nor DEPTH
+depends on the corpus. The texts are read once for the words, once for contexts of one word and once for those of two;
+from these states, all longer contexts are counted in one more pass.
 
 Word counts, states and kept words are tables of any size. Tasks hold bitmaps of fixed size that may say yes too often but
 never no too often, and a cache of the most frequent states, kept words and words. The bitmaps only save the shuffle
@@ -33,6 +34,8 @@ from causeway.llm._common import written
 #: At most so many words, states and kept words, each, are cached in the tasks.
 CACHE = 1 << 21
 LEAST_COUNT = 16
+#: Most words of a context.
+DEPTH = 6
 DISCOUNT = 0.75
 #: Least count times divergence, in nats, for each word that a state keeps.
 DIVERGENCE = 4.0
@@ -206,28 +209,26 @@ def _before(h: np.ndarray, doc: np.ndarray):
     return before
 
 
-def _entries(docs: DataFrame, depth: int, words: Broadcast, pairs: Broadcast | None, states: list[Broadcast], least: int, buckets: int) -> DataFrame:
-    """code, context, suffix (the context without its first word), word and n of what occurs at least least times: contexts
-    of depth words with their next word, and with ANY. Contexts are left out where the suffix is no state or two words in
-    a row are too rare. Entries are counted in each task and then dealt into buckets by code."""
+def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, pairs: Broadcast | None, states: list[Broadcast], least: int, buckets: int) -> DataFrame:
+    """depth, code, context, suffix (the context without its first word), word and n of what occurs at least least times:
+    contexts of first to last words with their next word, and with ANY. Contexts are left out where a suffix whose depth
+    has been settled (states) is no state or two words in a row are too rare. Entries are counted in each task and then
+    dealt into buckets by code."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def merged() -> list[np.ndarray]:
-            code, context, suffix, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            code, at, inverse = np.unique(code, return_index=True, return_inverse=True)
-            return [code, context[at], suffix[at], word[at], np.bincount(inverse, n).astype(np.int64)]
-
         def packed() -> pa.RecordBatch:
-            code, context, suffix, word, n = merged()
-            bucket = (code % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((word, context, suffix, bucket))
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            parts = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            some = [i for i, x in enumerate(parts) if len(x)]
-            columns = [pa.array([x[parts[i]].tobytes() for i in some], pa.binary()) for x in (context, suffix, word, np.minimum(n, 2**32 - 1).astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], ["bucket", "context", "suffix", "word", "n"])
+            code, depth, context, suffix, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            code, at, inverse = np.unique(code, return_index=True, return_inverse=True)
+            n = np.minimum(np.bincount(inverse, n), 2**32 - 1).astype(np.uint32)
+            group = (code % np.uint64(buckets)).astype(np.int64) * (last + 1) + depth[at]
+            order = np.lexsort((word[at], context[at], suffix[at], group))
+            edge = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+            parts = np.split(order, edge[1:])
+            own = group[order[edge]]
+            columns = [pa.array([x[i].tobytes() for i in parts], pa.binary()) for x in (context[at], suffix[at], word[at], n)]
+            return pa.RecordBatch.from_arrays([pa.array((own // (last + 1)).astype(np.int32)), pa.array((own % (last + 1)).astype(np.int32)), *columns], ["bucket", "depth", "context", "suffix", "word", "n"])
 
         for _, data, offsets in _text.slices(batches, "text"):
             h, doc = tokens(data, offsets)
@@ -236,33 +237,37 @@ def _entries(docs: DataFrame, depth: int, words: Broadcast, pairs: Broadcast | N
             at = np.flatnonzero(before(np.arange(len(h)), 1)[1])
             at = at[known[at - 1]]
             suffix, context = np.zeros(len(at), np.uint64), longer(np.zeros(len(at), np.uint64), h[at - 1])
-            for d in range(2, depth + 1):
-                more, ok = before(at, d)
-                ok &= joined[at - d + 1]
-                ok[ok] = states[d - 2].value.has(context[ok])
-                at, suffix = at[ok], context[ok]
-                context = longer(suffix, more[ok])
-            often = known[at] if pairs is None else joined[at]
-            every = np.concatenate((context[often], context)), np.concatenate((suffix[often], suffix)), np.concatenate((h[at[often]], np.full(len(at), ANY)))
-            code, first, n = np.unique(entry(every[0], every[2]), return_index=True, return_counts=True)
-            held.append((code, *(x[first] for x in every), n))
-            size += len(code)
+            for d in range(1, last + 1):
+                if d > 1:
+                    more, ok = before(at, d)
+                    ok &= joined[at - d + 1]
+                    if d - 2 < len(states):
+                        ok[ok] = states[d - 2].value.has(context[ok])
+                    at, suffix = at[ok], context[ok]
+                    context = longer(suffix, more[ok])
+                if d < first or not len(at):
+                    continue
+                often = known[at] if pairs is None else joined[at]
+                every = np.concatenate((context[often], context)), np.concatenate((suffix[often], suffix)), np.concatenate((h[at[often]], np.full(len(at), ANY)))
+                code, place, n = np.unique(entry(every[0], every[2]), return_index=True, return_counts=True)
+                held.append((code, np.full(len(code), d), *(x[place] for x in every), n))
+                size += len(code)
             if size > 1 << 21:
                 yield packed()
                 held, size = [], 0
         if held:
             yield packed()
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(key: tuple[pa.Scalar, pa.Scalar], table: pa.Table) -> pa.Table:
         context, suffix, word = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("context", "suffix", "word"))
         code, at, inverse = np.unique(entry(context, word), return_index=True, return_inverse=True)
         n = np.bincount(inverse, np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)).astype(np.int64)
         ok = n >= least
         at = at[ok]
-        return pa.table({"code": code[ok].view(np.int64), "context": context[at].view(np.int64), "suffix": suffix[at].view(np.int64), "word": word[at].view(np.int64), "n": n[ok]})
+        return pa.table({"depth": pa.array(np.full(len(at), key[1].as_py(), np.int32)), "code": code[ok].view(np.int64), "context": context[at].view(np.int64), "suffix": suffix[at].view(np.int64), "word": word[at].view(np.int64), "n": n[ok]})
 
-    sent = docs.mapInArrow(send, "bucket int, context binary, suffix binary, word binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(add, "code long, context long, suffix long, word long, n long")
+    sent = docs.mapInArrow(send, "bucket int, depth int, context binary, suffix binary, word binary, n binary")
+    return sent.groupBy("bucket", "depth").applyInArrow(add, "depth int, code long, context long, suffix long, word long, n long")
 
 
 def _grown(entries: DataFrame, below: DataFrame) -> DataFrame:
@@ -280,7 +285,7 @@ def _grown(entries: DataFrame, below: DataFrame) -> DataFrame:
     return rows.join(states, "context").select("code", "context", "word", "n", "total", (kept_share + F.col("passed") * F.col("q")).alias("p"), "s")
 
 
-def learn(docs: DataFrame, *, cache: int = CACHE, least_count: int = LEAST_COUNT) -> tuple[Tree, DataFrame, int]:
+def learn(docs: DataFrame, *, cache: int = CACHE, least_count: int = LEAST_COUNT, depth: int = DEPTH) -> tuple[Tree, DataFrame, int]:
     """The tree of docs (text), the table of the values of all keys (kind, key, value; kind 0 states, 1 kept words, 2 counts
     of tokens) and the number of tokens."""
     counts = written(_counted(docs), "counts")
@@ -291,14 +296,17 @@ def learn(docs: DataFrame, *, cache: int = CACHE, least_count: int = LEAST_COUNT
     words, pairs, maybe, depths = send(Bitmap(often, "h")), None, [], []
     buckets = max(32, -(-total // BUCKET_TOKENS))
     below = often.select(F.lit(0).cast("long").alias("suffix"), F.col("h").alias("word"), ((F.col("c") + 1) / F.lit(float(z))).alias("p"), F.lit(0.0).alias("s"))
-    while True:
-        found = written(_entries(docs, len(depths) + 1, words, pairs, maybe, least_count, buckets), "entries")
+    found = None
+    for d in range(1, depth + 1):
+        if d <= 3:
+            found = written(_entries(docs, d, depth if d == 3 else d, words, pairs, maybe, least_count, buckets), "entries")
         if pairs is None:
             pairs = send(Bitmap(found, "code"))
-        depths.append(written(_grown(found, below), "kept"))
+        depths.append(written(_grown(found.where(F.col("depth") == d).drop("depth"), below), "kept"))
         if depths[-1].isEmpty():
             break
-        maybe.append(send(Bitmap(depths[-1], "context")))
+        if d < 3:
+            maybe.append(send(Bitmap(depths[-1], "context")))
         below = depths[-1].select(F.col("context").alias("suffix"), "word", "p", "s")
     kept = depths[0]
     for more in depths[1:]:

@@ -40,6 +40,8 @@ LENGTH = 50
 GRAM = 20
 #: Bytes of text whose samples make a bucket, about.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text in which a task settles by itself what is equal.
+SEND_BYTES = 2 << 20
 #: Contexts that are sorted at a time in a bucket.
 PART = 1 << 15
 U = np.uint64
@@ -97,7 +99,7 @@ def _shared(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, gr
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("parts", T.ArrayType(T.LongType())), T.StructField("counts", T.BinaryType()), T.StructField("tags", T.BinaryType())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in _text.slices(batches, "text"):
+        for rows, data, offsets in _text.slices(batches, "text", SEND_BYTES):
             h, doc, _, _ = samples(data, offsets, length, gram)
             part = rows.column(1).to_numpy()
             order = np.lexsort((_ranks(rows.column(0)), part))
@@ -164,7 +166,7 @@ def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, g
     schema = T.StructType([T.StructField(n, k) for n, k in fields + [(c, T.BinaryType()) for c in ("counts", "tags", "first", "size", "bytes")]])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in _text.slices(batches, "text"):
+        for rows, data, offsets in _text.slices(batches, "text", SEND_BYTES):
             lists = rows.column(3).to_pylist()
             asked = [np.frombuffer(b"".join(x), np.uint32).astype(U) | U(i << 32) for i, x in enumerate(lists) if x]
             if not asked:
