@@ -47,7 +47,9 @@ STEP, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Most bits of a bitmap.
 BITMAP = 1 << 27
 #: Tokens whose entries make a bucket, about.
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
+#: Entries that a task holds before it sends them.
+HELD = 1 << 20
 ASK = "array<struct<pos:int,kind:int,depth:int,key:long,value:double>>"
 
 
@@ -218,16 +220,18 @@ def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, pairs: Br
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def packed() -> pa.RecordBatch:
-            code, depth, context, suffix, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            code, at, inverse = np.unique(code, return_index=True, return_inverse=True)
-            n = np.minimum(np.bincount(inverse, n), 2**32 - 1).astype(np.uint32)
-            group = (code % np.uint64(buckets)).astype(np.int64) * (last + 1) + depth[at]
-            order = np.lexsort((word[at], context[at], suffix[at], group))
+        def merged() -> list[np.ndarray]:
+            depth, context, suffix, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, inverse = np.unique(entry(context, word), return_index=True, return_inverse=True)
+            return [depth[at], context[at], suffix[at], word[at], np.minimum(np.bincount(inverse, n), 2**32 - 1).astype(np.uint32)]
+
+        def packed(depth: np.ndarray, context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            group = (entry(context, word) % np.uint64(buckets)).astype(np.int64) * (last + 1) + depth
+            order = np.lexsort((word, context, suffix, group))
             edge = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
             parts = np.split(order, edge[1:])
             own = group[order[edge]]
-            columns = [pa.array([x[i].tobytes() for i in parts], pa.binary()) for x in (context[at], suffix[at], word[at], n)]
+            columns = [pa.array([x[i].tobytes() for i in parts], pa.binary()) for x in (context, suffix, word, n)]
             return pa.RecordBatch.from_arrays([pa.array((own // (last + 1)).astype(np.int32)), pa.array((own % (last + 1)).astype(np.int32)), *columns], ["bucket", "depth", "context", "suffix", "word", "n"])
 
         for _, data, offsets in _text.slices(batches, "text"):
@@ -250,13 +254,16 @@ def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, pairs: Br
                 often = known[at] if pairs is None else joined[at]
                 every = np.concatenate((context[often], context)), np.concatenate((suffix[often], suffix)), np.concatenate((h[at[often]], np.full(len(at), ANY)))
                 code, place, n = np.unique(entry(every[0], every[2]), return_index=True, return_counts=True)
-                held.append((code, np.full(len(code), d), *(x[place] for x in every), n))
+                held.append((np.full(len(code), d, np.uint8), *(x[place] for x in every), n.astype(np.uint32)))
                 size += len(code)
-            if size > 1 << 21:
-                yield packed()
-                held, size = [], 0
+            if size > HELD:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield packed(*held[0])
+                    held, size = [], 0
         if held:
-            yield packed()
+            yield packed(*merged())
 
     def add(key: tuple[pa.Scalar, pa.Scalar], table: pa.Table) -> pa.Table:
         context, suffix, word = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("context", "suffix", "word"))
