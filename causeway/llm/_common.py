@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task turns into numpy arrays at a time.
 SLICE_BYTES = 1 << 19
@@ -46,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def met(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows joined with groups, which has a row for each value of the columns on (without nulls) and how many rows have it.
+    Both are tables. Values with a thousandth of these rows or more are at most a thousand; they are broadcast, so that no
+    value, however frequent, lands in one task."""
+    least = (groups.agg(F.sum(count)).first()[0] or 0) / 1000
+    frequent = F.broadcast(groups.where(F.col(count) >= least))
+    rest = rows.join(F.broadcast(groups.where(F.col(count) >= least).select(*on)), on, "left_anti")
+    return rows.join(frequent, on).unionByName(rest.join(groups.where(F.col(count) < least), on))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables and archives written so far; results that still read them can't be computed any more."""
     while _paths:

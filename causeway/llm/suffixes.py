@@ -1,21 +1,25 @@
-"""Suffix-array deduplication of substrings, one bucket of sampled suffixes at a time.
+"""Suffix-array deduplication of substrings: one bucket of suffixes at a time, long ties by ranks of a difference cover.
 
-A byte goes if it lies in a string of 50 bytes that also starts in a document with a smaller id. Sorting all suffixes of
-the corpus would shuffle many times its size, so only suffixes at the positions of a cover are sorted: of the 20-byte
-strings that start in a 50-byte window, the last one with the smallest hash. Like a difference cover, but chosen by
-content, it gives two equal windows a sampled position at the same shift, and so the rank of a window is settled within
-the bucket of its sampled suffixes.
+A byte goes if it lies in a string of 50 bytes that also starts in a document with a smaller id. So the suffixes of all
+documents are put in order as far as their first 50 bytes tell, and a run of neighbours that agree in these (a common
+prefix of 50 bytes or more) gives each of its members the run's smallest id.
 
-1. The samples' 20-byte prefixes are dealt into buckets by hash; those found in one document only are dropped, since no
-   window around them can repeat.
-2. Around every sample that is left goes its context, the windows that it settles, to its bucket. A bucket is sorted part
-   by part: equal contexts become one with the smallest id that has it, then the windows of the different contexts are
-   sorted, and ties give every window the smallest id it starts in.
-3. The windows with a smaller id than their document's are cut out.
+1. Suffixes are dealt into buckets that no two equal windows of 50 bytes can miss each other in. A bucket by the first bytes
+   of each suffix would need a row for every byte of text; instead the suffixes of a neighbourhood travel together, in the
+   bucket of an anchor: of the 20-byte strings that start in a window, the last one with the smallest hash, which equal
+   windows have at the same place. Anchors that are found in one document only are dropped first, since no window around
+   them can repeat. Around every anchor that is left goes its context, the text of the windows that it is the anchor of.
+2. A bucket is sorted part by part (whole anchors). Equal contexts become one, with the smallest id that has it. In the
+   contexts of a part, the positions of a difference cover modulo 31 are ranked first, by 48 bytes each. Then all suffixes
+   are sorted by their first 32 bytes, and ties are settled by the cover: for any two positions there is a shift of 2 to 32
+   bytes that takes both to ranked ones. Memory is bounded by the part, and no suffix is compared beyond these bytes.
+3. Neighbours in that order are compared on their 50 bytes; the windows with a smaller id than their document's are cut out.
 
-Buckets have a bounded share of the text, so a task's memory does not grow with the corpus. What a task finds equal in its
-own rows it settles by itself and sends once, so a passage that a large part of all documents shares arrives once for
-each slice of documents.
+Hashes only choose where bytes meet: what counts as equal has been compared byte by byte, but for whole texts, which are
+copies if their MD5, a second hash and their lengths agree.
+
+What a task finds equal in its own rows it settles by itself and sends once, so a passage that a large part of all documents
+shares arrives once for each slice of documents. Those arrive in one part.
 
 Defined results: a null or empty text has 0 bytes and nothing is removed; rows with one id do not remove each other's
 bytes; a null id is smaller than all others; an empty table gives an empty result.
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.llm import _text
-from causeway.llm._common import written
+from causeway.llm._common import met, written
 from causeway.llm.chunks import cut_out, identified, with_text
 
 LENGTH = 50
@@ -44,30 +48,125 @@ BUCKET_BYTES = 16 << 20
 SEND_BYTES = 2 << 20
 #: Contexts that are sorted at a time in a bucket.
 PART = 1 << 15
+#: Windows that are hashed at a time, few enough for a processor's cache.
+BLOCK = 1 << 15
+#: Low bits of a hash that give way to the place.
+PLACE = np.uint64(2**31 - 1)
 U = np.uint64
+#: A perfect difference set modulo 31; any two residues have one common shift into it.
+PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Bytes by which all suffixes are sorted before ranks are asked.
+DIRECT = 32
 
 
 def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number, and first and last start of the windows that each sample settles."""
+    """Hash, text number, and first and last start of the windows of each anchor."""
     n = len(data) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none.astype(U), none, none, none
-    sums = _text.prefix(data)
-    hashes = _text.mix((sums[gram:] - sums[:-gram]) * _text.powers(len(sums))[1][: len(data) - gram + 1])
-    least, place, span, wide = hashes, np.arange(len(hashes), dtype=np.int32), 1, length - gram + 1
-    while span < wide:  # after each step: the last smallest of span hashes in a row
-        step = min(span, wide - span)
-        later = least[step:] <= least[:-step]
-        least, place = np.where(later, least[step:], least[:-step]), np.where(later, place[step:], place[:-step])
-        span += step
-    start = np.arange(n)
-    doc = np.searchsorted(offsets, start, "right") - 1
-    valid = start + length <= offsets[doc + 1]
-    start, place, doc = start[valid], place[valid], doc[valid]
-    new = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(start) else np.zeros(0, np.int64)
-    last = np.append(new[1:], len(start)) - 1
-    return hashes[place[new]], doc[new], start[new], start[last]
+    hashes, place = np.empty(len(data) - gram + 1, U), np.empty(n, np.int64)
+    up, down = _text.powers(BLOCK + length)
+    back, wide = PLACE - np.arange(BLOCK + length, dtype=U), length - gram + 1
+    for start in range(0, n, BLOCK):
+        part = data[start : start + BLOCK + length - 1]
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(_text.BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
+        h = _text.mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
+        hashes[start : start + len(h)] = h
+        # the upper bits of the hash, then how far the place is from the end: of the smallest hashes the last one is least
+        h = (h & ~PLACE) | back[: len(h)]
+        span = 1
+        while span < wide:
+            step = min(span, wide - span)
+            h = np.minimum(h[step:], h[:-step])
+            span += step
+        place[start : start + len(h)] = (PLACE - (h & PLACE)).astype(np.int64) + start
+    edge = np.append(True, place[1:] != place[:-1])
+    holds = np.diff(offsets) >= length
+    edge[offsets[:-1][holds]] = True
+    end = offsets[1:][holds] - length + 1
+    edge[end[end < n]] = True
+    first = np.flatnonzero(edge)
+    doc = np.searchsorted(offsets, first, "right") - 1
+    valid = first + length <= offsets[doc + 1]
+    last = np.append(first[1:], n) - 1
+    first, last, doc = first[valid], last[valid], doc[valid]
+    return hashes[place[first]], doc, first, last
+
+
+def words8(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number that sorts like them; zeros follow the end."""
+    w = raw.astype(U)
+    for k in (1, 2, 4):
+        w[:-k] = w[:-k] << U(8 * k) | w[k:]
+        w[-k:] <<= U(8 * k)
+    return w
+
+
+def agree(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which strings of size bytes (8 at least) at a and at b are equal."""
+    out = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        at = np.minimum(k, size - 8)
+        out &= words[a + at] == words[b + at]
+    return out
+
+
+def _shifts() -> np.ndarray:
+    """The shift for two residues: at most DIRECT, and so that both are in the cover."""
+    inside = np.isin(np.arange(PERIOD), COVER)
+    return np.array([[next(d for d in range(DIRECT - PERIOD + 1, DIRECT + 1) if inside[(a + d) % PERIOD] and inside[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
+
+
+SHIFTS = _shifts()
+
+
+def runs(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``at`` by their first bytes, length at least, and where in it begins a run of suffixes
+    that agree in length bytes. words: those of the text, from words8()."""
+    padded = np.append(words, np.zeros(length + 2 * DIRECT, U))
+    ask = lambda x, size: [padded[x + k] for k in range(0, size, 8)][::-1]
+    # The cover's ranks. Agreement of two suffixes after a shift, which is 2 at least, settles a window of length bytes.
+    covered = np.flatnonzero(np.isin(np.arange(len(words) + DIRECT) % PERIOD, COVER))
+    keys = ask(covered, length - (DIRECT - PERIOD + 1))
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    rank = np.zeros(len(words) + DIRECT + 1, np.int32)
+    rank[covered[order]] = np.cumsum(new)
+
+    keys = ask(at, DIRECT)
+    order = np.lexsort(keys)
+    edge = np.zeros(len(at), bool)
+    edge[:1] = True
+    for k in keys:
+        k = k[order]
+        edge[1:] |= k[1:] != k[:-1]
+    # Ties: every group is split by how its members compare with the one in its middle, until none has unlike members.
+    first = np.flatnonzero(edge)
+    size = np.diff(np.append(first, len(at)))
+    first, size = first[size > 1], size[size > 1]
+    while len(first):
+        group = np.repeat(np.arange(len(first)), size)
+        where = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + first[group]
+        p, q = at[order[where]], at[order[first + size // 2]][group]
+        d = SHIFTS[p % PERIOD, q % PERIOD]
+        side = 3 * group + np.sign(rank[p + d] - rank[q + d]) + 1
+        by = np.argsort(side, kind="stable")
+        order[where] = order[where[by]]
+        side = side[by]
+        begin = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
+        edge[where[begin]] = True
+        size = np.diff(np.append(begin, len(side)))
+        more = (size > 1) & (side[begin] % 3 != 1)
+        first, size = where[begin[more]], size[more]
+    # What is told apart may still agree in length bytes, the ranks looking further.
+    told = np.flatnonzero(edge)[1:]
+    edge[told] = ~agree(padded, at[order[told]], at[order[told - 1]], np.full(len(told), length))
+    return order, np.flatnonzero(edge)
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -149,11 +248,18 @@ def _ranks(keys: pa.Array) -> np.ndarray:
     return pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) if len(keys) else np.zeros(0, np.int64)
 
 
-def windows(raw: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of the contexts that begin at ``at`` and have count windows, and the context's number."""
-    owner = np.repeat(np.arange(len(at)), count)
-    start = np.repeat(at - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(len(owner)) if len(at) else np.zeros(0, np.int64)
-    return _text.span(_text.prefix(raw), start, start + length), owner
+def _leads(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For every string (size bytes of raw from begin on) the number of an equal one with the smallest rank."""
+    whole = _text.span(_text.prefix(raw), begin, begin + size)
+    order = np.lexsort((rank, whole))
+    edge = np.append(True, (whole[order][1:] != whole[order][:-1])) if len(order) else np.zeros(0, bool)
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.flatnonzero(edge)][np.cumsum(edge) - 1] if len(order) else 0
+    other = np.flatnonzero(lead != np.arange(len(lead)))
+    same = size[other] == size[lead[other]]
+    same[same] = agree(words8(raw), begin[other[same]], begin[lead[other[same]]], size[other[same]])
+    lead[other[~same]] = other[~same]
+    return lead
 
 
 def _spans(key_type: T.DataType) -> T.StructType:
@@ -175,13 +281,8 @@ def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, g
             keep = np.isin(_tags(h).astype(U) | doc.astype(U) << U(32), np.concatenate(asked))
             h, doc, first, size = h[keep], doc[keep], first[keep], last[keep] - first[keep] + length
             # Equal contexts of this slice: the smallest id's is sent, the others lie in it. Rows with that id are sent too.
-            whole = _text.span(_text.prefix(data), first, first + size) ^ h
             rank = _ranks(rows.column(0))
-            order = np.lexsort((rank[doc], whole))
-            edge = np.append(True, whole[order][1:] != whole[order][:-1]) if len(order) else np.zeros(0, bool)
-            least = np.empty(len(order), np.int64)
-            least[order] = rank[doc[order[np.flatnonzero(edge)]]][np.cumsum(edge) - 1] if len(order) else 0
-            known_row = rank[doc] > least
+            known_row = rank[doc] > rank[doc[_leads(data, first, size, rank[doc])]]
             for known in (False, True):
                 pick = np.flatnonzero(known_row == known)
                 for bucket, at in _by_bucket((h[pick] % U(buckets)).astype(np.int64)):
@@ -190,13 +291,13 @@ def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, g
                     own, count = np.unique(doc[at], return_counts=True)
                     keys, parts = _ids(rows, own)
                     raw = b"" if known else b"".join([data[a : a + s].tobytes() for a, s in zip(first[at], size[at], strict=True)])
-                    packed = [count.astype(np.int32), np.zeros(0, np.uint32) if known else _tags(h[at]), (first[at] - offsets[doc[at]]).astype(np.int32), size[at].astype(np.uint8)]
+                    packed = [count.astype(np.int32), np.zeros(0, np.uint32) if known else _tags(h[at]), (first[at] - offsets[doc[at]]).astype(np.int32), size[at].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([known]), _lists(keys), _lists(parts), *(pa.array([x.tobytes()]) for x in packed), pa.array([raw], pa.binary())], schema.names)
 
     def sort(table: pa.Table) -> pa.Table:
         keys, parts = (pc.list_flatten(table.column(c)).combine_chunks() for c in ("keys", "parts"))
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        count, first, size = joined("counts", np.int32), joined("first", np.int32), joined("size", np.uint8).astype(np.int64)
+        count, first, size = joined("counts", np.int32), joined("first", np.int32), joined("size", np.int32).astype(np.int64)
         rows = [len(x) // 4 for x in table.column("first").to_pylist()]
         known = np.repeat(table.column("known").to_numpy(zero_copy_only=False), rows)
         doc = np.repeat(np.arange(len(count)), count)
@@ -212,31 +313,25 @@ def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, g
         at = at[np.argsort(h[at], kind="stable")]
         hash_edge = np.flatnonzero(np.append(True, h[at][1:] != h[at][:-1])) if len(at) else np.zeros(0, np.int64)
         i = 0
-        while i < len(at):  # a part of the bucket: whole runs of one sample hash
+        while i < len(at):  # a part of the bucket: whole anchors
             j = int(np.searchsorted(hash_edge, i + PART, "left"))
             j = int(hash_edge[j]) if j < len(hash_edge) else len(at)
             part = at[i:j]
             i = j
-            body = np.concatenate([raw[a : a + s] for a, s in zip(begin[part], size[part], strict=True)])
-            place = np.cumsum(size[part]) - size[part]
-            whole = _text.span(_text.prefix(body), place, place + size[part])
-            order = np.lexsort((rank[doc[part]], whole))
-            edge = np.append(True, whole[order][1:] != whole[order][:-1])
-            rep = order[edge]  # of every context, the occurrence with the smallest id
-            inverse = np.empty(len(part), np.int64)
-            inverse[order] = np.cumsum(edge) - 1
-            many = size[part[rep]] - length + 1
-            value, owner = windows(body, place[rep], many, length)
-            by = np.argsort(value)
-            tie = np.flatnonzero(np.append(True, value[by][1:] != value[by][:-1]))
-            smallest = np.minimum.reduceat(rank[doc[part[rep]]][owner[by]], tie)
-            least = np.empty(len(value), np.int64)
-            least[by] = np.repeat(smallest, np.diff(np.append(tie, len(by))))
+            own, n = rank[doc[part]], size[part] - length + 1
+            lead = _leads(raw, begin[part], size[part], own)
+            rep, inverse = np.unique(lead, return_inverse=True)
+            many = n[rep]
             base = np.cumsum(many) - many
-            n = many[inverse]
+            body = np.concatenate([raw[a : a + s] for a, s in zip(begin[part[rep]], size[part[rep]], strict=True)])
+            place = np.cumsum(size[part[rep]]) - size[part[rep]]
+            owner = np.repeat(np.arange(len(rep)), many)
+            order, run = runs(words8(body), np.repeat(place - base, many) + np.arange(len(owner)), length)
+            least = np.empty(len(owner), np.int64)
+            least[order] = np.repeat(np.minimum.reduceat(own[rep][owner[order]], run), np.diff(np.append(run, len(order))))
             entry = np.repeat(np.arange(len(part)), n)
             offset = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-            gone = least[base[inverse[entry]] + offset] < rank[doc[part[entry]]]
+            gone = least[base[inverse[entry]] + offset] < own[entry]
             head = gone & (~np.append(False, gone[:-1]) | (offset == 0))
             tail = gone & (~np.append(gone[1:], False) | (offset == n[entry] - 1))
             e, a, b = entry[head], offset[head], offset[tail]
@@ -264,8 +359,8 @@ def _cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
     buckets = max(32, -(-total // BUCKET_BYTES))
     # Copies of a text with a smaller id go whole, if they have a window at all, and take no further part.
     texts = written(plain.select("key", "part", F.md5("text").alias("sum"), F.octet_length("text").alias("end")).where(F.col("end") >= length), "texts")
-    least = texts.groupBy("part", "sum", "end").agg(F.min(F.struct("key")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = texts.join(least, ["part", "sum", "end"]).where(~F.col("key").eqNullSafe(F.col("least.key"))).select("key", "part", F.lit(0).alias("start"), "end").distinct()
+    least = written(texts.groupBy("part", "sum", "end").agg(F.min(F.struct("key")).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
+    copies = met(texts, least, ["part", "sum", "end"], "n").where(~F.col("key").eqNullSafe(F.col("least.key"))).select("key", "part", F.lit(0).alias("start"), "end").distinct()
     copies = written(copies, "copies")
     shared = _shared(plain, key_type, buckets, length, gram).groupBy("key", "part").agg(F.collect_list("tags").alias("tags"))
     shared = shared.alias("s").join(copies.alias("c"), F.expr("s.key <=> c.key AND s.part = c.part"), "left_anti")

@@ -8,6 +8,9 @@ partition. Archives without that field, and plain ``.warc`` files, are read too.
 when all its tasks have ended, and a folder's manifests together list its files; what lost or repeated tasks left is in
 none and is never read. The first job in a folder without manifests lists the files that were there as well.
 
+A damaged archive raises DamagedArchive where it is read: a file that ends within a record, a record whose block is shorter
+than its header says, or, where the payload is read, a wrong checksum.
+
 Defined results: a null payload is empty, a null url leaves its header out, line ends in header values are escaped; a
 record with a null id has a null id when read back; repeated rows give a record each.
 """
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from causeway.llm._common import met, written
+
 MANIFEST = "_manifest"
 #: Bytes after which a task begins another file.
 FILE_BYTES = 256 << 20
@@ -39,6 +44,10 @@ READ_SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_bytes long,
 WRITE_COLUMNS = (*HEADERS, "payload_bytes", "payload")
 
 
+class DamagedArchive(ValueError):
+    """What is read is no whole WARC record."""
+
+
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -78,21 +87,33 @@ class _Member:
     """A record at an offset of an open file, inflated only as far as it is asked for."""
 
     def __init__(self, file: pa.NativeFile, at: int, size: int) -> None:
-        self.file, self.size = file, size
+        self.file, self.size, self.start = file, size, at
         raw = file.read_at(min(HEAD_BYTES, size - at), at)
-        self.next, self.inflate, self.plain, self.done = None, None, bytearray(), False
+        self.next, self.inflate, self.plain, self.done, self.checked = None, None, bytearray(), False, True
         if raw[:2] == b"\x1f\x8b":
             skip = 0
-            if raw[3] == 4 and raw[12:14] == b"sl":
+            if raw[3:4] == b"\x04" and raw[12:14] == b"sl" and len(raw) >= 24:
                 self.next = at + struct.unpack_from("<I", raw, 16)[0]
                 skip = 12 + struct.unpack_from("<H", raw, 10)[0]
+                self.checked = False
+                if self.next > size or self.next <= at:
+                    raise self.damaged("the file ends within it")
             self.inflate = zlib.decompressobj(-15 if skip else 31)
-            self.plain += self.inflate.decompress(raw[skip:])
+            self.feed(raw[skip:])
         else:
             self.plain += raw
         self.at = at + len(raw)
         self.check()
 
+    def damaged(self, why: str) -> DamagedArchive:
+        return DamagedArchive(f"record at byte {self.start}: {why}")
+
+    def feed(self, raw: bytes) -> None:
+        try:
+            self.plain += self.inflate.decompress(raw)
+        except zlib.error as e:
+            raise self.damaged(str(e)) from e
+
     def check(self) -> None:
         if self.inflate is not None and self.inflate.eof and not self.done:
             self.done = True
@@ -105,7 +126,10 @@ class _Member:
             return False
         raw = self.file.read_at(min(1 << 16, self.size - self.at), self.at)
         self.at += len(raw)
-        self.plain += self.inflate.decompress(raw) if self.inflate is not None else raw
+        if self.inflate is not None:
+            self.feed(raw)
+        else:
+            self.plain += raw
         self.check()
         return True
 
@@ -117,17 +141,29 @@ class _Member:
         return i + len(mark)
 
     def part(self, start: int, end: int) -> bytes:
+        """These bytes of the record, the last of which end its block."""
         while len(self.plain) < end and self.more():
             pass
+        if len(self.plain) < end:
+            raise self.damaged("its block is shorter than its header says")
+        if not self.checked:  # zlib itself looks at the checksum of members without the length field only
+            while self.more():
+                pass
+            if not self.inflate.eof or self.file.read_at(8, self.next - 8) != struct.pack("<II", zlib.crc32(self.plain), len(self.plain) & 0xFFFFFFFF):
+                raise self.damaged("its checksum is wrong")
         return bytes(self.plain[start:end])
 
     def end(self, block_end: int) -> int:
         """Where the next record begins."""
-        if self.next is None and self.inflate is None:
-            return self.at - len(self.plain) + block_end + 4
+        if self.inflate is None:
+            if self.start + block_end > self.size:
+                raise self.damaged("its block is shorter than its header says")
+            return min(self.size, self.start + block_end + 4)
         while self.next is None and self.more():
             pass
-        return self.size if self.next is None else self.next
+        if self.next is None:
+            raise self.damaged("the file ends within it")
+        return self.next
 
 
 def records(file: pa.NativeFile, wanted, payload: bool = True) -> Iterator[tuple]:
@@ -136,15 +172,22 @@ def records(file: pa.NativeFile, wanted, payload: bool = True) -> Iterator[tuple
     while at < size:
         member = _Member(file, at, size)
         head = member.upto(b"\r\n\r\n")
-        if head < 0:
-            return
+        if head < 0 or not member.plain.startswith(b"WARC/"):
+            if member.inflate is None and not member.plain.strip() and not member.more():
+                return  # line ends after the last record
+            raise member.damaged("it has no WARC header")
         fields = _fields(bytes(member.plain[: head - 4]))
-        block = int(fields.get("content-length", 0))
+        length_said = fields.get("content-length", "")
+        if not length_said.isdigit():
+            raise member.damaged("it has no Content-Length")
+        block = int(length_said)
         row = {c: fields.get(name.lower()) for c, name in HEADERS.items()}
         if wanted(row):
             body, length = head, block
             if "application/http" in fields.get("content-type", ""):
                 body = member.upto(b"\r\n\r\n", head)
+                if body < 0 or body > head + block:
+                    raise member.damaged("its HTTP header does not end")
                 length = int(_fields(bytes(member.plain[head : body - 4])).get("content-length", block - (body - head)))
             held = row["record_type"] != "revisit"
             yield (*row.values(), length, member.part(body, head + block) if payload and held else None)
@@ -265,11 +308,14 @@ def archive_rows(df: DataFrame, key: str, url: str, html: str, *, min_bytes: int
     name = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))).otherwise("<urn:page:>")
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("target_uri"), F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key"))
-    return rows.join(first, "digest", "left").select(
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), name(F.col("key")).alias("record_id"), "target_uri", F.lit(date).alias("date"),
-        F.when(revisit, name(F.col("first"))).alias("refers_to"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"),
+    # Only ids and digests are grouped; the payloads meet the revisits by their own id.
+    seen = written(rows.where(F.col("payload_bytes") >= min_bytes).select("key", "digest"), "digests")
+    first = written(seen.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    again = written(met(seen, first, ["digest"], "n").where(~F.col("first").eqNullSafe(F.col("key"))).select("key", "digest", "first").distinct().withColumn("revisit", F.lit(True)), "revisits")
+    marked = rows.alias("r").join(again.alias("a"), F.expr("r.key <=> a.key AND r.digest = a.digest"), "left").select("r.*", F.col("a.first").alias("first"), F.coalesce("a.revisit", F.lit(False)).alias("revisit"))
+    return marked.select(
+        F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), name(F.col("key")).alias("record_id"), "target_uri", F.lit(date).alias("date"),
+        F.when(F.col("revisit"), name(F.col("first"))).alias("refers_to"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), "payload_bytes", F.when(~F.col("revisit"), F.col("payload")).alias("payload"),
     )
 
 

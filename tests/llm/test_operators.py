@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from causeway.llm import chunks, components, jaccard, mixing, packing, quality, registry, suffix_tree, suffixes, topk, urls, warc
+from causeway.llm import _common, chunks, components, jaccard, mixing, packing, quality, registry, suffix_tree, suffixes, topk, urls, warc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -158,6 +158,62 @@ def test_suffix_dedup(docs, empty):
     assert {int(k[1:]): v for k, v in rows(names).items()} == want
 
 
+def by_windows(texts, length):
+    """Brute force of op9: id to (n_bytes, n_removed, n_spans, kept_sha256); a null id is the smallest."""
+    least, want = {}, {}
+    for i, t in texts:
+        b, rank = (t or "").encode(), -1 if i is None else i
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            least[w] = min(least.get(w, rank), rank)
+    for i, t in texts:
+        b, rank = (t or "").encode(), -1 if i is None else i
+        gone = [False] * len(b)
+        for p in range(len(b) - length + 1):
+            if least[b[p : p + length]] < rank:
+                gone[p : p + length] = [True] * length
+        want[i] = (len(b), sum(gone), sum(k for k, _ in itertools.groupby(gone)), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("length", [30, 140, 200])
+def test_suffix_dedup_of_other_lengths_and_null_ids(spark, length):
+    rng = random.Random(length)
+    base = ["".join(rng.choice("ab ") for _ in range(900)) for _ in range(3)]
+    texts = [(None, base[0][100:500]), (2, base[0]), (5, base[1] + base[0][:450]), (3, base[1][200:700] + "é" * 300), (4, "a" * 700), (7, "a" * 650 + base[2]), (8, None), (9, ""), (11, "é" * 150), (12, base[2][:length])]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup(table, length=length).collect()}
+    assert got == by_windows(texts, length)
+
+
+@pytest.mark.parametrize("length", [24, 50, 140])
+def test_suffix_order_by_the_cover(length):
+    rng = np.random.default_rng(length)
+    for letters in (1, 2, 5):
+        base = rng.integers(97, 97 + letters, 400, dtype=np.uint8)
+        body = np.concatenate([base[a : a + rng.integers(length, 300)] for a in rng.integers(0, 100, 12)])
+        at = rng.permutation(len(body) - length + 1)
+        order, run = suffixes.runs(suffixes.words8(body), at, length)
+        windows = [body[a : a + length].tobytes() for a in at[order]]
+        assert windows == sorted(windows)
+        assert run.tolist() == [i for i, w in enumerate(windows) if not i or w != windows[i - 1]]
+
+
+def test_suffix_dedup_survives_equal_hashes(spark, monkeypatch):
+    """What the hashes call equal is compared by its bytes."""
+    raw = np.frombuffer(b"x" * 60 + b"y" * 60 + b"x" * 60, np.uint8)
+    monkeypatch.setattr(suffixes._text, "span", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    assert suffixes._leads(raw, np.array([0, 60, 120]), np.full(3, 60), np.array([2, 0, 1])).tolist() in ([0, 1, 2], [2, 1, 2])
+
+
+def test_frequent_values_meet_all_their_rows(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").unionAll(spark.range(20000).select(F.lit(99).cast("long").alias("k"), "id"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k <> 3")
+    for some in (groups, groups.where("k = 99"), groups.where("k < 0")):
+        want = sorted(tuple(r) for r in rows.join(some, "k").select("k", "id", "n", "least").collect())
+        assert sorted(tuple(r) for r in _common.met(rows, some, ["k"], "n").select("k", "id", "n", "least").collect()) == want
+
+
 def test_suffix_samples_cover_equal_windows():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 101, 3000, dtype=np.uint8)
@@ -364,13 +420,44 @@ def test_warc_reads_other_archives(spark, tmp_path):
     assert got == {f"<r{i}>": (i, i) for i in (3, 5000, 0, 70000, 2)}
 
 
+def test_warc_damage_raises(spark, tmp_path):
+    import gzip
+
+    records = lambda path, **options: warc.read_archive(spark, str(path), **options).collect()
+    table = spark.createDataFrame([(i, f"http://{i}", "text " * 2000 + str(i)) for i in range(3)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(warc.archive_rows(table, "page_id", "url", "html"), str(tmp_path / "whole"))
+    (name,) = [p for p in (tmp_path / "whole").iterdir() if p.name.endswith(".gz")]
+    raw = name.read_bytes()
+    assert len(records(tmp_path / "whole")) == 3
+    second = raw.index(b"\x1f\x8b\x08\x04", 10)
+    plain = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r>\r\nContent-Length: 9\r\n\r\n"
+    cases = {
+        "cut.warc.gz": raw[: second + 60], "cut_late.warc.gz": raw[:-3], "sum.warc.gz": raw[: second - 8] + b"\0" * 8 + raw[second:], "noise.warc.gz": raw[:second] + b"noise",
+        "other.warc.gz": gzip.compress(plain + b"123456789\r\n\r\n")[:-12], "short.warc.gz": gzip.compress(plain + b"1234"), "plain.warc": plain + b"1234", "head.warc": plain[:30],
+    }
+    for file, body in cases.items():
+        folder = tmp_path / file.replace(".", "_")
+        folder.mkdir()
+        (folder / file).write_bytes(body)
+        with pytest.raises(Exception, match="DamagedArchive"):
+            records(folder)
+    # Without payloads, what is skipped unread is not checked, but that the file ends within a record shows.
+    assert len(records(tmp_path / "sum_warc_gz", payload=False)) == 3
+    with pytest.raises(Exception, match="DamagedArchive"):
+        records(tmp_path / "cut_late_warc_gz", payload=False)
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "a.warc").write_bytes(plain + b"123456789\r\n\r\n\r\n")
+    assert [r["payload_bytes"] for r in records(good)] == [9]
+
+
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
 def test_suffix_tree_keeps_all_frequent_contexts(spark):
-    """Contexts of any length and number, by a threshold that neither the corpus nor the cache moves."""
+    """Contexts of up to DEPTH words in any number, by a threshold that neither the corpus nor the cache moves."""
     rng = random.Random(6)
     few = VOCABULARY[:6]
     rows = []
@@ -396,7 +483,7 @@ def test_suffix_tree_keeps_all_frequent_contexts(spark):
             value = passed[c] * value + kept[c].get(w, 0)
         return value
 
-    while depth < 1 or any(len(c) == depth for c in passed):
+    while depth < suffix_tree.DEPTH and (depth < 1 or any(len(c) == depth for c in passed)):
         depth += 1
         after = defaultdict(Counter)
         for t in training:
