@@ -12,7 +12,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,24 +58,23 @@ def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def _shared(a: Column, b: Column, n: float) -> Column:
+    return F.zip_with(a, b, lambda x, y: (x + y) / F.lit(n))
+
+
 def by_functions(path: Column, channels: int, depth: int) -> Column:
     """The signature of an array of points (arrays of doubles) as an array, in SQL functions."""
     steps = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.zip_with(F.get(path, i), F.get(path, i - 1), lambda x, y: x - y))
     zero = F.struct(*(F.array_repeat(F.lit(0.0), channels**k).alias(f"l{k}") for k in range(1, depth + 1)))
 
-    def over(values: Column, k: int) -> Column:
-        return F.transform(values, lambda x: x / F.lit(float(k)))
-
     def merge(acc: Column, step: Column) -> Column:
-        exp = [step]
-        for k in range(2, depth + 1):
-            exp.append(over(_outer(exp[-1], step), k))
+        """Every level after one more segment, by Horner's rule as in batch()."""
         levels = []
         for k in range(1, depth + 1):
-            value = _plus(acc[f"l{k}"], exp[k - 1])
-            for e in range(1, k):
-                value = _plus(value, _outer(acc[f"l{e}"], exp[k - e - 1]))
-            levels.append(value.alias(f"l{k}"))
+            lead = F.array(F.lit(1.0 / k))
+            for j in range(k - 1, 0, -1):
+                lead = _shared(acc[f"l{k - j}"], _outer(lead, step), float(j))
+            levels.append(_plus(acc[f"l{k}"], _outer(lead, step)).alias(f"l{k}"))
         return F.struct(*levels)
 
     return F.aggregate(steps, zero, merge, lambda acc: F.concat(*(acc[f"l{k}"] for k in range(1, depth + 1))))
@@ -83,8 +83,10 @@ def by_functions(path: Column, channels: int, depth: int) -> Column:
 def batch(paths: np.ndarray, depth: int) -> np.ndarray:
     """Signatures of an (n, points, channels) array in double precision: level k gathers, over the segments, every level
     below it as it stood before the segment, times the exponential that is missing to k."""
-    if paths.ndim != 3 or paths.shape[1] < 2 or not 1 <= depth <= 4:
-        raise ValueError("an (n, points >= 2, channels) array and a depth of 1 to 4 are needed")
+    if depth not in range(1, 5):
+        raise ValueError("the depth is 1 to 4")
+    if np.ndim(paths) != 3 or np.shape(paths)[1] == 1:
+        raise ValueError("paths are an array of (n, points, channels) with two points at least")
     n, _, d = paths.shape
     steps = np.diff(paths.astype(np.float64), axis=1)
     # Of level k, the running value before each segment: (n, segments, d**k).
@@ -103,17 +105,28 @@ def batch(paths: np.ndarray, depth: int) -> np.ndarray:
 
 
 def by_arrow(depth: int):
-    """A pandas UDF from array<array<double>> to the single-precision signature. Paths in a batch may differ in length."""
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def signature(paths: pd.Series) -> pd.Series:
-        stacked = [np.stack([np.asarray(p, dtype=np.float64) for p in path]) for path in paths]
-        out: list[np.ndarray | None] = [None] * len(stacked)
-        shapes = [s.shape for s in stacked]
-        for shape in set(shapes):
-            at = [i for i, s in enumerate(shapes) if s == shape]
-            for i, row in zip(at, batch(np.stack([stacked[i] for i in at]), depth).astype(np.float32), strict=True):
+    """An Arrow UDF from array<array<double>> to the single-precision signature. Paths in a batch may differ in length. Null
+    for a null path, one of fewer than two points, and one with a null point or coordinate or points of unlike width."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def signature(paths: pa.Array) -> pa.Array:
+        points = pc.list_flatten(paths)
+        values = pc.list_flatten(points)
+        number = pc.fill_null(pc.list_value_length(paths), 0).to_numpy()
+        width = pc.fill_null(pc.list_value_length(points), 0).to_numpy()
+        first, at = np.cumsum(number) - number, np.concatenate(([0], np.cumsum(width)))
+        gaps = np.concatenate(([0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))))
+        flat = pc.fill_null(values.cast(pa.float64()), 0.0).to_numpy()
+        out: list[np.ndarray | None] = [None] * len(paths)
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for i in np.flatnonzero(number >= 2):
+            own = width[first[i] : first[i] + number[i]]
+            if own[0] and (own == own[0]).all() and gaps[at[first[i]]] == gaps[at[first[i] + number[i]]]:
+                shapes.setdefault((int(number[i]), int(own[0])), []).append(int(i))
+        for shape, rows in shapes.items():
+            stacked = flat[at[first[rows]][:, None] + np.arange(shape[0] * shape[1])].reshape(len(rows), *shape)
+            for i, row in zip(rows, batch(stacked, depth).astype(np.float32), strict=True):
                 out[i] = row
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.float32()))
 
     return signature

@@ -1,9 +1,9 @@
 """Walk-forward forecasts: every issue session is fitted on the labels known at its close, all issues in parallel.
 
-A panel has a row for each session of each series: series, idx, session, close, ret and factors. Issues are dealt into
-chunks of consecutive sessions; a session is copied to the chunks whose windows, training rows or labels need it (an
-equi-join on computed chunk numbers), so a task holds one chunk's few hundred rows, however many series there are, and
-nothing is broadcast.
+A panel has a row for each session of each series: series, idx (without gaps), session, close, ret and factors. Issues are
+dealt into chunks of consecutive sessions; a session is copied to the few chunks whose windows, training rows or labels need
+it (an explode of computed chunk numbers), so a task holds one chunk's rows, however many series there are, and nothing is
+broadcast. All candidates are fitted where the rows are, and share windows and signatures.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from causeway.operators import kernel
 from causeway.operators.signature import batch
 from causeway.plans.config import ForecastConfig
 
-CHUNK = 32
+#: Issues of a chunk: with the usual training length, a session goes to four chunks or five.
+CHUNK = 256
 SCHEMA = "series string, candidate string, issue_idx long, issue_date date, target_date date, actual_return double, predicted_return double, screened_factor_count int, lasso_support_count int, selected_factors array<int>, effective_train_n double"
 
 
@@ -36,44 +37,47 @@ def samples_of(close: np.ndarray, factors: np.ndarray, window: int) -> tuple[np.
 def forecasts(panel: DataFrame, candidates: Mapping[str, ForecastConfig], *, first: int, last: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Forecasts of every candidate for the issues numbered first to last (by idx, inclusive) of each series: those with a
     full window, at least 100 matured labels and a known target."""
-    tables = []
-    for name, config in candidates.items():
+    for config in candidates.values():
         config.check()
-        back = config.horizon + config.max_train + config.window - 2
-        low = F.greatest(F.floor((F.col("idx") - config.horizon) / chunk), F.lit(first // chunk))
-        high = F.floor((F.col("idx") + back) / chunk)
-        high = F.least(high, F.lit(last // chunk)) if last is not None else high
-        near = panel.withColumn("chunk", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
-        tables.append(near.withColumn("candidate", F.lit(name)))
-    rows = tables[0]
-    for other in tables[1:]:
-        rows = rows.unionByName(other)
+    back = max(c.horizon + c.max_train + c.window - 2 for c in candidates.values())
+    ahead = max(c.horizon for c in candidates.values())
+    low = F.greatest(F.floor((F.col("idx") - ahead) / chunk), F.lit(first // chunk))
+    high = F.floor((F.col("idx") + back) / chunk)
+    high = F.least(high, F.lit(last // chunk)) if last is not None else high
+    rows = panel.withColumn("chunk", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
     configs = json.dumps({name: asdict(c) for name, c in candidates.items()})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        series, name, number = key
-        config = ForecastConfig(**json.loads(configs)[name])
+        series, number = key
         pdf = pdf.sort_values("idx")
         idx, close, ret = pdf["idx"].to_numpy(), pdf["close"].to_numpy(), pdf["ret"].to_numpy()
+        if (np.diff(idx) != 1).any():
+            raise ValueError(f"the sessions of series {series} are not numbered one after another")
         factors = np.array(pdf["factors"].to_list(), dtype=np.float32).astype(np.float64).reshape(len(pdf), -1)
-        w, h, out = config.window, config.horizon, []
-        if len(pdf) < w + h:
-            return pd.DataFrame(out, columns=columns)
-        y_paths, x_paths = samples_of(close, factors, w)
-        y_signature = batch(y_paths, config.signature_depth).astype(np.float32).astype(np.float64)
-        label = np.log(close[h:]) - np.log(close[:-h])
-        for at in range(w - 1, len(pdf) - h):
-            if not (max(first, number * chunk) <= idx[at] < (number + 1) * chunk and (last is None or idx[at] <= last)):
+        issued = (idx >= max(first, number * chunk)) & (idx < (number + 1) * chunk) & (idx <= (idx[-1] if last is None else last))
+        windows, signatures, out = {}, {}, []
+        for name, config in ((n, ForecastConfig(**c)) for n, c in json.loads(configs).items()):
+            w, h = config.window, config.horizon
+            if len(pdf) < w + h:
                 continue
-            rows = np.append(np.arange(max(w - 1, at - h - config.max_train + 1), at - h + 1), at)
-            if len(rows) < 101:
-                continue
-            got = kernel.fit(factors[rows], ret[rows], label[rows[:-1]], y_signature[rows - w + 1], x_paths[rows - w + 1], y_paths[rows - w + 1], config)
-            out.append((series, name, idx[at], pdf["session"].iloc[at], pdf["session"].iloc[at + h], label[at], got["predicted_return"], len(got["chosen"]), len(got["support"]), got["chosen"].tolist(), 1 / (got["weight"] ** 2).sum()))
+            if w not in windows:
+                windows[w] = samples_of(close, factors, w)
+            y_paths, x_paths = windows[w]
+            if (w, config.signature_depth) not in signatures:
+                signatures[w, config.signature_depth] = batch(y_paths, config.signature_depth).astype(np.float32).astype(np.float64)
+            y_signature = signatures[w, config.signature_depth]
+            label = np.log(close[h:]) - np.log(close[:-h])
+            for at in np.flatnonzero(issued[: len(pdf) - h]):
+                known = np.arange(max(w - 1, at - h - config.max_train + 1), at - h + 1)
+                if at < w - 1 or len(known) < 100:
+                    continue
+                rows = np.append(known, at)
+                got = kernel.fit(factors[rows], ret[rows], label[known], y_signature[rows - w + 1], x_paths[rows - w + 1], y_paths[rows - w + 1], config)
+                out.append((series, name, idx[at], pdf["session"].iloc[at], pdf["session"].iloc[at + h], label[at], got.predicted_return, len(got.chosen), len(got.support), got.chosen.tolist(), 1 / np.square(got.model.weight).sum()))
         return pd.DataFrame(out, columns=columns)
 
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    return rows.groupBy("series", "candidate", "chunk").applyInPandas(run, SCHEMA)
+    return rows.groupBy("series", "chunk").applyInPandas(run, SCHEMA)
 
 
 def selection(predictions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class ForecastConfig:
+    # Names and defaults of the saved run files.
     window: int = 20
     signature_depth: int = 3
     regime_depth: int = 2
@@ -23,11 +24,15 @@ class ForecastConfig:
     max_selected: int = 20
 
     def check(self) -> ForecastConfig:
-        within = {"window": (5, 252), "signature_depth": (1, 4), "regime_depth": (1, 3), "horizon": (1, 20), "max_train": (100, math.inf), "lasso_alpha": (0, math.inf), "regime_gamma": (0, math.inf), "correlation_min": (0, 1), "collinearity_max": (0, 1)}
+        """The configuration itself; ValueError if a value is out of range."""
+        within = {"window": (5, 252), "signature_depth": (1, 4), "regime_depth": (1, 3), "horizon": (1, 20), "max_train": (100, math.inf), "correlation_min": (0, 1), "collinearity_max": (0, 1)}
+        within |= {name: (0, math.inf) for name in ("lasso_alpha", "regime_gamma")}
         within |= {name: (1, math.inf) for name in ("max_factors", "regime_factors", "lasso_passes", "max_selected")}
+        outside = {"correlation_min": 1, "collinearity_max": 0}
         for name, (low, high) in within.items():
-            if not low <= getattr(self, name) <= high:
-                raise ValueError(f"{name} must be in [{low}, {high}]")
+            value = getattr(self, name)
+            if not low <= value <= high or value == outside.get(name):
+                raise ValueError(f"{name} must be in [{low}, {high}]" + (f", but not {value}" if name in outside else ""))
         return self
 
 

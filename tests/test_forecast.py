@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import math
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from causeway.operators import kernel, scoring, signature, walkforward
 from causeway.plans.config import ForecastConfig
 
+#: Fixed values of the fixtures.
 CONFIG = ForecastConfig(window=10, signature_depth=2, regime_depth=2, regime_gamma=0, lasso_alpha=1e-5, correlation_min=0.05, max_train=200)
 
 
@@ -91,28 +93,124 @@ def test_collinear_factors_are_pruned():
     assert len(set(chosen) & {0, 1}) == 1 and abs(np.corrcoef(x[:, chosen[0]], y)[0, 1]) > 0.9
 
 
-def fit_one(at, change=0.0):
+def inputs(at, config=CONFIG, change=0.0):
     ret, close, factors = market()
-    w, h = CONFIG.window, 1
+    w, h = config.window, config.horizon
     y_paths, x_paths = walkforward.samples_of(close, factors.astype(float), w)
-    label = np.log(close[1:]) - np.log(close[:-1])
-    label[at:] += change
-    rows = np.append(np.arange(max(w - 1, at - h - CONFIG.max_train + 1), at), at)
-    sig = signature.batch(y_paths, CONFIG.signature_depth)
-    return kernel.fit(factors[rows].astype(float), ret[rows], label[rows[:-1]], sig[rows - w + 1], x_paths[rows - w + 1], y_paths[rows - w + 1], CONFIG)
+    label = np.log(close[h:]) - np.log(close[:-h])
+    label[at - h + 1 :] += change
+    rows = np.append(np.arange(max(w - 1, at - h - config.max_train + 1), at - h + 1), at)
+    sig = signature.batch(y_paths, config.signature_depth)
+    return factors[rows].astype(float), ret[rows], label[rows[:-1]], sig[rows - w + 1], x_paths[rows - w + 1], y_paths[rows - w + 1]
+
+
+def fit_one(at, change=0.0, config=CONFIG):
+    return kernel.fit(*inputs(at, config, change), config)
+
+
+def naive_weights(x, y, x_paths, y_paths, gamma):
+    """Regime weights of depth 2 by plain loops."""
+    n, w, k = x_paths.shape
+    seen = []
+    for i in range(n):
+        path = [[y_paths[i, t, 0], y_paths[i, t, 1] / max(y[:-1].std() * math.sqrt(w), 1e-4)] for t in range(w)]
+        for j in range(k):
+            moves = [min(8, max(-8, x_paths[i, t, j] / max(x[:-1, j].std(), 1e-5))) for t in range(w)]
+            for t in range(w):
+                path[t].append(moves[t] - moves[0])
+        d = k + 2
+        one, two = [0.0] * d, [[0.0] * d for _ in range(d)]
+        for p, q in zip(path, path[1:]):
+            step = [v - u for u, v in zip(p, q)]
+            for a in range(d):
+                for b in range(d):
+                    two[a][b] += one[a] * step[b] + step[a] * step[b] / 2
+            one = [u + v for u, v in zip(one, step)]
+        seen.append(one + [v for row in two for v in row])
+    seen = np.array(seen, dtype=np.float32).astype(float)
+    mean, sd = seen[:-1].mean(axis=0), np.maximum(seen[:-1].std(axis=0), 1e-5)
+    z = np.minimum(8, np.maximum(-8, (seen - mean) / sd))
+    raw = [math.exp(-gamma * sum((u - v) ** 2 for u, v in zip(row, z[-1])) / len(row)) for row in z[:-1]]
+    return np.array(raw) / sum(raw)
+
+
+@pytest.mark.parametrize("change", [{"regime_gamma": 0.5}, {"regime_gamma": 1.0, "horizon": 4}, {"regime_gamma": 2.0, "max_selected": 2, "collinearity_max": 0.99, "correlation_min": 0.0}])
+def test_fit_against_its_definition(change):
+    config = dataclasses.replace(CONFIG, **change)
+    x, y, target, sig, x_paths, y_paths = inputs(250, config)
+    got = kernel.fit(x, y, target, sig, x_paths, y_paths, config)
+    near = got.chosen[: config.regime_factors]
+    weight = naive_weights(x[:, near], y, x_paths[:, :, near], y_paths, config.regime_gamma)
+    assert got.model.weight == pytest.approx(weight, rel=1e-6) and weight.max() > 1.5 * weight.min()
+
+    features = np.column_stack((x[:, got.chosen], sig))
+    mean = sum(w * f for w, f in zip(weight, features))
+    sd = np.maximum(np.sqrt(sum(w * (f - mean) ** 2 for w, f in zip(weight, features))), 1e-5)
+    z = np.minimum(8, np.maximum(-8, (features - mean) / sd))
+    z = z - sum(w * f for w, f in zip(weight, z))
+    past, level = z[:-1], float(np.dot(weight, target))
+    # The Lasso's conditions of optimality, at its own solution.
+    gram, moment = past.T @ (weight[:, None] * past), past.T @ (weight * (target - level))
+    beta = kernel.lasso(gram, moment, config.lasso_alpha, 5000)
+    slope = moment - gram @ beta
+    on = np.abs(beta) > 1e-10
+    assert np.abs(slope).max() <= config.lasso_alpha + 1e-7 and slope[on] == pytest.approx(config.lasso_alpha * np.sign(beta[on]), abs=1e-7)
+    short = kernel.lasso(gram, moment, config.lasso_alpha, config.lasso_passes)
+    largest = sorted(np.flatnonzero(np.abs(short) > 1e-10), key=lambda k: -abs(short[k]))[: config.max_selected]
+    assert got.support.tolist() == sorted(largest) and (len(largest) == 2 or "max_selected" not in change)
+    # Weighted least squares on the support, and the issue's own row.
+    own = past[:, got.support]
+    root = np.sqrt(weight)[:, None]
+    coefficients = np.linalg.lstsq(root * own, root[:, 0] * (target - level), rcond=1e-8)[0]
+    assert got.predicted_return == pytest.approx(level + float(z[-1, got.support] @ coefficients), rel=1e-6, abs=1e-10)
 
 
 def test_second_step_is_weighted_least_squares():
     got = fit_one(250)
-    off = np.setdiff1d(np.arange(len(got["beta"])), got["support"])
-    residual = got["centred"] - got["z"] @ got["beta"]
-    assert not got["beta"][off].any()
-    assert np.abs(got["z"][:, got["support"]].T @ (got["weight"] * residual)).max() < 1e-8
-    assert got["weight"].sum() == pytest.approx(1)
+    off = np.setdiff1d(np.arange(len(got.beta)), got.support)
+    residual = got.model.centred - got.model.z @ got.beta
+    assert not got.beta[off].any()
+    assert np.abs(got.model.z[:, got.support].T @ (got.model.weight * residual)).max() < 1e-8
+    assert got.model.weight.sum() == pytest.approx(1)
+
+
+def test_candidates_side_by_side_and_selection(spark):
+    """All candidates of a task give what each gives alone, and the one with the smallest error comes first."""
+    panel = frame(spark, *market())
+    several = {"a": CONFIG, "b": dataclasses.replace(CONFIG, signature_depth=3, window=12, regime_gamma=1.0), "c": dataclasses.replace(CONFIG, horizon=3, max_train=120)}
+    both = walkforward.forecasts(panel, several, first=150, last=200, chunk=16)
+    rows = {(r["candidate"], r["issue_idx"]): r for r in both.collect()}
+    for name, config in several.items():
+        alone = {r["issue_idx"]: r["predicted_return"] for r in walkforward.forecasts(panel, {name: config}, first=150, last=200, chunk=64).collect()}
+        assert len(alone) == 51 and {i: r["predicted_return"] for (n, i), r in rows.items() if n == name} == pytest.approx(alone)
+    assert rows["c", 170]["predicted_return"] == pytest.approx(kernel.fit(*inputs(170, several["c"]), several["c"]).predicted_return, abs=1e-9)
+    want = []
+    for name in several:
+        mine = [r for (n, _), r in rows.items() if n == name]
+        error = np.array([r["actual_return"] - r["predicted_return"] for r in mine])
+        hits = np.mean([(r["actual_return"] > 0) == (r["predicted_return"] > 0) for r in mine])
+        want.append((np.abs(error).mean(), name, hits, np.sqrt((error**2).mean()), np.median([r["lasso_support_count"] for r in mine]), np.median([r["effective_train_n"] for r in mine])))
+    got = [(r["validation_return_mae"], r["candidate"], r["validation_direction_accuracy"], r["validation_return_rmse"], r["median_lasso_support"], r["median_effective_train_n"]) for r in walkforward.selection(both).collect()]
+    assert [g[1] for g in got] == [w[1] for w in sorted(want)]
+    assert [x for g in got for x in g if not isinstance(x, str)] == pytest.approx([x for w in sorted(want) for x in w if not isinstance(x, str)])
+
+
+def test_gaps_in_the_numbers_are_refused(spark):
+    panel = frame(spark, *market()).where("idx <> 140")
+    with pytest.raises(Exception, match="not numbered one after another"):
+        walkforward.forecasts(panel, {"x": CONFIG}, first=150, last=160).collect()
+
+
+def test_signatures_of_defective_paths_are_null(spark):
+    rows = [(0, [[0.0, 0.0], [1.0, 0.5]]), (1, None), (2, [[0.0, 0.0]]), (3, [[0.0, 0.0], None]), (4, [[0.0, None], [1.0, 1.0]]), (5, [[0.0], [1.0, 2.0]]), (6, []), (7, [[0.0, 0.0], [0.5, 1.0], [1.0, 0.5]])]
+    paths = spark.createDataFrame(rows, "id int, path array<array<double>>")
+    got = {r["id"]: r["s"] for r in paths.select("id", signature.by_arrow(2)(F.col("path")).alias("s")).collect()}
+    assert [i for i, s in got.items() if s is not None] == [0, 7]
+    assert got[7] == pytest.approx(signature.batch(np.array([rows[7][1]]), 2)[0], rel=1e-6)
 
 
 def test_later_labels_do_not_change_a_forecast(spark):
-    assert fit_one(250)["predicted_return"] == fit_one(250, 4.0)["predicted_return"]
+    assert fit_one(250).predicted_return == fit_one(250, 4.0).predicted_return
     ret, close, factors = market()
     run = lambda c, last: {r["issue_idx"]: r["predicted_return"] for r in walkforward.forecasts(frame(spark, ret, c, factors), {"x": CONFIG}, first=0, last=last).collect()}
     later = close.copy()
@@ -124,7 +222,7 @@ def test_chunks_do_not_change_forecasts(spark):
     panel = frame(spark, *market())
     rows = [{r["issue_idx"]: r["predicted_return"] for r in walkforward.forecasts(panel.orderBy(F.rand(1)), {"x": CONFIG}, first=0, chunk=c).collect()} for c in (7, 64)]
     assert rows[0] == pytest.approx(rows[1]) and min(rows[0]) == 9 + 100 and max(rows[0]) == 288
-    assert rows[0][250] == pytest.approx(fit_one(250)["predicted_return"], abs=1e-9)
+    assert rows[0][250] == pytest.approx(fit_one(250).predicted_return, abs=1e-9)
 
 
 def test_price_uses_the_previous_close(spark):
@@ -138,3 +236,7 @@ def test_price_uses_the_previous_close(spark):
 def test_config_ranges():
     with pytest.raises(ValueError):
         ForecastConfig(signature_depth=5).check()
+    for bad in ({"correlation_min": 1.0}, {"collinearity_max": 0.0}, {"lasso_alpha": -1.0}, {"max_train": 99}):
+        with pytest.raises(ValueError):
+            ForecastConfig(**bad).check()
+    assert ForecastConfig(correlation_min=0.0, collinearity_max=1.0).check()
