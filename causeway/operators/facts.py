@@ -45,12 +45,12 @@ def filing_vectors(facts: DataFrame) -> DataFrame:
 def panel(vectors: DataFrame, calendar: DataFrame, symbols: DataFrame, *, mean: Column | None = None) -> DataFrame:
     """A row for each session: mean of the symbols' last known vectors, and the share of symbols that have one.
 
-    vectors: symbol, event_date, pos (file order) and vector; calendar: session and idx; symbols: symbol. The product of
-    calendar and symbols is the panel itself, a row for each session and symbol.
+    vectors: symbol, event_date, pos (file order; of a session's filings the last one holds) and vector; calendar: session
+    and idx, a row for each day; symbols: symbol. The product of calendar and symbols is the panel itself.
     """
     dated = alignment.next_session_by_calendar(vectors, calendar)
-    last = dated.groupBy("symbol", "idx").agg(F.max_by("vector", F.struct("event_date", "pos")).alias("vector"))
-    grid = calendar.select("idx", "session").join(F.broadcast(symbols.select("symbol").distinct()))
+    last = dated.groupBy("symbol", "idx").agg(F.max_by("vector", "pos").alias("vector"))
+    grid = symbols.select("symbol").distinct().crossJoin(F.broadcast(calendar.select("idx", "session")))
     filled = grid.join(last, ["symbol", "idx"], "left").withColumn("known", alignment.carried(last, "vector", series=["symbol"]))
     return vector_mean(filled, ["idx", "session"], "known")
 

@@ -79,3 +79,19 @@ def cleaned(value: Column) -> Column:
 def factor_array(columns: Sequence[str]) -> Column:
     """The factors of a session as single-precision numbers, in the order of columns."""
     return F.array(*(cleaned(F.col(c)).cast("float") for c in columns))
+
+
+def window_moments(windows: DataFrame, names: Sequence[str], by: Sequence[str] = (), floor: float = 1e-4) -> DataFrame:
+    """feature, mean, sd (population, floor at least) and n of each feature over all rows of the windows of a group, in one
+    aggregation; nulls do not count."""
+    stats = [F.struct(F.lit(f).alias("feature"), F.avg(f).alias("mean"), F.greatest(F.stddev_pop(f), F.lit(floor)).alias("sd"), F.count(f).alias("n")) for f in names]
+    return windows.groupBy(*by).agg(F.array(*stats).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.*")
+
+
+def standardized(windows: DataFrame, moments: DataFrame, names: Sequence[str], by: Sequence[str] = (), most: float = 8.0) -> DataFrame:
+    """windows with the features in standard scores by window_moments(), between -most and most; a null counts as the mean."""
+    pick = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"{f}_{c}_")
+    wide = moments.groupBy(*by).agg(*(pick(f, c) for f in names for c in ("mean", "sd")))
+    both = windows.join(wide, list(by)) if by else windows.crossJoin(F.broadcast(wide))
+    score = lambda f: F.coalesce(F.greatest(F.lit(-most), F.least(F.lit(most), (F.col(f) - F.col(f"{f}_mean_")) / F.col(f"{f}_sd_"))), F.lit(0.0))
+    return both.withColumns({f: score(f) for f in names}).select(*windows.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,19 +12,30 @@ from pyspark.sql.window import Window as W
 SESSIONS_PER_YEAR = 252
 
 
-def mid_percentile(forecasts: DataFrame, calibration: DataFrame, value: str = "predicted_return") -> DataFrame:
-    """forecasts with percentile, the mid-rank of each forecast in the frozen calibration set. One sort of both sets
-    together and running counts; no forecast is compared with every calibration row, and none with another forecast."""
+#: Ranges of values that percentiles are counted in side by side.
+RANGES = 64
+
+
+def mid_percentile(forecasts: DataFrame, calibration: DataFrame, value: str = "predicted_return", by: Sequence[str] = ()) -> DataFrame:
+    """forecasts with percentile, the mid-rank of each forecast in the frozen calibration set (of its group). Distinct values
+    are dealt into ranges, each sorted by itself and lifted by what lies in the ranges below it; no forecast is compared with
+    every calibration row, and no task sorts all values. Where the ranges lie has no influence on the result."""
     if calibration.isEmpty():
         raise ValueError("the calibration set is empty")
-    row = F.struct(*(F.col(c) for c in forecasts.columns))
-    mine = forecasts.select(F.col(value).alias("v"), F.lit(0).alias("cal"), row.alias("row"))
-    both = mine.unionByName(calibration.select(F.col(value).alias("v"), F.lit(1).alias("cal"), F.lit(None).cast(mine.schema["row"].dataType).alias("row")))
-    counts = both.groupBy("v").agg(F.sum("cal").alias("same"))
-    upto = F.sum("same").over(W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    total = counts.agg(F.sum("same").alias("n"))
-    ranked = counts.withColumn("upto", upto).crossJoin(F.broadcast(total)).select("v", ((2 * F.col("upto") - F.col("same")) / (2 * F.col("n"))).alias("percentile"))
-    return forecasts.join(ranked, forecasts[value] == ranked["v"]).drop("v")
+    ends = sorted({x for x in forecasts.unionByName(calibration, allowMissingColumns=True).approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.01) if math.isfinite(x)})
+    v = F.col(value)
+    place = sum((F.when(v > x, 1).otherwise(0) for x in ends), F.lit(0))
+    keys = [*by, value]
+    both = forecasts.select(*keys, F.lit(0).alias("cal")).unionByName(calibration.select(*keys, F.lit(1).alias("cal")))
+    counts = both.groupBy(*keys).agg(F.sum("cal").alias("same")).withColumn("range_", place)
+    below = counts.groupBy(*by, "range_").agg(F.sum("same").alias("held"))
+    lower = W.partitionBy(*by).orderBy("range_")
+    # a row for each range of each group
+    below = below.select(*by, "range_", F.coalesce(F.sum("held").over(lower.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("held").over(W.partitionBy(*by)).alias("n_"))
+    upto = F.sum("same").over(W.partitionBy(*by, "range_").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).join(below, [*by, "range_"])
+    ranked = ranked.select(*keys, F.try_divide(2 * (F.col("below") + F.col("upto")) - F.col("same"), 2 * F.col("n_")).alias("percentile"))
+    return forecasts.join(ranked, keys)
 
 
 def allocation(percentile: Column, low: float = 0.2, high: float = 0.8) -> Column:
@@ -63,12 +75,15 @@ def performance(ledgers: DataFrame, *, by: Sequence[str] = ("strategy",), order:
     )
 
 
-def violations(predictions: DataFrame, prices: DataFrame, atol: float = 2e-12) -> DataFrame:
+def violations(predictions: DataFrame, prices: DataFrame, atol: float = 2e-12, by: Sequence[str] = ()) -> DataFrame:
     """Predictions that break a rule, with the rule's name: a repeated issue, a target that is not the next session, a
-    return that is not the log ratio of the closes, or a number that is not finite."""
-    nxt = prices.select(F.col("session").alias("issue_date"), F.col("close").alias("c0"), F.lead("session").over(W.partitionBy(F.lit(0)).orderBy("session")).alias("next_session"), F.lead("close").over(W.partitionBy(F.lit(0)).orderBy("session")).alias("c1"))
-    times = predictions.groupBy("issue_date").agg(F.count("*").alias("times"))
-    rows = predictions.join(times, "issue_date").join(nxt, "issue_date", "left")
+    return that is not the log ratio of the closes, or a number that is not finite. by: columns of both tables that tell
+    series apart."""
+    w = W.partitionBy(*by).orderBy("session")
+    nxt = prices.select(*by, F.col("session").alias("issue_date"), F.col("close").alias("c0"), F.lead("session").over(w).alias("next_session"), F.lead("close").over(w).alias("c1"))
+    issue = [*by, "issue_date"]
+    times = predictions.groupBy(*issue).agg(F.count("*").alias("times"))
+    rows = predictions.join(times, issue).join(nxt, issue, "left")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rule = F.when(F.col("times") > 1, "repeated issue").when(~finite("actual_return") | ~finite("predicted_return"), "not finite").when(~F.col("target_date").eqNullSafe(F.col("next_session")), "target is not the next session").when(F.abs(F.col("actual_return") - F.ln(F.col("c1") / F.col("c0"))) > atol, "return does not match the closes")
-    return rows.withColumn("rule", rule).where("rule is not null").select("issue_date", "rule")
+    return rows.withColumn("rule", rule).where("rule is not null").select(*issue, "rule")

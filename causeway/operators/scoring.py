@@ -35,20 +35,21 @@ def scores(predictions: DataFrame, up: float = 0.0, down: float | None = None, b
     return row.withColumn("balanced_accuracy", (F.col("up_recall") + F.col("down_recall")) / 2)
 
 
-def reconstructed_prices(predictions: DataFrame, prices: DataFrame) -> DataFrame:
-    """predictions with the issue's close, the target's close and the predicted close."""
-    at = lambda name, day: prices.select(F.col("session").alias(day), F.col("close").alias(name))
-    both = predictions.join(at("previous_actual_close", "issue_date"), "issue_date").join(at("actual_close", "target_date"), "target_date")
+def reconstructed_prices(predictions: DataFrame, prices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """predictions with the issue's close, the target's close and the predicted close. by: columns of both tables that tell
+    series apart, here and below."""
+    at = lambda name, day: prices.select(*by, F.col("session").alias(day), F.col("close").alias(name))
+    both = predictions.join(at("previous_actual_close", "issue_date"), [*by, "issue_date"]).join(at("actual_close", "target_date"), [*by, "target_date"])
     return both.withColumn("predicted_close", F.col("previous_actual_close") * F.exp("predicted_return"))
 
 
-def price_errors(priced: DataFrame) -> DataFrame:
-    return priced.agg(F.avg(F.abs(F.col("predicted_close") - F.col("actual_close"))).alias("price_mae"), F.avg(F.abs(F.col("previous_actual_close") - F.col("actual_close"))).alias("last_close_mae"))
+def price_errors(priced: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return priced.groupBy(*by).agg(F.avg(F.abs(F.col("predicted_close") - F.col("actual_close"))).alias("price_mae"), F.avg(F.abs(F.col("previous_actual_close") - F.col("actual_close"))).alias("last_close_mae"))
 
 
-def return_errors(predictions: DataFrame) -> DataFrame:
+def return_errors(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Absolute errors of log and simple returns, by target date."""
-    return predictions.select("issue_date", "target_date", F.abs(F.col("predicted_return") - F.col("actual_return")).alias("log_return_error"), F.abs(F.expm1("predicted_return") - F.expm1("actual_return")).alias("simple_return_error"))
+    return predictions.select(*by, "issue_date", "target_date", F.abs(F.col("predicted_return") - F.col("actual_return")).alias("log_return_error"), F.abs(F.expm1("predicted_return") - F.expm1("actual_return")).alias("simple_return_error"))
 
 
 def pearson(x: str, y: str) -> Column:
@@ -58,12 +59,12 @@ def pearson(x: str, y: str) -> Column:
     return F.when(ok, F.try_divide(cov, F.stddev_pop(x) * F.stddev_pop(y)))
 
 
-def normalised_errors(predictions: DataFrame, deviation: Column) -> DataFrame:
+def normalised_errors(predictions: DataFrame, deviation: Column, by: Sequence[str] = ()) -> DataFrame:
     """Correlation, mean squared error, that over the frozen variance, the same for a forecast of 0, and skill."""
     error = F.col("actual_return") - F.col("predicted_return")
-    row = predictions.agg(pearson("predicted_return", "actual_return").alias("pearson"), F.avg(error * error).alias("mse"), F.avg(F.col("actual_return") * F.col("actual_return")).alias("zero_mse"), F.max(deviation).alias("sd"))
+    row = predictions.groupBy(*by).agg(pearson("predicted_return", "actual_return").alias("pearson"), F.avg(error * error).alias("mse"), F.avg(F.col("actual_return") * F.col("actual_return")).alias("zero_mse"), F.max(deviation).alias("sd"))
     variance = F.col("sd") * F.col("sd")
-    return row.select("pearson", "mse", F.try_divide("mse", variance).alias("normalised_mse"), F.try_divide("zero_mse", variance).alias("zero_normalised_mse"), (F.lit(1.0) - F.try_divide("mse", "zero_mse")).alias("skill"))
+    return row.select(*by, "pearson", "mse", F.try_divide("mse", variance).alias("normalised_mse"), F.try_divide("zero_mse", variance).alias("zero_normalised_mse"), (F.lit(1.0) - F.try_divide("mse", "zero_mse")).alias("skill"))
 
 
 def frozen_normaliser(samples: DataFrame, frame) -> DataFrame:
@@ -88,11 +89,11 @@ def confusion(directions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return classes.join(counted, [*by, "actual"], "left").select(*by, "actual", F.coalesce("UP", F.lit(0)).alias("predicted_up"), F.coalesce("DOWN", F.lit(0)).alias("predicted_down"))
 
 
-def baseline_table(directions: DataFrame) -> DataFrame:
+def baseline_table(directions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy of repeating the last direction, of always UP and of always DOWN."""
     up = F.avg((F.col("actual_direction") == "UP").cast("double"))
-    row = directions.agg(F.avg(F.col("correct").cast("double")).alias("r"), up.alias("u"), (F.lit(1.0) - up).alias("d"))
-    return row.select(F.expr("stack(3, 'repeat previous', r, 'always UP', u, 'always DOWN', d) as (method, accuracy)"))
+    row = directions.groupBy(*by).agg(F.avg(F.col("correct").cast("double")).alias("r"), up.alias("u"), (F.lit(1.0) - up).alias("d"))
+    return row.select(*by, F.expr("stack(3, 'repeat previous', r, 'always UP', u, 'always DOWN', d) as (method, accuracy)"))
 
 
 def factor_frequency(predictions: DataFrame, factors: Column) -> DataFrame:
@@ -120,15 +121,18 @@ def same_outcomes(left: DataFrame, right: DataFrame, rtol: float = 1e-8, atol: f
     return pair.where(~fine).select("issue_date")
 
 
-def block_bootstrap(errors: DataFrame, starts: DataFrame, *, value: str = "difference", block: int = 20) -> DataFrame:
+def block_bootstrap(errors: DataFrame, starts: DataFrame, *, value: str = "difference", block: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Mean, and the 2.5 and 97.5 percent quantiles of the means, over circular blocks.
 
-    errors: idx from 0 and value; starts: rep, block_no and start. A repetition joins its days by number, so nothing is
-    broadcast or looped; the last block is cut at the number of rows.
+    errors: by, idx from 0 and value; starts: by, rep, block_no and start. A repetition joins its days by number, so nothing
+    is broadcast or looped; the last block is cut at the number of rows.
     """
-    n = errors.agg(F.count("*").alias("n"))
-    days = starts.crossJoin(F.broadcast(n)).select("rep", "n", (F.col("block_no") * block).alias("at"), "start").select("rep", "n", "at", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"))
-    days = days.where(F.col("at") + F.col("k") < F.col("n")).select("rep", ((F.col("start") + F.col("k")) % F.col("n")).alias("idx"))
-    means = days.join(errors, "idx").groupBy("rep").agg(F.avg(value).alias("m"))
-    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return errors.agg(F.avg(value).alias("difference")).crossJoin(F.broadcast(ends)).select("difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    n = errors.groupBy(*by).agg(F.count("*").alias("n"))
+    counted = starts.join(n, list(by)) if by else starts.crossJoin(F.broadcast(n))
+    days = counted.select(*by, "rep", "n", (F.col("block_no") * block).alias("at"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"))
+    days = days.where(F.col("at") + F.col("k") < F.col("n")).select(*by, "rep", ((F.col("start") + F.col("k")) % F.col("n")).alias("idx"))
+    means = days.join(errors, [*by, "idx"]).groupBy(*by, "rep").agg(F.avg(value).alias("m"))
+    ends = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    mean = errors.groupBy(*by).agg(F.avg(value).alias("difference"))
+    both = mean.join(ends, list(by)) if by else mean.crossJoin(F.broadcast(ends))
+    return both.select(*by, "difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

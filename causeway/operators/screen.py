@@ -64,7 +64,7 @@ def weighted_gram(df: DataFrame, features: Sequence[str], target: str, weight: s
     mean = lambda x: F.sum(w * x) / total
     first = df.groupBy(*by).agg(*(mean(F.col(f)).alias(f"m_{f}") for f in [*features, target]), *((mean(F.col(f) * F.col(f))).alias(f"q_{f}") for f in features))
     key = list(by) or None
-    joined = df.join(F.broadcast(first), key) if key else df.crossJoin(F.broadcast(first))
+    joined = df.join(first, key) if key else df.crossJoin(F.broadcast(first))
     scale = lambda f: F.greatest(F.sqrt(F.greatest(F.col(f"q_{f}") - F.col(f"m_{f}") * F.col(f"m_{f}"), F.lit(0.0))), F.lit(1e-5))
     z = {f"z_{f}": F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(f) - F.col(f"m_{f}")) / scale(f))) for f in features}
     zs = joined.select(*by, weight, *(c.alias(n) for n, c in z.items()), (F.col(target) - F.col(f"m_{target}")).alias("z_target"))

@@ -15,6 +15,7 @@ from causeway.sources import market as m
 from causeway.sources.market import table
 
 WINDOW, MAX_TRAIN, HORIZON, LEAST = 20, 756, 1, 100
+SERIES = ["ticker", "strategy"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -30,19 +31,20 @@ def r6(c: Column | str) -> Column:
 
 
 def series_a(spark: SparkSession, sf: str) -> DataFrame:
+    """The calendar that filings and news are dated on; all tickers have the same sessions."""
     return m.market(spark, sf).where("ticker = 'A'")
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Ticker A: idx, session, ret, the next session's date and return."""
+    """ticker, idx, session, ret, the next session's date and return."""
     w = W.partitionBy("ticker").orderBy("session")
-    rows = series_a(spark, sf).withColumn("ret", features.log_return())
+    rows = m.market(spark, sf).withColumn("ret", features.log_return())
     return rows.withColumns({"target_date": F.lead("session").over(w), "target": F.ln(F.lead("close").over(w)) - F.ln("close")}).where("target_date is not null")
 
 
 def naive(spark: SparkSession, sf: str) -> DataFrame:
     """The last return as the forecast of the next one."""
-    return samples(spark, sf).where("idx > 0").select("idx", F.col("session").alias("issue_date"), "target_date", F.col("target").alias("actual_return"), F.col("ret").alias("predicted_return"))
+    return samples(spark, sf).where("idx > 0").select("ticker", "idx", F.col("session").alias("issue_date"), "target_date", F.col("target").alias("actual_return"), F.col("ret").alias("predicted_return"))
 
 
 @query
@@ -153,16 +155,16 @@ def _news(spark, sf) -> DataFrame:
 
 @query
 def sample_windows(spark, sf):
-    rows = alignment.gathered(series_a(spark, sf).select("ticker", "idx", "session", "close"), WINDOW)
+    rows = alignment.gathered(m.market(spark, sf).select("ticker", "idx", "session", "close"), WINDOW)
     first = F.min_by("close", "pos")
-    out = rows.groupBy("issue").agg(F.count("*").alias("n"), F.min("session").alias("first_session"), F.max("session").alias("last_session"), first.alias("first_close"), F.max_by("close", "pos").alias("last_close"), F.sum(F.ln("close")).alias("s"))
-    return out.where(F.col("n") == WINDOW).select("issue", "n", "first_session", "last_session", r6(F.ln(F.col("last_close") / F.col("first_close"))).alias("anchored_last"), F.round(F.col("s") - WINDOW * F.ln("first_close"), 5).alias("anchored_sum"))
+    out = rows.groupBy("ticker", "issue").agg(F.count("*").alias("n"), F.min("session").alias("first_session"), F.max("session").alias("last_session"), first.alias("first_close"), F.max_by("close", "pos").alias("last_close"), F.sum(F.ln("close")).alias("s"))
+    return out.where(F.col("n") == WINDOW).select("ticker", "issue", "n", "first_session", "last_session", r6(F.ln(F.col("last_close") / F.col("first_close"))).alias("anchored_last"), F.round(F.col("s") - WINDOW * F.ln("first_close"), 5).alias("anchored_sum"))
 
 
 def _signature(spark, sf, depth: int) -> DataFrame:
-    points = alignment.gathered(series_a(spark, sf).select("ticker", "idx", "close"), WINDOW).select("issue", "pos", (F.col("pos").cast("double") / F.lit(float(WINDOW - 1))).alias("time"), F.ln("close").alias("log_close"))
-    out = signature.by_window(points, ["time", "log_close"], depth, path=["issue"])
-    return out.select("issue", *(r6(c).alias(c) for c in signature.coordinate_names(2, depth)))
+    points = alignment.gathered(m.market(spark, sf).select("ticker", "idx", "close"), WINDOW).select("ticker", "issue", "pos", (F.col("pos").cast("double") / F.lit(float(WINDOW - 1))).alias("time"), F.ln("close").alias("log_close"))
+    out = signature.by_window(points, ["time", "log_close"], depth, path=["ticker", "issue"])
+    return out.select("ticker", "issue", *(r6(c).alias(c) for c in signature.coordinate_names(2, depth)))
 
 
 @query
@@ -190,12 +192,24 @@ def signature_arrow(spark, sf):
 @query
 def window_standardize(spark, sf):
     """Mean and deviation of features over training windows and their sessions, each session once for each window."""
-    rows = series_a(spark, sf).withColumns({"ret": features.log_return(), "rng": features.bar_range()})
+    rows = m.market(spark, sf).withColumns({"ret": features.log_return(), "rng": features.bar_range()})
+    win = alignment.gathered(rows.select("ticker", "idx", "ret", "rng"), WINDOW)
+    last = rows.groupBy("ticker").agg(F.floor(F.max("idx") * 8 / 10).alias("cut"))
+    moments = features.window_moments(win.join(last, "ticker").where("issue < cut"), ["ret", "rng"], by=["ticker"])
+    return moments.select("ticker", "feature", r6("mean").alias("mean"), r6("sd").alias("sd"), "n")
+
+
+@query
+def standardized_windows(spark, sf):
+    """The windows themselves in units of the training windows' deviations, 8 at most: a row for each issue, with the sum of
+    each feature over the window and the largest absolute value."""
+    rows = m.market(spark, sf).withColumns({"ret": features.log_return(), "rng": features.bar_range()})
     win = alignment.gathered(rows.select("ticker", "idx", "ret", "rng"), WINDOW)
-    last = rows.agg(F.floor(F.max("idx") * 8 / 10).alias("cut"))
-    train = win.crossJoin(F.broadcast(last)).where("issue < cut")
-    one = lambda f: train.agg(F.lit(f).alias("feature"), r6(F.avg(f)).alias("mean"), r6(F.greatest(F.stddev_pop(f), F.lit(1e-4))).alias("sd"), F.count(f).alias("n"))
-    return one("ret").unionByName(one("rng"))
+    last = rows.groupBy("ticker").agg(F.floor(F.max("idx") * 8 / 10).alias("cut"))
+    moments = features.window_moments(win.join(last, "ticker").where("issue < cut"), ["ret", "rng"], by=["ticker"])
+    z = features.standardized(win, moments, ["ret", "rng"], by=["ticker"])
+    wide = z.groupBy("ticker", "issue").agg(*(c for f in ("ret", "rng") for c in (r6(F.sum(f)).alias(f"{f}_sum"), r6(F.max(F.abs(f))).alias(f"{f}_top"))))
+    return wide.where(F.col("issue") >= WINDOW - 1)
 
 
 @query
@@ -220,13 +234,13 @@ def factor_screen_table(spark, sf):
 @query
 def training_calendar(spark, sf):
     out = walkforward.training_calendar(samples(spark, sf), alignment.matured(MAX_TRAIN, HORIZON))
-    return out.select("idx", "session", "target_date", "training_issue_first", "training_issue_last", "latest_training_target", "training_examples")
+    return out.select("ticker", "idx", "session", "target_date", "training_issue_first", "training_issue_last", "latest_training_target", "training_examples")
 
 
 @query
 def frozen_normalizer(spark, sf):
     out = scoring.frozen_normaliser(samples(spark, sf), alignment.matured(MAX_TRAIN, HORIZON)).where(F.col("label_n") >= 2)
-    return out.select("idx", "session", r6("label_mean").alias("label_mean"), r6("label_sd").alias("label_sd"), "label_n")
+    return out.select("ticker", "idx", "session", r6("label_mean").alias("label_mean"), r6("label_sd").alias("label_sd"), "label_n")
 
 
 @query
@@ -258,83 +272,86 @@ def candidate_selection(spark, sf):
 
 @query
 def score_predictions(spark, sf):
-    out = scoring.scores(naive(spark, sf), 1e-4, -1e-4)
+    out = scoring.scores(naive(spark, sf), 1e-4, -1e-4, by=["ticker"])
     return out.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
 @query
 def price_reconstruction(spark, sf):
-    prices = series_a(spark, sf).select("session", "close")
-    out = scoring.reconstructed_prices(naive(spark, sf), prices)
-    return out.select("issue_date", "target_date", "previous_actual_close", "actual_close", F.round("predicted_close", 4).alias("predicted_close"))
+    prices = m.market(spark, sf).select("ticker", "session", "close")
+    out = scoring.reconstructed_prices(naive(spark, sf), prices, by=["ticker"])
+    return out.select("ticker", "issue_date", "target_date", "previous_actual_close", "actual_close", F.round("predicted_close", 4).alias("predicted_close"))
 
 
 @query
 def price_mae(spark, sf):
-    out = scoring.price_errors(scoring.reconstructed_prices(naive(spark, sf), series_a(spark, sf).select("session", "close")))
-    return out.select(F.round("price_mae", 4).alias("price_mae"), F.round("last_close_mae", 4).alias("last_close_mae"))
+    prices = m.market(spark, sf).select("ticker", "session", "close")
+    out = scoring.price_errors(scoring.reconstructed_prices(naive(spark, sf), prices, by=["ticker"]), by=["ticker"])
+    return out.select("ticker", F.round("price_mae", 4).alias("price_mae"), F.round("last_close_mae", 4).alias("last_close_mae"))
 
 
 @query
 def return_errors(spark, sf):
-    out = scoring.return_errors(naive(spark, sf))
-    return out.select("issue_date", "target_date", r6("log_return_error").alias("log_return_error"), r6("simple_return_error").alias("simple_return_error"))
+    out = scoring.return_errors(naive(spark, sf), by=["ticker"])
+    return out.select("ticker", "issue_date", "target_date", r6("log_return_error").alias("log_return_error"), r6("simple_return_error").alias("simple_return_error"))
 
 
 @query
 def pearson_nmse(spark, sf):
-    sd = samples(spark, sf).where("idx < 200").agg(F.stddev_samp("target").alias("frozen_sd"))
-    out = scoring.normalised_errors(naive(spark, sf).crossJoin(F.broadcast(sd)), F.col("frozen_sd"))
-    return out.select(*(r6(c).alias(c) for c in out.columns))
+    """Errors over the second half of the sessions, in units of the labels' deviation at the first of these issues."""
+    rows = scoring.frozen_normaliser(samples(spark, sf), alignment.matured(MAX_TRAIN, HORIZON))
+    half = rows.groupBy("ticker").agg(F.floor(F.max("idx") / 2).alias("half"))
+    sd = rows.join(half, "ticker").where(F.col("idx") == F.col("half") + 1).select("ticker", "half", F.col("label_sd").alias("frozen_sd"))
+    out = scoring.normalised_errors(naive(spark, sf).join(sd, "ticker").where("idx > half"), F.col("frozen_sd"), by=["ticker"])
+    return out.select("ticker", *(r6(c).alias(c) for c in out.columns if c != "ticker"))
 
 
 def _test_and_calibration(spark, sf) -> tuple[DataFrame, DataFrame]:
     rows = naive(spark, sf)
-    half = rows.agg(F.floor(F.max("idx") / 2).alias("half"))
-    both = rows.crossJoin(F.broadcast(half))
+    both = rows.join(rows.groupBy("ticker").agg(F.floor(F.max("idx") / 2).alias("half")), "ticker")
     return both.where("idx > half").drop("half"), both.where("idx <= half").drop("half")
 
 
 @query
 def midcdf_allocation(spark, sf):
     test, cal = _test_and_calibration(spark, sf)
-    ranked = policy.mid_percentile(test, cal)
-    return ranked.select("idx", "issue_date", r6("percentile").alias("percentile"), r6(policy.allocation(F.col("percentile"))).alias("allocation"))
+    ranked = policy.mid_percentile(test, cal, by=["ticker"])
+    return ranked.select("ticker", "idx", "issue_date", r6("percentile").alias("percentile"), r6(policy.allocation(F.col("percentile"))).alias("allocation"))
 
 
 def _strategies(spark, sf, simple: str = "close") -> DataFrame:
     test, cal = _test_and_calibration(spark, sf)
-    ranked = policy.mid_percentile(test, cal)
+    ranked = policy.mid_percentile(test, cal, by=["ticker"])
     if simple == "close":
         ranked = ranked.withColumn("asset_simple_return", F.expm1("actual_return"))
     else:
-        day = series_a(spark, sf).select(F.col("session").alias("target_date"), (F.col("close") / F.col("open") - 1).alias("asset_simple_return"))
-        ranked = ranked.join(day, "target_date")
+        day = m.market(spark, sf).select("ticker", F.col("session").alias("target_date"), (F.col("close") / F.col("open") - 1).alias("asset_simple_return"))
+        ranked = ranked.join(day, ["ticker", "target_date"])
     kinds = F.array(F.struct(F.lit("percentile").alias("strategy"), policy.allocation(F.col("percentile")).alias("allocation")), *(F.struct(F.lit(n).alias("strategy"), F.lit(x).alias("allocation")) for n, x in (("half", 0.5), ("hold", 1.0))))
-    return ranked.select("*", F.explode(kinds).alias("k")).select("idx", "issue_date", "target_date", "asset_simple_return", "k.*")
+    return ranked.select("*", F.explode(kinds).alias("k")).select("ticker", "idx", "issue_date", "target_date", "asset_simple_return", "k.*")
 
 
 @query
 def backtest_ledger(spark, sf):
-    out = policy.ledger(_strategies(spark, sf))
-    return out.select("strategy", "idx", "issue_date", r6(F.ln("wealth")).alias("log_wealth"), r6("drawdown").alias("drawdown"), r6(F.col("cash_dollars") / F.col("wealth_before")).alias("cash_share"))
+    out = policy.ledger(_strategies(spark, sf), series=SERIES)
+    return out.select(*SERIES, "idx", "issue_date", r6(F.ln("wealth")).alias("log_wealth"), r6("drawdown").alias("drawdown"), r6(F.col("cash_dollars") / F.col("wealth_before")).alias("cash_share"))
 
 
 @query
 def backtest_performance(spark, sf):
-    out = policy.performance(policy.ledger(_strategies(spark, sf)))
-    return out.select("strategy", "sessions", r6(F.ln("final_wealth")).alias("log_final_wealth"), *(r6(c).alias(c) for c in ("max_drawdown_pct", "annualized_sharpe_rf0", "mean_allocation_pct", "min_allocation_pct", "max_allocation_pct")))
+    out = policy.performance(policy.ledger(_strategies(spark, sf), series=SERIES), by=SERIES)
+    return out.select(*SERIES, "sessions", r6(F.ln("final_wealth")).alias("log_final_wealth"), *(r6(c).alias(c) for c in ("max_drawdown_pct", "annualized_sharpe_rf0", "mean_allocation_pct", "min_allocation_pct", "max_allocation_pct")))
 
 
 @query
 def open_to_close_variant(spark, sf):
-    out = policy.performance(policy.ledger(_strategies(spark, sf, "open")))
-    return out.select("strategy", "sessions", r6(F.ln("final_wealth")).alias("log_final_wealth"), r6("max_drawdown_pct").alias("max_drawdown_pct"), r6("annualized_sharpe_rf0").alias("annualized_sharpe_rf0"))
+    out = policy.performance(policy.ledger(_strategies(spark, sf, "open"), series=SERIES), by=SERIES)
+    return out.select(*SERIES, "sessions", r6(F.ln("final_wealth")).alias("log_final_wealth"), r6("max_drawdown_pct").alias("max_drawdown_pct"), r6("annualized_sharpe_rf0").alias("annualized_sharpe_rf0"))
 
 
 @query
 def validate_contiguous(spark, sf):
-    bad = policy.violations(naive(spark, sf), series_a(spark, sf).select("session", "close"), atol=1e-9)
+    bad = policy.violations(naive(spark, sf), m.market(spark, sf).select("ticker", "session", "close"), atol=1e-9, by=["ticker"])
     return bad.agg(F.count("*").alias("violations"))
 
 
@@ -351,13 +368,13 @@ def confusion_matrix(spark, sf):
 
 @query
 def baseline_comparison(spark, sf):
-    out = scoring.baseline_table(scoring.previous_direction(series_a(spark, sf)))
-    return out.select("method", r6("accuracy").alias("accuracy"))
+    out = scoring.baseline_table(scoring.previous_direction(m.market(spark, sf)), by=["ticker"])
+    return out.select("ticker", "method", r6("accuracy").alias("accuracy"))
 
 
 @query
 def factor_frequency(spark, sf):
-    """How often each factor has the strongest rolling correlation."""
+    """How often each factor passes the screen: a rolling correlation of 0.05 or more, either way."""
     names = ["N_ret", "R_ret", "A_range"]
     p = screen.rolling(m.panel(spark, sf).withColumn("ticker", F.col("series")), names, "ret", alignment.matured(MAX_TRAIN, HORIZON), LEAST)
     picked = p.where(F.col("train_n") >= LEAST).select(F.filter(F.array(*(F.when(F.abs(f"corr_{n}") >= 0.05, F.lit(n)) for n in names)), lambda x: x.isNotNull()).alias("factors"))
@@ -366,12 +383,13 @@ def factor_frequency(spark, sf):
 
 @query
 def block_bootstrap(spark, sf):
-    rows = naive(spark, sf).select((F.col("idx") - 1).alias("idx"), (F.abs(F.col("predicted_return") - F.col("actual_return")) - F.abs("actual_return")).alias("difference"))
-    n = rows.agg(F.count("*").alias("n"))
-    reps = spark.range(1000).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n)).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 20) - 1)).alias("block_no"))
-    starts = reps.select("rep", "block_no", ((F.col("rep") * 7919 + F.col("block_no") * 104729) % F.col("n")).alias("start"))
-    out = scoring.block_bootstrap(rows, starts)
-    return out.select(*(r6(c).alias(c) for c in out.columns))
+    rows = naive(spark, sf).select("ticker", (F.col("idx") - 1).alias("idx"), (F.abs(F.col("predicted_return") - F.col("actual_return")) - F.abs("actual_return")).alias("difference"))
+    n = rows.groupBy("ticker").agg(F.count("*").alias("n"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 20) - 1))
+    reps = n.crossJoin(F.broadcast(spark.range(1000).select(F.col("id").alias("rep")))).select("ticker", "rep", "n", blocks.alias("block_no"))
+    starts = reps.select("ticker", "rep", "block_no", ((F.col("rep") * 7919 + F.col("block_no") * 104729) % F.col("n")).alias("start"))
+    out = scoring.block_bootstrap(rows, starts, by=["ticker"])
+    return out.select("ticker", *(r6(c).alias(c) for c in out.columns if c != "ticker"))
 
 
 @query

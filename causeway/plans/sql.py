@@ -18,9 +18,11 @@ RET = f"""{M},
 r AS (SELECT *, coalesce(ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY session), 0) AS ret, ln(close / open) AS intraday,
   (high - low) / close AS rng, ln(1 + volume) AS logvol FROM m)"""
 A = f"{RET}, a AS (SELECT * FROM r WHERE ticker = 'A')"
-SAMPLES = f"""{A},
-s AS (SELECT * FROM (SELECT *, lead(session) OVER (ORDER BY session) AS target_date, ln(lead(close) OVER (ORDER BY session)) - ln(close) AS target FROM a) WHERE target_date IS NOT NULL),
-nv AS (SELECT idx, session AS issue_date, target_date, target AS actual_return, ret AS predicted_return FROM s WHERE idx > 0)"""
+SAMPLES = f"""{RET},
+s AS (SELECT * FROM (SELECT *, lead(session) OVER w AS target_date, ln(lead(close) OVER w) - ln(close) AS target FROM r WINDOW w AS (PARTITION BY ticker ORDER BY session)) WHERE target_date IS NOT NULL),
+nv AS (SELECT ticker, idx, session AS issue_date, target_date, target AS actual_return, ret AS predicted_return FROM s WHERE idx > 0)"""
+#: Rows of the windows of every issue, the oldest at pos 0.
+WINDOWS = f"win AS (SELECT i.ticker, i.idx AS issue, r.idx - i.idx + {W - 1} AS pos, r.session, r.close, r.ret, r.rng FROM r i JOIN r ON r.ticker = i.ticker AND r.idx BETWEEN i.idx - {W - 1} AND i.idx WHERE i.idx >= {W - 1})"
 BRANDS = """bb AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS session, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (100 * sum(l_quantity)) AS close
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 br AS (SELECT session, CASE WHEN abs(q) < 0.7 THEN q END AS q FROM (SELECT session, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY session)) AS q FROM bb)),
@@ -30,10 +32,10 @@ PANEL = f"""{RET}, {BRANDS},
 wide AS (SELECT session, max(idx) AS idx, max(ret) FILTER (ticker = 'A') AS ret, max(ret) FILTER (ticker = 'N') AS N_ret, max(ret) FILTER (ticker = 'R') AS R_ret, max(rng) FILTER (ticker = 'A') AS A_range FROM r GROUP BY session),
 panel AS (SELECT wide.*, coalesce(breadth_mean, 0) AS breadth_mean FROM wide LEFT JOIN breadth USING (session))"""
 FRAME = f"ROWS BETWEEN {TRAIN} PRECEDING AND 1 PRECEDING"
-CDF = f"""{SAMPLES},
-hf AS (SELECT CAST(floor(max(idx) / 2) AS BIGINT) AS half FROM nv),
-test AS (SELECT nv.* FROM nv, hf WHERE idx > half), cal AS (SELECT predicted_return AS v FROM nv, hf WHERE idx <= half),
-pct AS (SELECT test.*, (SELECT CAST(count(*) FILTER (v < predicted_return) + count(*) FILTER (v <= predicted_return) AS DOUBLE) / (2 * count(*)) FROM cal) AS percentile FROM test),
+HALF = "hf AS (SELECT ticker, CAST(floor(max(idx) / 2) AS BIGINT) AS half FROM nv GROUP BY ticker)"
+CDF = f"""{SAMPLES}, {HALF},
+test AS (SELECT nv.* FROM nv JOIN hf USING (ticker) WHERE idx > half), cal AS (SELECT ticker, predicted_return AS v FROM nv JOIN hf USING (ticker) WHERE idx <= half),
+pct AS (SELECT test.*, (SELECT CAST(count(*) FILTER (v < predicted_return) + count(*) FILTER (v <= predicted_return) AS DOUBLE) / (2 * count(*)) FROM cal WHERE cal.ticker = test.ticker) AS percentile FROM test),
 alloc AS (SELECT *, 0.2::DOUBLE + (0.8::DOUBLE - 0.2::DOUBLE) * percentile AS allocation FROM pct)"""
 
 
@@ -52,28 +54,28 @@ def signature(depth: int) -> str:
     """The window form: level k is a sum over segments of the lower levels before it times powers of its increment."""
     name = lambda w: "".join(map(str, w))
     power = lambda w: "(" + " * ".join(f"d{i}" for i in w) + f" / CAST({math.factorial(len(w))} AS DOUBLE))"
-    steps = [f"""w AS (SELECT issue, session, CAST(pos AS DOUBLE) / CAST({W - 1} AS DOUBLE) AS x1, ln(close) AS x2, pos FROM (SELECT i.idx AS issue, a.session, a.close, a.idx - i.idx + {W - 1} AS pos FROM a i JOIN a ON a.idx BETWEEN i.idx - {W - 1} AND i.idx WHERE i.idx >= {W - 1}))""",
-             "l0 AS (SELECT * FROM (SELECT issue, pos, x1 - lag(x1) OVER (PARTITION BY issue ORDER BY pos) AS d1, x2 - lag(x2) OVER (PARTITION BY issue ORDER BY pos) AS d2 FROM w) WHERE d1 IS NOT NULL)"]
+    steps = [WINDOWS, f"w AS (SELECT ticker, issue, CAST(pos AS DOUBLE) / CAST({W - 1} AS DOUBLE) AS x1, ln(close) AS x2, pos FROM win)",
+             "l0 AS (SELECT * FROM (SELECT ticker, issue, pos, x1 - lag(x1) OVER (PARTITION BY ticker, issue ORDER BY pos) AS d1, x2 - lag(x2) OVER (PARTITION BY ticker, issue ORDER BY pos) AS d2 FROM w) WHERE d1 IS NOT NULL)"]
     for k in range(1, depth + 1):
         words = list(itertools.product((1, 2), repeat=k))
         terms = ", ".join(" + ".join([power(w), *(f"p{name(w[:e])} * {power(w[e:])}" for e in range(1, k))]) + f" AS t{name(w)}" for w in words)
-        sums = ", ".join(f"coalesce(sum(t{name(w)}) OVER (PARTITION BY issue ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p{name(w)}" for w in words)
+        sums = ", ".join(f"coalesce(sum(t{name(w)}) OVER (PARTITION BY ticker, issue ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p{name(w)}" for w in words)
         steps += [f"e{k} AS (SELECT *, {terms} FROM l{k - 1})", f"l{k} AS (SELECT *, {sums} FROM e{k})"]
     every = [name(w) for k in range(1, depth + 1) for w in itertools.product((1, 2), repeat=k)]
-    return f"WITH {A}, {', '.join(steps)} SELECT issue, {', '.join(f'{r6(f"sum(t{w})")} AS s{w}' for w in every)} FROM l{depth} GROUP BY issue"
+    return f"WITH {RET}, {', '.join(steps)} SELECT ticker, issue, {', '.join(f'{r6(f"sum(t{w})")} AS s{w}' for w in every)} FROM l{depth} GROUP BY ticker, issue"
 
 
 def ledger(rows: str = "") -> str:
     source = "expm1_ AS (SELECT *, exp(actual_return) - 1 AS x FROM alloc)" if not rows else rows
     return f"""WITH {CDF}, {source},
-st AS (SELECT idx, issue_date, x, 'percentile' AS strategy, allocation FROM expm1_ UNION ALL SELECT idx, issue_date, x, 'half', CAST(0.5 AS DOUBLE) FROM expm1_ UNION ALL SELECT idx, issue_date, x, 'hold', CAST(1 AS DOUBLE) FROM expm1_),
-w AS (SELECT *, allocation * x AS pr, CAST(100 AS DOUBLE) * product(1 + allocation * x) OVER (PARTITION BY strategy ORDER BY idx ROWS UNBOUNDED PRECEDING) AS wealth FROM st),
-led AS (SELECT *, lag(wealth, 1, CAST(100 AS DOUBLE)) OVER (PARTITION BY strategy ORDER BY idx) AS wealth_before, wealth / greatest(100, max(wealth) OVER (PARTITION BY strategy ORDER BY idx ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown FROM w)"""
+st AS (SELECT ticker, idx, issue_date, x, 'percentile' AS strategy, allocation FROM expm1_ UNION ALL SELECT ticker, idx, issue_date, x, 'half', CAST(0.5 AS DOUBLE) FROM expm1_ UNION ALL SELECT ticker, idx, issue_date, x, 'hold', CAST(1 AS DOUBLE) FROM expm1_),
+w AS (SELECT *, allocation * x AS pr, CAST(100 AS DOUBLE) * product(1 + allocation * x) OVER (PARTITION BY ticker, strategy ORDER BY idx ROWS UNBOUNDED PRECEDING) AS wealth FROM st),
+led AS (SELECT *, lag(wealth, 1, CAST(100 AS DOUBLE)) OVER (PARTITION BY ticker, strategy ORDER BY idx) AS wealth_before, wealth / greatest(100, max(wealth) OVER (PARTITION BY ticker, strategy ORDER BY idx ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown FROM w)"""
 
 
-PERFORMANCE = f"""strategy, count(*) AS sessions, {r6('ln(arg_max(wealth, idx))')} AS log_final_wealth, {r6('-100 * min(drawdown)')} AS max_drawdown_pct,
+PERFORMANCE = f"""ticker, strategy, count(*) AS sessions, {r6('ln(arg_max(wealth, idx))')} AS log_final_wealth, {r6('-100 * min(drawdown)')} AS max_drawdown_pct,
   {r6('CASE WHEN count(*) > 1 AND stddev_samp(pr) > 1e-15 THEN sqrt(CAST(252 AS DOUBLE)) * avg(pr) / stddev_samp(pr) END')} AS annualized_sharpe_rf0"""
-OPEN = "expm1_ AS (SELECT alloc.idx, issue_date, allocation, a.close / a.open - 1 AS x FROM alloc JOIN a ON a.session = target_date)"
+OPEN = "expm1_ AS (SELECT alloc.ticker, alloc.idx, issue_date, allocation, r.close / r.open - 1 AS x FROM alloc JOIN r ON r.ticker = alloc.ticker AND r.session = target_date)"
 DIRECTION = f"""{M},
 pd AS (SELECT * FROM (SELECT ticker, idx, lag(session) OVER w AS previous_session_date, session AS issue_date, lead(session) OVER w AS target_date,
   CASE WHEN ln(close / lag(close) OVER w) > 0 THEN 'UP' ELSE 'DOWN' END AS predicted_direction, CASE WHEN ln(lead(close) OVER w / close) > 0 THEN 'UP' ELSE 'DOWN' END AS actual_direction
@@ -100,9 +102,9 @@ def scores() -> str:
     part = lambda a, b: r6(f"CAST({a} AS DOUBLE) / nullif({b}, 0)")
     return f"""WITH {SAMPLES},
 d AS (SELECT *, CASE WHEN predicted_return > 1e-4 THEN 1 WHEN predicted_return <= -1e-4 THEN -1 ELSE 0 END AS said, actual_return > 0 AS up, actual_return - predicted_return AS e FROM nv),
-c AS (SELECT count(*) AS n, count(*) FILTER (up) AS u, count(*) FILTER (NOT up) AS dn, count(*) FILTER (said = 1) AS pu, count(*) FILTER (said = -1) AS pdn, count(*) FILTER (said = 0) AS ne,
-  count(*) FILTER (said = 1 AND up) AS cu, count(*) FILTER (said = -1 AND NOT up) AS cd, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(abs(actual_return)) AS zmae FROM d)
-SELECT n, u AS actual_up_days, dn AS actual_down_days, pu AS predicted_up_days, pdn AS predicted_down_days, ne AS neutral_days, cu AS correct_up_days, cd AS correct_down_days,
+c AS (SELECT ticker, count(*) AS n, count(*) FILTER (up) AS u, count(*) FILTER (NOT up) AS dn, count(*) FILTER (said = 1) AS pu, count(*) FILTER (said = -1) AS pdn, count(*) FILTER (said = 0) AS ne,
+  count(*) FILTER (said = 1 AND up) AS cu, count(*) FILTER (said = -1 AND NOT up) AS cd, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(abs(actual_return)) AS zmae FROM d GROUP BY ticker)
+SELECT ticker, n, u AS actual_up_days, dn AS actual_down_days, pu AS predicted_up_days, pdn AS predicted_down_days, ne AS neutral_days, cu AS correct_up_days, cd AS correct_down_days,
   {r6('mae')} AS return_mae, {r6('rmse')} AS return_rmse, {r6('zmae')} AS zero_return_mae, {part('(cu + cd)', 'n')} AS accuracy, {part('cu', 'u')} AS up_recall, {part('cd', 'dn')} AS down_recall,
   {part('cu', 'pu')} AS up_precision, {part('cd', 'pdn')} AS down_precision, {part('greatest(u, dn)', 'n')} AS majority_accuracy, {part('pu', 'n')} AS predicted_up_rate, {part('pdn', 'n')} AS predicted_down_rate,
   {part('ne', 'n')} AS neutral_rate, {part('u', 'n')} AS actual_up_rate, {r6('(CAST(cu AS DOUBLE) / nullif(u, 0) + CAST(cd AS DOUBLE) / nullif(dn, 0)) / 2')} AS balanced_accuracy FROM c"""
@@ -125,7 +127,7 @@ def oracles() -> dict[str, str]:
         "next_up_label": f"WITH {M} SELECT ticker, session, CAST(coalesce(lead(close) OVER (PARTITION BY ticker ORDER BY session) > close, false) AS INTEGER) AS up FROM m",
         "asof_next_session": f"WITH {A}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS event_date FROM orders) SELECT o.*, a.session, a.idx FROM o ASOF JOIN a ON o.event_date < a.session",
         "filing_panel_locf": f"""WITH {A}, o AS (SELECT c_nationkey AS symbol, CAST(o_orderdate AS DATE) AS event_date, o_orderkey AS pos, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey),
-d AS (SELECT symbol, a.idx, arg_max(v, row(event_date, pos)) AS v FROM o ASOF JOIN a ON o.event_date < a.session GROUP BY ALL),
+d AS (SELECT symbol, a.idx, arg_max(v, pos) AS v FROM o ASOF JOIN a ON o.event_date < a.session GROUP BY ALL),
 g AS (SELECT idx, session, symbol, last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY idx ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT a.idx, a.session, c.symbol, d.v FROM a CROSS JOIN (SELECT DISTINCT c_nationkey AS symbol FROM customer) c LEFT JOIN d ON d.idx = a.idx AND d.symbol = c.symbol))
 SELECT idx, session, {r6('avg(v)')} AS mean_fact, {r6('CAST(count(v) AS DOUBLE) / count(*)')} AS coverage FROM g GROUP BY idx, session""",
         "latest_fact": "SELECT o_custkey AS symbol, arg_max(o_totalprice, row(CAST(o_orderdate AS DATE), -o_orderkey)) AS val, strftime(max(o_orderdate), '%Y-%m-%d') AS \"end\" FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-06-30' GROUP BY 1",
@@ -140,40 +142,44 @@ p AS (SELECT idx, k, sum(x / norm) AS s FROM v JOIN u USING (r) JOIN n USING (r)
 c AS (SELECT idx, session, count(*) AS docs, avg(least(length(text), 5000) / CAST(5000 AS DOUBLE)) AS mean_length FROM n GROUP BY 1, 2)
 SELECT c.idx, session, CAST(b.k AS INTEGER) AS k, {r6('coalesce(s, 0) / docs')} AS value FROM c CROSS JOIN range(32) b(k) LEFT JOIN p ON p.idx = c.idx AND p.k = b.k
 UNION ALL SELECT idx, session, 32, {r6('ln(1 + docs)')} FROM c UNION ALL SELECT idx, session, 33, {r6('mean_length')} FROM c""",
-        "sample_windows": f"""WITH {A}, w AS (SELECT i.idx AS issue, a.session, a.close, a.idx - i.idx + {W - 1} AS pos FROM a i JOIN a ON a.idx BETWEEN i.idx - {W - 1} AND i.idx WHERE i.idx >= {W - 1})
-SELECT issue, count(*) AS n, min(session) AS first_session, max(session) AS last_session, {r6('ln(arg_max(close, pos) / arg_min(close, pos))')} AS anchored_last, {r6(f'sum(ln(close)) - {W} * ln(arg_min(close, pos))', 5)} AS anchored_sum FROM w GROUP BY issue""",
+        "sample_windows": f"""WITH {RET}, {WINDOWS}
+SELECT ticker, issue, count(*) AS n, min(session) AS first_session, max(session) AS last_session, {r6('ln(arg_max(close, pos) / arg_min(close, pos))')} AS anchored_last, {r6(f'sum(ln(close)) - {W} * ln(arg_min(close, pos))', 5)} AS anchored_sum FROM win GROUP BY ticker, issue""",
         **{f"signature_depth{d}": signature(d) for d in (1, 2, 3)},
-        "window_standardize": f"""WITH {A}, c AS (SELECT CAST(floor(max(idx) * 8 / 10) AS BIGINT) AS cut FROM a), w AS (SELECT a.ret, a.rng FROM a i JOIN a ON a.idx BETWEEN i.idx - {W - 1} AND i.idx, c WHERE i.idx >= {W - 1} AND i.idx < cut)
-{' UNION ALL '.join(f"SELECT '{f}' AS feature, {r6(f'avg({f})')} AS mean, {r6(f'greatest(stddev_pop({f}), 1e-4)')} AS sd, count({f}) AS n FROM w" for f in ('ret', 'rng'))}""",
+        "window_standardize": f"""WITH {RET}, {WINDOWS}, c AS (SELECT ticker, CAST(floor(max(idx) * 8 / 10) AS BIGINT) AS cut FROM r GROUP BY ticker), w AS (SELECT win.* FROM win JOIN c USING (ticker) WHERE issue < cut)
+{' UNION ALL '.join(f"SELECT ticker, '{f}' AS feature, {r6(f'avg({f})')} AS mean, {r6(f'greatest(stddev_pop({f}), 1e-4)')} AS sd, count({f}) AS n FROM w GROUP BY ticker" for f in ('ret', 'rng'))}""",
+        "standardized_windows": f"""WITH {RET}, {WINDOWS}, c AS (SELECT ticker, CAST(floor(max(idx) * 8 / 10) AS BIGINT) AS cut FROM r GROUP BY ticker),
+mo AS (SELECT ticker, {', '.join(f'avg({f}) AS m_{f}, greatest(stddev_pop({f}), 1e-4) AS d_{f}' for f in ('ret', 'rng'))} FROM win JOIN c USING (ticker) WHERE issue < cut GROUP BY ticker),
+z AS (SELECT ticker, issue, {', '.join(f'greatest(-8, least(8, ({f} - m_{f}) / d_{f})) AS {f}' for f in ('ret', 'rng'))} FROM win JOIN mo USING (ticker))
+SELECT ticker, issue, {', '.join(f'{r6(f"sum({f})")} AS {f}_sum, {r6(f"max(abs({f}))")} AS {f}_top' for f in ('ret', 'rng'))} FROM z GROUP BY ticker, issue""",
         "factor_screen_rolling": f"WITH {SCREEN} SELECT idx, session, train_n, {', '.join(f'{r6(f"corr_{f}")} AS corr_{f}' for f in NAMES)} FROM sc",
         "factor_corr_matrix": f"WITH {PANEL} {pairs}",
         "factor_screen_table": f"WITH {PANEL} {' UNION ALL '.join(f"SELECT '{f}' AS factor, {r6(corr(f, 'ret'))} AS correlation FROM panel" for f in four)}",
-        "training_calendar": f"WITH {SAMPLES} SELECT idx, session, target_date, min(session) OVER w AS training_issue_first, max(session) OVER w AS training_issue_last, max(target_date) OVER w AS latest_training_target, count(*) OVER w AS training_examples FROM s WINDOW w AS (ORDER BY idx {FRAME})",
-        "frozen_normalizer": f"WITH {SAMPLES} SELECT * FROM (SELECT idx, session, {r6('avg(target) OVER w')} AS label_mean, {r6('stddev_samp(target) OVER w')} AS label_sd, count(target) OVER w AS label_n FROM s WINDOW w AS (ORDER BY idx {FRAME})) WHERE label_n >= 2",
+        "training_calendar": f"WITH {SAMPLES} SELECT ticker, idx, session, target_date, min(session) OVER w AS training_issue_first, max(session) OVER w AS training_issue_last, max(target_date) OVER w AS latest_training_target, count(*) OVER w AS training_examples FROM s WINDOW w AS (PARTITION BY ticker ORDER BY idx {FRAME})",
+        "frozen_normalizer": f"WITH {SAMPLES} SELECT * FROM (SELECT ticker, idx, session, {r6('avg(target) OVER w')} AS label_mean, {r6('stddev_samp(target) OVER w')} AS label_sd, count(target) OVER w AS label_n FROM s WINDOW w AS (PARTITION BY ticker ORDER BY idx {FRAME})) WHERE label_n >= 2",
         "softmax_weights_neff": f"""WITH {RET}, e AS (SELECT ticker, exp(-0.5 * abs(ret) - max(-0.5 * abs(ret)) OVER (PARTITION BY ticker)) AS w FROM r)
 SELECT ticker, {r6('sum(w) / sum(w)')} AS total, {r6('sum(w) * sum(w) / sum(w * w)', 4)} AS n_eff, {r6('max(w) / sum(w) * 1000')} AS largest FROM e GROUP BY ticker""",
         "weighted_gram": gram(),
         "score_predictions": scores(),
-        "price_reconstruction": f"WITH {SAMPLES} SELECT issue_date, target_date, i.close AS previous_actual_close, t.close AS actual_close, {r6('i.close * exp(predicted_return)', 4)} AS predicted_close FROM nv JOIN a i ON i.session = issue_date JOIN a t ON t.session = target_date",
-        "price_mae": f"WITH {SAMPLES} SELECT {r6('avg(abs(i.close * exp(predicted_return) - t.close))', 4)} AS price_mae, {r6('avg(abs(i.close - t.close))', 4)} AS last_close_mae FROM nv JOIN a i ON i.session = issue_date JOIN a t ON t.session = target_date",
-        "return_errors": f"WITH {SAMPLES} SELECT issue_date, target_date, {r6('abs(predicted_return - actual_return)')} AS log_return_error, {r6('abs(exp(predicted_return) - exp(actual_return))')} AS simple_return_error FROM nv",
-        "pearson_nmse": f"""WITH {SAMPLES}, sd AS (SELECT stddev_samp(target) AS sd FROM s WHERE idx < 200),
-q AS (SELECT (avg(predicted_return * actual_return) - avg(predicted_return) * avg(actual_return)) / (stddev_pop(predicted_return) * stddev_pop(actual_return)) AS pearson, avg((actual_return - predicted_return) * (actual_return - predicted_return)) AS mse, avg(actual_return * actual_return) AS zero FROM nv)
-SELECT {r6('pearson')} AS pearson, {r6('mse')} AS mse, {r6('mse / (sd * sd)')} AS normalised_mse, {r6('zero / (sd * sd)')} AS zero_normalised_mse, {r6('1 - mse / zero')} AS skill FROM q, sd""",
-        "midcdf_allocation": f"WITH {CDF} SELECT idx, issue_date, {r6('percentile')} AS percentile, {r6('allocation')} AS allocation FROM alloc",
-        "backtest_ledger": f"{ledger()} SELECT strategy, idx, issue_date, {r6('ln(wealth)')} AS log_wealth, {r6('drawdown')} AS drawdown, {r6('(wealth_before * (1 - allocation)) / wealth_before')} AS cash_share FROM led",
-        "backtest_performance": f"{ledger()} SELECT {PERFORMANCE}, {r6('100 * avg(allocation)')} AS mean_allocation_pct, {r6('100 * min(allocation)')} AS min_allocation_pct, {r6('100 * max(allocation)')} AS max_allocation_pct FROM led GROUP BY strategy",
-        "open_to_close_variant": f"{ledger(OPEN)} SELECT {PERFORMANCE} FROM led GROUP BY strategy",
-        "validate_contiguous": f"WITH {SAMPLES} SELECT count(*) AS violations FROM (SELECT n.*, lead(a.session) OVER (ORDER BY a.session) AS nx, lead(a.close) OVER (ORDER BY a.session) AS c1, a.close AS c0 FROM a LEFT JOIN nv n ON n.issue_date = a.session) WHERE issue_date IS NOT NULL AND (nx IS DISTINCT FROM target_date OR abs(actual_return - ln(c1 / c0)) > 1e-9)",
+        "price_reconstruction": f"WITH {SAMPLES} SELECT nv.ticker, issue_date, target_date, i.close AS previous_actual_close, t.close AS actual_close, {r6('i.close * exp(predicted_return)', 4)} AS predicted_close FROM nv JOIN r i ON i.ticker = nv.ticker AND i.session = issue_date JOIN r t ON t.ticker = nv.ticker AND t.session = target_date",
+        "price_mae": f"WITH {SAMPLES} SELECT nv.ticker, {r6('avg(abs(i.close * exp(predicted_return) - t.close))', 4)} AS price_mae, {r6('avg(abs(i.close - t.close))', 4)} AS last_close_mae FROM nv JOIN r i ON i.ticker = nv.ticker AND i.session = issue_date JOIN r t ON t.ticker = nv.ticker AND t.session = target_date GROUP BY nv.ticker",
+        "return_errors": f"WITH {SAMPLES} SELECT ticker, issue_date, target_date, {r6('abs(predicted_return - actual_return)')} AS log_return_error, {r6('abs(exp(predicted_return) - exp(actual_return))')} AS simple_return_error FROM nv",
+        "pearson_nmse": f"""WITH {SAMPLES}, {HALF}, sd AS (SELECT n.ticker, n.half, n.sd FROM (SELECT s.ticker, s.idx, half, stddev_samp(target) OVER (PARTITION BY s.ticker ORDER BY idx {FRAME}) AS sd FROM s JOIN (SELECT ticker, CAST(floor(max(idx) / 2) AS BIGINT) AS half FROM s GROUP BY ticker) h USING (ticker)) n WHERE idx = half + 1),
+q AS (SELECT ticker, (avg(predicted_return * actual_return) - avg(predicted_return) * avg(actual_return)) / (stddev_pop(predicted_return) * stddev_pop(actual_return)) AS pearson, avg((actual_return - predicted_return) * (actual_return - predicted_return)) AS mse, avg(actual_return * actual_return) AS zero FROM nv JOIN sd USING (ticker) WHERE idx > half GROUP BY ticker)
+SELECT ticker, {r6('pearson')} AS pearson, {r6('mse')} AS mse, {r6('mse / (sd * sd)')} AS normalised_mse, {r6('zero / (sd * sd)')} AS zero_normalised_mse, {r6('1 - mse / zero')} AS skill FROM q JOIN sd USING (ticker)""",
+        "midcdf_allocation": f"WITH {CDF} SELECT ticker, idx, issue_date, {r6('percentile')} AS percentile, {r6('allocation')} AS allocation FROM alloc",
+        "backtest_ledger": f"{ledger()} SELECT ticker, strategy, idx, issue_date, {r6('ln(wealth)')} AS log_wealth, {r6('drawdown')} AS drawdown, {r6('(wealth_before * (1 - allocation)) / wealth_before')} AS cash_share FROM led",
+        "backtest_performance": f"{ledger()} SELECT {PERFORMANCE}, {r6('100 * avg(allocation)')} AS mean_allocation_pct, {r6('100 * min(allocation)')} AS min_allocation_pct, {r6('100 * max(allocation)')} AS max_allocation_pct FROM led GROUP BY ticker, strategy",
+        "open_to_close_variant": f"{ledger(OPEN)} SELECT {PERFORMANCE} FROM led GROUP BY ticker, strategy",
+        "validate_contiguous": f"WITH {SAMPLES}, x AS (SELECT ticker, session, close AS c0, lead(session) OVER w AS nx, lead(close) OVER w AS c1 FROM r WINDOW w AS (PARTITION BY ticker ORDER BY session)) SELECT count(*) AS violations FROM nv JOIN x ON x.ticker = nv.ticker AND session = issue_date WHERE nx IS DISTINCT FROM target_date OR abs(actual_return - ln(c1 / c0)) > 1e-9",
         "prev_day_direction": f"WITH {DIRECTION} SELECT ticker, previous_session_date, issue_date, target_date, predicted_direction, actual_direction, correct FROM dd",
         "confusion_matrix": f"WITH {DIRECTION} SELECT t.ticker, c.actual, count(*) FILTER (actual_direction = c.actual AND predicted_direction = 'UP') AS predicted_up, count(*) FILTER (actual_direction = c.actual AND predicted_direction = 'DOWN') AS predicted_down FROM (SELECT DISTINCT ticker FROM dd) t CROSS JOIN (VALUES ('UP'), ('DOWN')) c(actual) JOIN dd ON dd.ticker = t.ticker GROUP BY 1, 2",
-        "baseline_comparison": f"WITH {DIRECTION}, x AS (SELECT avg(CAST(correct AS DOUBLE)) AS r, avg(CAST(actual_direction = 'UP' AS DOUBLE)) AS u FROM dd WHERE ticker = 'A') SELECT 'repeat previous' AS method, {r6('r')} AS accuracy FROM x UNION ALL SELECT 'always UP', {r6('u')} FROM x UNION ALL SELECT 'always DOWN', {r6('1 - u')} FROM x",
+        "baseline_comparison": f"WITH {DIRECTION}, x AS (SELECT ticker, avg(CAST(correct AS DOUBLE)) AS r, avg(CAST(actual_direction = 'UP' AS DOUBLE)) AS u FROM dd GROUP BY ticker) SELECT ticker, 'repeat previous' AS method, {r6('r')} AS accuracy FROM x UNION ALL SELECT ticker, 'always UP', {r6('u')} FROM x UNION ALL SELECT ticker, 'always DOWN', {r6('1 - u')} FROM x",
         "factor_frequency": f"WITH {SCREEN} SELECT factor, count(*) AS selected_sessions FROM ({freq}) GROUP BY factor",
-        "block_bootstrap": f"""WITH {SAMPLES}, e AS (SELECT idx - 1 AS idx, abs(predicted_return - actual_return) - abs(actual_return) AS d FROM nv), n AS (SELECT count(*) AS n FROM e),
-st AS (SELECT rep, b, (rep * 7919 + b * 104729) % n AS s, n FROM n, range(1000) t(rep), range(CAST(ceil((SELECT n FROM n) / 20.0) AS BIGINT)) u(b)),
-dy AS (SELECT rep, (s + k) % n AS idx FROM st, range(20) v(k) WHERE b * 20 + k < n), mm AS (SELECT rep, avg(d) AS m FROM dy JOIN e USING (idx) GROUP BY rep),
-q AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm)
-SELECT {r6('(SELECT avg(d) FROM e)')} AS difference, {r6('low')} AS low, {r6('high')} AS high FROM q""",
+        "block_bootstrap": f"""WITH {SAMPLES}, e AS (SELECT ticker, idx - 1 AS idx, abs(predicted_return - actual_return) - abs(actual_return) AS d FROM nv), n AS (SELECT ticker, count(*) AS n FROM e GROUP BY ticker),
+st AS (SELECT ticker, rep, b, (rep * 7919 + b * 104729) % n AS s, n FROM (SELECT ticker, n, rep, unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS b FROM n, range(1000) t(rep))),
+dy AS (SELECT ticker, rep, (s + k) % n AS idx FROM st, range(20) v(k) WHERE b * 20 + k < n), mm AS (SELECT ticker, rep, avg(d) AS m FROM dy JOIN e USING (ticker, idx) GROUP BY ticker, rep),
+q AS (SELECT ticker, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm GROUP BY ticker)
+SELECT ticker, {r6('difference')} AS difference, {r6('low')} AS low, {r6('high')} AS high FROM q JOIN (SELECT ticker, avg(d) AS difference FROM e GROUP BY ticker) USING (ticker)""",
         "split_ticker_summary": f"""WITH {RET}, y AS (SELECT ticker, CASE WHEN idx < 200 THEN 'train' ELSE 'test' END AS split, CAST(coalesce(lead(close) OVER (PARTITION BY ticker ORDER BY session) > close, false) AS INTEGER) AS label, 1 / (1 + exp(-ret)) AS p FROM r)
 SELECT split, ticker, count(*) AS n, {r6('avg(CAST(CAST(p >= 0.5 AS INTEGER) = label AS DOUBLE))')} AS accuracy, {r6('avg((p - label) * (p - label))')} AS brier, {r6('avg(CAST(label AS DOUBLE))')} AS up_rate, {r6('greatest(avg(CAST(label AS DOUBLE)), 1 - avg(CAST(label AS DOUBLE)))')} AS majority FROM y GROUP BY 1, 2""",
         "rolling_hit_rate": f"WITH {DIRECTION} SELECT ticker, issue_date, {r6('CASE WHEN count(*) OVER w >= 10 THEN avg(CAST(correct AS DOUBLE)) OVER w END')} AS rate FROM dd WINDOW w AS (PARTITION BY ticker ORDER BY issue_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
