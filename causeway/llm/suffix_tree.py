@@ -211,11 +211,12 @@ def _before(h: np.ndarray, doc: np.ndarray):
     return before
 
 
-def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, pairs: Broadcast | None, states: list[Broadcast], least: int, buckets: int) -> DataFrame:
+def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, often: list[Broadcast], states: list[Broadcast], least: int, buckets: int) -> DataFrame:
     """depth, code, context, suffix (the context without its first word), word and n of what occurs at least least times:
     contexts of first to last words with their next word, and with ANY. Contexts are left out where a suffix whose depth
-    has been settled (states) is no state or two words in a row are too rare. Entries are counted in each task and then
-    dealt into buckets by code."""
+    has been settled (states) is no state, or where two words in a row, or three of which the middle one is a state, are too
+    rare (often: the entries found for one word and for two). Entries are counted in each task and then dealt into buckets
+    by code."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -237,22 +238,29 @@ def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, pairs: Br
         for _, data, offsets in _text.slices(batches, "text"):
             h, doc = tokens(data, offsets)
             before, known = _before(h, doc), words.value.has(h)
-            joined = None if pairs is None else np.append(False, pairs.value.has(entry(longer(np.zeros(len(h) - 1, np.uint64), h[:-1]), h[1:])))
+            two, three = np.ones(len(h), bool), np.ones(len(h), bool)
+            one = longer(np.zeros(len(h) - 1, np.uint64), h[:-1])
+            if often:
+                two[1:] = often[0].value.has(entry(one, h[1:]))
+            if len(often) > 1:
+                three[2:] = often[1].value.has(entry(longer(one[1:], h[:-2]), h[2:])) | ~states[0].value.has(one[1:])
             at = np.flatnonzero(before(np.arange(len(h)), 1)[1])
             at = at[known[at - 1]]
             suffix, context = np.zeros(len(at), np.uint64), longer(np.zeros(len(at), np.uint64), h[at - 1])
             for d in range(1, last + 1):
                 if d > 1:
                     more, ok = before(at, d)
-                    ok &= joined[at - d + 1]
+                    ok &= two[at - d + 1]
+                    if d > 2:
+                        ok &= three[at - d + 2]
                     if d - 2 < len(states):
                         ok[ok] = states[d - 2].value.has(context[ok])
                     at, suffix = at[ok], context[ok]
                     context = longer(suffix, more[ok])
                 if d < first or not len(at):
                     continue
-                often = known[at] if pairs is None else joined[at]
-                every = np.concatenate((context[often], context)), np.concatenate((suffix[often], suffix)), np.concatenate((h[at[often]], np.full(len(at), ANY)))
+                some = known[at] & two[at] & (three[at] if d > 2 else True)
+                every = np.concatenate((context[some], context)), np.concatenate((suffix[some], suffix)), np.concatenate((h[at[some]], np.full(len(at), ANY)))
                 code, place, n = np.unique(entry(every[0], every[2]), return_index=True, return_counts=True)
                 held.append((np.full(len(code), d, np.uint8), *(x[place] for x in every), n.astype(np.uint32)))
                 size += len(code)
@@ -300,15 +308,15 @@ def learn(docs: DataFrame, *, cache: int = CACHE, least_count: int = LEAST_COUNT
     z = total + distinct + 1
     often = counts.where(F.col("c") >= least_count)
     send = docs.sparkSession.sparkContext.broadcast
-    words, pairs, maybe, depths = send(Bitmap(often, "h")), None, [], []
+    words, codes, maybe, depths = send(Bitmap(often, "h")), [], [], []
     buckets = max(32, -(-total // BUCKET_TOKENS))
     below = often.select(F.lit(0).cast("long").alias("suffix"), F.col("h").alias("word"), ((F.col("c") + 1) / F.lit(float(z))).alias("p"), F.lit(0.0).alias("s"))
     found = None
     for d in range(1, depth + 1):
         if d <= 3:
-            found = written(_entries(docs, d, depth if d == 3 else d, words, pairs, maybe, least_count, buckets), "entries")
-        if pairs is None:
-            pairs = send(Bitmap(found, "code"))
+            found = written(_entries(docs, d, depth if d == 3 else d, words, codes, maybe, least_count, buckets), "entries")
+        if d < 3:
+            codes.append(send(Bitmap(found, "code")))
         depths.append(written(_grown(found.where(F.col("depth") == d).drop("depth"), below), "kept"))
         if depths[-1].isEmpty():
             break
