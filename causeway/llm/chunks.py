@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.llm import _text
-from causeway.llm._common import written
+from causeway.llm._common import met, written
 
 WINDOW_BITS = 5
 LEAST, MOST = 32, 1024
@@ -136,7 +136,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     key_type = docs.schema["key"].dataType
     chunks = written(chunk_rows(docs, key_type), "chunks")
     place = F.struct("key", "part", "start")
-    first = chunks.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(chunks.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("part") == F.col("first.part")) & (F.col("start") == F.col("first.start"))
-    repeated = chunks.join(first, ["high", "low"]).where(~own).select("key", "part", "start", (F.col("start") + F.col("length")).alias("end"))
+    repeated = met(chunks, first, ["high", "low"], "n").where(~own).select("key", "part", "start", (F.col("start") + F.col("length")).alias("end"))
     return cut_out(docs, repeated, key_type).withColumnRenamed("key", key)

@@ -14,6 +14,7 @@ order; repeated rows count each time; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -75,12 +76,15 @@ def fit(counts: dict[int, int], budget: int, most: int = DP_WORDS) -> dict[int,
         more = min(counts[n] - taken[n], -(-(left - most) // n), left // n)
         taken[n] += more
         left -= more * n
+    # A common divisor of all lengths divides every sum.
+    unit = math.gcd(*lengths)
+    left //= unit
     # reachable[k]: a bit for each sum that the first k parts can make; a part is a number of documents of a length.
     parts, mask = [], (1 << (left + 1)) - 1
     for n in lengths:
-        c, k = min(counts[n] - taken[n], left // n), 1
+        c, k = min(counts[n] - taken[n], left * unit // n), 1
         while c > 0:
-            parts.append((n, min(k, c)))
+            parts.append((n // unit, min(k, c)))
             c -= k
             k *= 2
     reachable = [1]
@@ -92,7 +96,7 @@ def fit(counts: dict[int, int], budget: int, most: int = DP_WORDS) -> dict[int,
     for k in range(len(reachable) - 1, 0, -1):
         if not reachable[k - 1] >> at & 1:
             n, c = parts[k - 1]
-            taken[n] += c
+            taken[n * unit] += c
             at -= n * c
     return taken
 
@@ -140,9 +144,10 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: df's rows, each as often as the mix takes it. Rows with one id, source and text are alike."""
-    # A row keeps its place in the join by id and text.
-    part = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{source}`"))
+    """The mix itself: df's rows, each as often as the mix takes it. Rows that agree in all columns are alike."""
+    # A row keeps its place in the join by its id and its other columns; maps, which have no hash, are taken as text.
+    every = [(f"`{f.name}`", f.dataType.typeName()) for f in df.schema.fields if f.name != key]
+    part = F.xxhash64(*(x for c, kind in every for x in (F.col(c).isNull(), F.to_json(c) if kind == "map" else F.col(c))))
     names = [free_name(df, n) for n in ("mix_part", "mix_repeats", "mix_key", "mix_of")]
     marked = df.withColumn(names[0], part)
     taken = mix(df, key, text, source, part=part, **options).groupBy(F.col(f"`{key}`").alias(names[2]), F.col("part").alias(names[3])).agg(F.sum("repeats").alias(names[1])).where(F.col(names[1]) > 0)

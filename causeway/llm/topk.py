@@ -7,7 +7,9 @@ threshold, that score divided by its own and the block's largest length: above 1
 threshold is high, candidates are pruned coordinate by coordinate, on the few largest of the query's coordinates; else by
 length. What is left is verified by integer products, and the best k of each query over all blocks remain.
 
-Queries go to the candidates in packed blocks: a block pair is a row, so no pair of single vectors is shuffled.
+Queries go to the candidates in packed blocks, so no pair of single vectors is shuffled. Which blocks meet is settled on
+their numbers alone, dealt out over many keys: those are left out whose longest vector is too short for all queries of a
+block.
 
 Defined results: rows whose id or vector is null, or whose vector holds null or non-finite components, take no part;
 vectors of different dimensions never meet; ties go to the smaller id; repeated rows are candidates of their own (but no
@@ -47,6 +49,8 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "id"], ascending=[False, True])
     head = pdf.iloc[0]
     matrix = np.array(pdf["vector"].to_list(), dtype=np.int64).reshape(len(pdf), int(head["dim"]))
+    if np.abs(matrix).max(initial=0) < 2**31:
+        matrix = matrix.astype(np.int32)
     return pd.DataFrame([{"dim": int(head["dim"]), "bucket": int(head["bucket"]), "block": int(head["block"]), "longest": float(head["length"]), "ids": pdf["id"].to_numpy(np.int64).tobytes(), "matrix": matrix.tobytes()}])
 
 
@@ -121,7 +125,8 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *, is_q
 
     def rows_of(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
         i = np.frombuffer(ids, np.int64)
-        return i, np.frombuffer(matrix, np.int64).reshape(len(i), dim)
+        narrow = len(matrix) == 4 * len(i) * dim
+        return i, np.frombuffer(matrix, np.int32 if narrow else np.int64).astype(np.int64).reshape(len(i), dim)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +139,14 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *, is_q
                     worst = np.full(len(qid), np.inf)
                     np.minimum.at(worst, n, s)
                     least[full] = worst[full]
-                yield pa.RecordBatch.from_pylist([{"dim": r["dim"], "asked": r["ids"], "q": r["matrix"], "least": least.tobytes()}], pa.schema([("dim", pa.int32()), ("asked", pa.binary()), ("q", pa.binary()), ("least", pa.binary())]))
+                size = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+                # a candidate shorter than this answers no query of the block
+                reach = np.where(size > 0, least / np.where(size > 0, size, 1), np.where(least > 0, np.inf, -np.inf)) * (1 - 1e-9)
+                row = {"dim": r["dim"], "question": r["block"], "reach": float(reach.min(initial=np.inf)), "asked": r["ids"], "q": r["matrix"], "least": least.tobytes()}
+                yield pa.RecordBatch.from_pylist([row], kind)
 
-    queries = written(asked.mapInArrow(look, "dim int, asked binary, q binary, least binary"), "queries")
+    kind = pa.schema([("dim", pa.int32()), ("question", pa.int64()), ("reach", pa.float64()), ("asked", pa.binary()), ("q", pa.binary()), ("least", pa.binary())])
+    queries = written(asked.mapInArrow(look, "dim int, question long, reach double, asked binary, q binary, least binary"), "queries")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,8 +156,11 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *, is_q
                 n, c, s = search_block(qid, q, np.frombuffer(r["least"], np.float64), *rows_of(r["ids"], r["matrix"], r["dim"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[n]), pa.array(c), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    tasks = max(1, min(4096, cand.count()))
-    pairs = cand.repartition(tasks, "dim", "bucket", "block").join(queries, "dim")
+    salts = max(1, -(-cand.count() // 64))
+    numbers = cand.select("dim", "bucket", "block", "longest", F.pmod(F.xxhash64("bucket", "block"), F.lit(salts)).alias("salt"))
+    questions = queries.select("dim", "question", "reach", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    meeting = numbers.join(questions, ["dim", "salt"]).where("longest >= reach").select("dim", "bucket", "block", "question")
+    pairs = meeting.join(queries, ["dim", "question"]).join(cand, ["dim", "bucket", "block"])
     found = pairs.select("dim", "ids", "matrix", "asked", "q", "least").mapInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from causeway.llm._common import free_name, met, written
+
 MAX_BYTES = 64 << 20
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,6 +66,7 @@ class DigestArray:
         self.keys = np.array([xxhash.xxh64_intdigest(r.text) for r in order], dtype="<u8").tobytes()
         self.rules = [(r.text, r.host, r.verdict) for r in order]
         self.path_lengths = sorted({len(r.path) for r in order})
+        self.longest_host = max((len(r.host) for r in order), default=0)
 
     def size(self) -> int:
         return len(self.keys) + sum(len(a) + len(b) + 64 for a, b, _ in self.rules)
@@ -78,33 +81,38 @@ class DigestArray:
             return np.memmap(f, dtype="<u8", mode="r", shape=(len(self.keys) // 8,))
 
 
-def probes(host: str, path: str, path_lengths: Sequence[int]) -> list[str]:
-    """The strings a rule for this url can have, those that win first."""
+def probes(host: str, path: str, path_lengths: Sequence[int], longest_host: int) -> list[str]:
+    """The strings a rule for this url can have, those that win first; no rule has a longer host than longest_host."""
     if not host:
         return []
     parts = host.split(".")
     found = []
-    for i in range(len(parts)):
+    for i in range(max(0, len(parts) - longest_host - 1), len(parts)):
         suffix = ".".join(parts[i:])
+        if len(suffix) > longest_host:
+            continue
         found += [(len(suffix) + n, len(suffix), suffix + path[:n]) for n in path_lengths if n <= len(path)]
     return [s for _, _, s in sorted(found, key=lambda x: (-x[0], -x[1]))]
 
 
 def judge(df: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", *, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """df's columns other than url, host, path, rule and verdict, with these four: rule is null where none fits."""
+    """df's columns other than url with host, path, rule (null where none fits) and verdict; underscores follow a name that
+    df has already. Of equal rules, the first holds."""
     host, path = host_and_path(F.col(f"`{url}`"))
-    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {url.lower(), "host", "path", "rule", "verdict"}]
-    split = df.select(*rest, host.alias("host"), path.alias("path"))
+    rest = df.drop(url)
+    names = [free_name(rest, c) for c in ("host", "path", "rule", "verdict")]
+    split = df.select(*(F.col(f"`{c}`") for c in rest.columns), host.alias(names[0]), path.alias(names[1]))
     array = DigestArray(rules)
     if array.size() > max_bytes:
-        return _judge_by_join(split, df.sparkSession.createDataFrame([(r.text, r.host, r.verdict) for r in rules], "rule string, rule_host string, rule_verdict string"), array.path_lengths, default)
+        table = df.sparkSession.createDataFrame([(i, r.text, r.verdict) for i, r in enumerate(rules)], "number int, rule string, verdict string")
+        return _judge_by_join(split, table, names, array.path_lengths, array.longest_host, default)
     shared = df.sparkSession.sparkContext.broadcast(array)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, keys = shared.value, shared.value.mapped()
         for batch in batches:
-            hosts, paths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path"))
-            asked = [probes(h, p, found.path_lengths) for h, p in zip(hosts, paths, strict=True)]
+            hosts, paths = (batch.column(i).to_pylist() for i in (batch.num_columns - 2, batch.num_columns - 1))
+            asked = [probes(h, p, found.path_lengths, found.longest_host) for h, p in zip(hosts, paths, strict=True)]
             row = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
             text = [s for a in asked for s in a]
             digests = np.fromiter((xxhash.xxh64_intdigest(s) for s in text), np.uint64, len(text))
@@ -117,22 +125,25 @@ def judge(df: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", *, def
                         if found.rules[k][0] == text[i]:
                             rule[row[i]], verdict[row[i]] = found.rules[k][0], found.rules[k][2]
                             break
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, *names[2:]])
 
-    return split.mapInArrow(run, T.StructType([*split.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
+    return split.mapInArrow(run, T.StructType([*split.schema.fields, *(T.StructField(c, T.StringType()) for c in names[2:])]))
 
 
-def _judge_by_join(split: DataFrame, rules: DataFrame, path_lengths: Sequence[int], default: str) -> DataFrame:
-    """The same for rules of any number: each distinct host and path is joined with the rules it can have."""
+def _judge_by_join(split: DataFrame, rules: DataFrame, names: Sequence[str], path_lengths: Sequence[int], longest_host: int, default: str) -> DataFrame:
+    """The same for rules (number, rule, verdict) of any number: each distinct host and path is joined with the rules it can
+    have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, s, k) for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, s in enumerate(probes(h, p, path_lengths))]
+            rows = [(h, p, s, k) for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, s in enumerate(probes(h, p, path_lengths, longest_host))]
             yield pa.RecordBatch.from_pylist([dict(zip(("host", "path", "rule", "place"), r, strict=True)) for r in rows], pa.schema([("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("place", pa.int32())]))
 
-    rules = rules.groupBy("rule").agg(F.first("rule_verdict").alias("rule_verdict"))
-    asked = split.select("host", "path").distinct().mapInArrow(run, "host string, path string, rule string, place int")
-    best = asked.join(rules, "rule").groupBy("host", "path").agg(F.min_by(F.struct("rule", "rule_verdict"), "place").alias("best"))
-    plain = split.join(best, ["host", "path"], "left")
-    keep = [f"`{c}`" for c in split.columns]
-    return plain.select(*keep, F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    pages = split.select(F.col(f"`{names[0]}`").alias("host"), F.col(f"`{names[1]}`").alias("path")).distinct()
+    asked = written(pages.mapInArrow(run, "host string, path string, rule string, place int"), "probes")
+    verdicts = rules.groupBy("rule").agg(F.min_by("verdict", "number").alias("verdict"))
+    # Most pages ask for a few short rules.
+    asked_for = written(asked.groupBy("rule").agg(F.count("*").alias("n")).join(verdicts, "rule"), "asked_for")
+    best = met(asked, asked_for, ["rule"], "n").groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), "place").alias("best"))
+    plain = split.alias("s").join(best.alias("b"), (F.col(f"s.`{names[0]}`") == F.col("b.host")) & (F.col(f"s.`{names[1]}`") == F.col("b.path")), "left")
+    return plain.select("s.*", F.col("b.best.rule").alias(names[2]), F.coalesce("b.best.verdict", F.lit(default)).alias(names[3]))

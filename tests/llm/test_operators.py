@@ -245,6 +245,31 @@ def test_substring_dedup(docs, empty):
     assert got == want and chunks.dedup(empty).isEmpty()
 
 
+def test_substring_dedup_of_repeated_rows_and_null_ids(spark):
+    a, b = prose(300), prose(300)
+    rows = [(1, a), (1, a), (1, b), (None, b), (2, a + b), (2, a + b), (3, None), (3, "")]
+    got = [tuple(r)[1:] for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).orderBy(F.col("doc_id").asc_nulls_first(), "n_bytes", "n_removed").drop("text").collect()]
+    nothing = (0, 0, 0, hashlib.sha256(b"").hexdigest())
+    whole = lambda t: (len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest())
+    assert got[0] == whole(b) and Counter(got[1:4]) == {whole(a): 2, (len(b.encode()), len(b.encode()), 1, nothing[3]): 1} and got[4] == got[5] and got[6:] == [nothing, nothing]
+    n, removed, spans, left = got[4]
+    assert n == len((a + b).encode()) and n - removed < 1200 and 1 <= spans <= 2
+
+
+def test_repeated_rows_and_null_ids_of_other_operators(spark):
+    text = prose(120)
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, prose(120)), (2, None), (2, None)], "doc_id long, text string")
+    scored = Counter(tuple(r) for r in suffix_tree.score(df, held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2).select("doc_id", "n_tokens").collect())
+    assert scored == {(1, 121): 2, (None, 121): 2, (2, 1): 2}
+    linked = Counter(tuple(r) for r in jaccard.linked(df).collect())
+    assert {(r[0], r[2]) for r in linked} == {(1, 1), (None, None), (2, 2)} and sum(linked.values()) == 6
+    judged = Counter((r["doc_id"], r["quality"]["n_words"]) for r in quality.judge(df).collect())
+    assert judged == {(1, 120): 2, (None, 120): 2, (2, 0): 2}
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    found = Counter(tuple(r) for r in topk.top_k(vectors.dropDuplicates(["vec_id"]).unionAll(vectors.where("vec_id = 5").limit(1)), is_query=F.col("vec_id") == 0, k=3).select("query_id", "vec_id", "score").collect())
+    assert found == {(0, 5, 1024 * 1024): 2, (0, 7, 512 * 1024): 1}
+
+
 def test_cuts_resist_insertions():
     rng = np.random.default_rng(9)
     body = rng.integers(0, 256, 20000, dtype=np.uint8)
@@ -298,6 +323,20 @@ def test_fit_finds_sums():
     assert sum(n * k for n, k in mixing.fit(big, budget).items()) == budget
 
 
+def test_mixing_keeps_unlike_rows_of_one_id(spark):
+    rows = [(1, "a b", "s", 1), (1, "a b", "s", 2), (1, "a b", "s", None), (2, "a b c", "s", 1), (None, "x y", None, 1), (3, None, "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, x int")
+    got = Counter(tuple(r) for r in mixing.mixed(df, percent=200).collect())
+    assert got == {r: 2 for r in rows if r[1]}
+
+
+def test_fit_of_lengths_with_a_common_divisor():
+    counts = {2 * n: 1 for n in range(1, 1500)}
+    for budget in (1_000_001, 500_000, 7):
+        got = mixing.fit(counts, budget)
+        assert sum(n * k for n, k in got.items()) == budget // 2 * 2 and all(k <= counts[n] for n, k in got.items())
+
+
 def test_packing(docs, empty):
     tk = Tokenizer.from_file(PATH)
     want = {}
@@ -320,6 +359,20 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, PATH).isEmpty()
 
 
+def test_packing_repeated_rows_and_other_spaces(spark):
+    odd = ["Ä'S don't\x85x\xa0y I'Ll µ ª º² ½ É ß 's''s\x1b \x00a ×÷\x7f", "a\x1cb \u2003c", "x" * 5000, "<|endoftext|>", *(chr(i) + "a" + chr(i) + "9" for i in range(0x140))]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(0, odd[0])] * 3 + [(None, "no id")] * 2
+    tk = Tokenizer.from_file(PATH)
+    want = Counter()
+    for i, t in rows:
+        ids = np.array(tk.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        want.update((i, s // 4096, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for s in range(0, len(ids), 4096))
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:]))
+
+
 def test_best_two_fit():
     rng = np.random.default_rng(8)
     for lengths in (rng.integers(1, 4097, 500), np.full(50, 3000), np.full(100, 1365), np.array([], np.int64), np.array([10, 7, 6, 5, 4, 4, 3])):
@@ -384,9 +437,14 @@ def test_url_filters(spark, monkeypatch):
     cases = {"http://A.Example.NET/en/x?y#z": ("a.example.net", "/en/x", "example.net/en/", "allow"), "https://example.net/de/": ("example.net", "/de/", "net/", "block"), "http://net": ("net", "", None, "allow"), "x://badexample.com/de/1": ("badexample.com", "/de/1", None, "allow"),
              "x://m.example.com/de/1": ("m.example.com", "/de/1", "example.com/de/", "block"), "x://a.org/fr/#/": ("a.org", "/fr/", "org/fr/", "allow"), "nothing": ("", "", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "a://b?c://d/": ("b", "", None, "allow"), "://É.net/\n": ("É.net", "/\n", "net/", "block")}
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*cases, *cases])], "page_id long, url string, rule string")
-    want = [(i, *cases[u]) for i, u in enumerate([*cases, *cases])]
+    want = [(i, "clash", *cases[u]) for i, u in enumerate([*cases, *cases])]
     for most in (urls.MAX_BYTES, 0):
-        assert sorted(tuple(r) for r in urls.judge(df, max_bytes=most).collect()) == want
+        out = urls.judge(df, max_bytes=most)
+        assert out.columns == ["page_id", "rule", "host", "path", "rule_", "verdict"] and sorted(tuple(r) for r in out.collect()) == want
+        long = spark.createDataFrame([(1, "a://" + "x." * 30000 + "org/fr/" + "y" * 200000), (2, "a://org/fr/"), (2, "a://org/fr/")], "page_id long, url string")
+        twice = [urls.RULES[0], urls.Rule("net", "/", "allow"), *urls.RULES[1:]]
+        assert [r["rule"] for r in urls.judge(long, max_bytes=most).collect()] == ["org/fr/"] * 3
+        assert [r["verdict"] for r in urls.judge(spark.createDataFrame([("a://b.net/",)], "url string"), twice, max_bytes=most).collect()] == ["block"]
     assert urls.judge(df.limit(0)).isEmpty() and {r["verdict"] for r in urls.judge(df, [], default="block").collect()} == {"block"}
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: len(s) % 2)
     array = urls.DigestArray(urls.RULES)
