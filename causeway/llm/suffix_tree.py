@@ -34,14 +34,14 @@ from causeway.llm._common import written
 #: At most so many words, states and kept words, each, are cached in the tasks.
 CACHE = 1 << 21
 LEAST_COUNT = 16
-#: Most words of a context.
-DEPTH = 6
+#: Most words of a context. On held-out texts of 0.1 GB of documents, 6 and 8 score a little worse than 4.
+DEPTH = 4
 DISCOUNT = 0.75
 #: Least count times divergence, in nats, for each word that a state keeps.
 DIVERGENCE = 4.0
 #: Hash that stands for the end of a text.
 END = np.uint64(0x5DEECE66D1CE4E5B)
-#: Stands for any next word, in the counts of contexts.
+#: Stands for a next word that is not cached.
 ANY = np.uint64(0x2545F4914F6CDD1D)
 STEP, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Most bits of a bitmap.
@@ -212,38 +212,39 @@ def _before(h: np.ndarray, doc: np.ndarray):
 
 
 def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, often: list[Broadcast], states: list[Broadcast], least: int, buckets: int) -> DataFrame:
-    """depth, code, context, suffix (the context without its first word), word and n of what occurs at least least times:
-    contexts of first to last words with their next word, and with ANY. Contexts are left out where a suffix whose depth
-    has been settled (states) is no state, or where two words in a row, or three of which the middle one is a state, are too
-    rare (often: the entries found for one word and for two). Entries are counted in each task and then dealt into buckets
-    by code."""
+    """What occurs at least least times of contexts of first to last words, as rows depth, whole, code, context, other and
+    n: contexts with their next word (other), and, where whole is true, with any next word (other is then the suffix, the
+    context without its first word). Contexts are left out where a suffix whose depth has been settled (states) is no
+    state, or where two words in a row, or three of which the middle one is a state, are too rare (often: the entries found
+    for one word and for two). Entries are counted in each task and then dealt into buckets by code. There are no whole rows
+    of contexts whose occurrences are known from the entries of one word less, see _longer()."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def merged() -> list[np.ndarray]:
-            depth, context, suffix, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, inverse = np.unique(entry(context, word), return_index=True, return_inverse=True)
-            return [depth[at], context[at], suffix[at], word[at], np.minimum(np.bincount(inverse, n), 2**32 - 1).astype(np.uint32)]
+            kind, context, other, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, inverse = np.unique(entry(context, other), return_index=True, return_inverse=True)
+            return [kind[at], context[at], other[at], np.minimum(np.bincount(inverse, n), 2**32 - 1).astype(np.uint32)]
 
-        def packed(depth: np.ndarray, context: np.ndarray, suffix: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            group = (entry(context, word) % np.uint64(buckets)).astype(np.int64) * (last + 1) + depth
-            order = np.lexsort((word, context, suffix, group))
+        def packed(kind: np.ndarray, context: np.ndarray, other: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            group = (entry(context, other) % np.uint64(buckets)).astype(np.int64) * 256 + kind
+            order = np.lexsort((context, group))
             edge = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-            parts = np.split(order, edge[1:])
-            own = group[order[edge]]
-            columns = [pa.array([x[i].tobytes() for i in parts], pa.binary()) for x in (context, suffix, word, n)]
-            return pa.RecordBatch.from_arrays([pa.array((own // (last + 1)).astype(np.int32)), pa.array((own % (last + 1)).astype(np.int32)), *columns], ["bucket", "depth", "context", "suffix", "word", "n"])
+            parts, own = np.split(order, edge[1:]), group[order[edge]]
+            columns = [pa.array([x[i].tobytes() for i in parts], pa.binary()) for x in (context, other, n)]
+            return pa.RecordBatch.from_arrays([pa.array((own >> 8).astype(np.int32)), pa.array((own & 255).astype(np.int32)), *columns], ["bucket", "kind", "context", "other", "n"])
 
         for _, data, offsets in _text.slices(batches, "text"):
             h, doc = tokens(data, offsets)
             before, known = _before(h, doc), words.value.has(h)
-            two, three = np.ones(len(h), bool), np.ones(len(h), bool)
+            two, three, unsettled = np.ones(len(h), bool), np.ones(len(h), bool), np.ones(len(h), bool)
             one = longer(np.zeros(len(h) - 1, np.uint64), h[:-1])
             if often:
                 two[1:] = often[0].value.has(entry(one, h[1:]))
             if len(often) > 1:
-                three[2:] = often[1].value.has(entry(longer(one[1:], h[:-2]), h[2:])) | ~states[0].value.has(one[1:])
+                unsettled[2:] = ~states[0].value.has(one[1:])
+                three[2:] = often[1].value.has(entry(longer(one[1:], h[:-2]), h[2:])) | unsettled[2:]
             at = np.flatnonzero(before(np.arange(len(h)), 1)[1])
             at = at[known[at - 1]]
             suffix, context = np.zeros(len(at), np.uint64), longer(np.zeros(len(at), np.uint64), h[at - 1])
@@ -260,10 +261,11 @@ def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, often: li
                 if d < first or not len(at):
                     continue
                 some = known[at] & two[at] & (three[at] if d > 2 else True)
-                every = np.concatenate((context[some], context)), np.concatenate((suffix[some], suffix)), np.concatenate((h[at[some]], np.full(len(at), ANY)))
-                code, place, n = np.unique(entry(every[0], every[2]), return_index=True, return_counts=True)
-                held.append((np.full(len(code), d, np.uint8), *(x[place] for x in every), n.astype(np.uint32)))
-                size += len(code)
+                open_ = at > 0 if d > 3 else unsettled[at - 1] if d == 3 else at < 0
+                for whole, c, o in ((0, context[some], h[at[some]]), (1, context[open_], suffix[open_])):
+                    code, place, n = np.unique(entry(c, o), return_index=True, return_counts=True)
+                    held.append((np.full(len(code), 2 * d + whole, np.uint8), c[place], o[place], n.astype(np.uint32)))
+                    size += len(code)
             if size > HELD:
                 held = [merged()]
                 size = len(held[0][0])
@@ -274,23 +276,60 @@ def _entries(docs: DataFrame, first: int, last: int, words: Broadcast, often: li
             yield packed(*merged())
 
     def add(key: tuple[pa.Scalar, pa.Scalar], table: pa.Table) -> pa.Table:
-        context, suffix, word = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("context", "suffix", "word"))
-        code, at, inverse = np.unique(entry(context, word), return_index=True, return_inverse=True)
+        context, other = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("context", "other"))
+        code, at, inverse = np.unique(entry(context, other), return_index=True, return_inverse=True)
         n = np.bincount(inverse, np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)).astype(np.int64)
         ok = n >= least
-        at = at[ok]
-        return pa.table({"depth": pa.array(np.full(len(at), key[1].as_py(), np.int32)), "code": code[ok].view(np.int64), "context": context[at].view(np.int64), "suffix": suffix[at].view(np.int64), "word": word[at].view(np.int64), "n": n[ok]})
+        at, kind = at[ok], key[1].as_py()
+        return pa.table({"depth": pa.array(np.full(len(at), kind // 2, np.int32)), "whole": pa.array(np.full(len(at), kind % 2 == 1)), "code": code[ok].view(np.int64), "context": context[at].view(np.int64), "other": other[at].view(np.int64), "n": n[ok]})
 
-    sent = docs.mapInArrow(send, "bucket int, depth int, context binary, suffix binary, word binary, n binary")
-    return sent.groupBy("bucket", "depth").applyInArrow(add, "depth int, code long, context long, suffix long, word long, n long")
+    sent = docs.mapInArrow(send, "bucket int, kind int, context binary, other binary, n binary")
+    return sent.groupBy("bucket", "kind").applyInArrow(add, "depth int, whole boolean, code long, context long, other long, n long")
 
 
-def _grown(entries: DataFrame, below: DataFrame) -> DataFrame:
+WHOLE = "context long, suffix long, total long, words array<long>"
+
+
+def _single(often: DataFrame) -> DataFrame:
+    """context, suffix, total and words (the last one first) of the contexts of one word, from the counts of words (h, c):
+    some token follows every word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            context = longer(np.zeros(len(h), np.uint64), h)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(np.zeros(len(h), np.int64)), batch.column(1), words], ["context", "suffix", "total", "words"])
+
+    return often.select("h", "c").mapInArrow(run, WHOLE)
+
+
+def _longer(entries: DataFrame, totals: DataFrame) -> DataFrame:
+    """The same for the contexts of one word more: those that end in the entries' words occur as often as the entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            size = len(lists.flatten()) // batch.num_rows
+            words = lists.flatten().to_numpy().view(np.uint64).reshape(-1, size)
+            context = longer(np.zeros(len(words), np.uint64), words[:, 0])
+            for k in range(1, size):
+                suffix, context = context, longer(context, words[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), batch.column(1), lists], ["context", "suffix", "total", "words"])
+
+    # a state ends in a word, not in the end of a text
+    end = F.lit(int(END.view(np.int64)))
+    joined = entries.where(F.col("word") != end).join(totals.select("context", "words"), "context")
+    return joined.select(F.concat(F.array("word"), "words").alias("words"), F.col("n").alias("total")).mapInArrow(run, WHOLE)
+
+
+def _grown(entries: DataFrame, totals: DataFrame, below: DataFrame) -> DataFrame:
     """The kept words of a depth's states: code, context, word, n, total, p (the probability of the word) and s (the log10 of
-    what the state and those before it hand on). below: suffix, word, p and s of the depth before."""
-    any_ = int(ANY.view(np.int64))
-    totals = entries.where(F.col("word") == any_).select("context", F.col("n").alias("total"))
-    rows = entries.where(F.col("word") != any_).join(totals, "context").join(below.select("suffix", "word", F.col("p").alias("q"), F.col("s").alias("s_below")), ["suffix", "word"])
+    what the state and those before it hand on). entries: code, context, word and n; totals: context, suffix and total;
+    below: suffix, word, p and s of the depth before."""
+    rows = entries.join(totals, "context").join(below.select("suffix", "word", F.col("p").alias("q"), F.col("s").alias("s_below")), ["suffix", "word"])
     rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
     share, total = F.col("n") / F.col("total"), F.first("total")
     gain = F.sum(F.col("n") * F.log(share / F.col("q"))) + total * rest(share) * F.log(rest(share) / rest(F.col("q")))
@@ -315,9 +354,16 @@ def learn(docs: DataFrame, *, cache: int = CACHE, least_count: int = LEAST_COUNT
     for d in range(1, depth + 1):
         if d <= 3:
             found = written(_entries(docs, d, depth if d == 3 else d, words, codes, maybe, least_count, buckets), "entries")
+        mine = found.where(F.col("depth") == d)
+        entries = mine.where("not whole").select("code", "context", F.col("other").alias("word"), "n")
+        counted = mine.where("whole").select("context", F.col("other").alias("suffix"), F.col("n").alias("total"))
+        if d <= 3:
+            totals = written(_single(often) if d == 1 else _longer(before, totals), "totals")
+            counted = counted.unionByName(totals.drop("words"))
+            before = entries
         if d < 3:
-            codes.append(send(Bitmap(found, "code")))
-        depths.append(written(_grown(found.where(F.col("depth") == d).drop("depth"), below), "kept"))
+            codes.append(send(Bitmap(entries, "code")))
+        depths.append(written(_grown(entries, counted, below), "kept"))
         if depths[-1].isEmpty():
             break
         if d < 3:
