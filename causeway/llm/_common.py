@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,8 +24,11 @@ _paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one that ends with the process."""
+    """The folder of spark.checkpoint.dir. Where it is unset, the warehouse on a cluster, and on one machine (tests) a
+    temporary folder that ends with the process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        path = spark.conf.get("spark.sql.warehouse.dir")
     if path is None:
         app = spark.sparkContext.applicationId
         if app not in _own:
