@@ -47,7 +47,7 @@ BUCKET_BYTES = 16 << 20
 #: Bytes of text in which a task settles by itself what is equal.
 SEND_BYTES = 2 << 20
 #: Contexts that are sorted at a time in a bucket.
-PART = 1 << 15
+PART = 1 << 13
 #: Windows that are hashed at a time, few enough for a processor's cache.
 BLOCK = 1 << 15
 #: Low bits of a hash that give way to the place.
