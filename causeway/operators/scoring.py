@@ -136,3 +136,36 @@ def block_bootstrap(errors: DataFrame, starts: DataFrame, *, value: str = "diffe
     mean = errors.groupBy(*by).agg(F.avg(value).alias("difference"))
     both = mean.join(ends, list(by)) if by else mean.crossJoin(F.broadcast(ends))
     return both.select(*by, "difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def direction_metrics(directions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts, accuracy, recall of either direction and their mean; a recall without days is null."""
+    up, ok = F.col("actual_direction") == "UP", F.col("correct")
+    row = directions.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(up).alias("actual_up"), F.count_if(~up).alias("actual_down"), F.count_if(F.col("predicted_direction") == "UP").alias("predicted_up"), F.count_if(up & ok).alias("correct_up"), F.count_if(~up & ok).alias("correct_down"))
+    part = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    row = row.withColumns({"accuracy": (F.col("correct_up") + F.col("correct_down")) / F.col("n"), "up_recall": part("correct_up", "actual_up"), "down_recall": part("correct_down", "actual_down")})
+    return row.withColumn("balanced_accuracy", (F.col("up_recall") + F.col("down_recall")) / 2)
+
+
+def after(predictions: DataFrame, date, by: Sequence[str] = ()) -> DataFrame:
+    """The forecasts issued after a date, which must lie within the issues of every series."""
+    outside = predictions.groupBy(*by).agg(F.min("issue_date").alias("low"), F.max("issue_date").alias("high")).where(~F.lit(date).cast("date").between(F.col("low"), F.col("high")))
+    if not outside.isEmpty():
+        raise ValueError("the date is not within the issues")
+    return predictions.where(F.col("issue_date") > F.lit(date).cast("date"))
+
+
+def held_out_table(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of a scores() row: accuracy and mean absolute error, of the model and of its baseline, a row for each metric."""
+    return scored.select(*by, F.expr("stack(2, 'direction accuracy', accuracy, majority_accuracy, 'return MAE', return_mae, zero_return_mae) as (metric, model, baseline)"))
+
+
+def method_table(methods: dict[str, DataFrame], prices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each issue that all methods forecast: both closes, and the price that each method predicts."""
+    key = [*by, "issue_date", "target_date"]
+    out = None
+    for name, predictions in methods.items():
+        priced = reconstructed_prices(predictions, prices, by)
+        mine = priced.select(*key, *(["previous_actual_close", "actual_close"] if out is None else []), F.col("predicted_close").alias(f"{name}_close"), F.abs(F.col("predicted_close") - F.col("actual_close")).alias(f"{name}_error"))
+        out = mine if out is None else out.join(mine, key)
+    return out

@@ -39,12 +39,17 @@ def matrix(samples: DataFrame, factors: Sequence[str], by: Sequence[str] = ()) -
     return wide.select(*by, rows.alias("pair")).select(*by, "pair.*")
 
 
-def screen_table(samples: DataFrame, factors: Sequence[str], target: str, chosen: Column | None = None) -> DataFrame:
-    """factor, correlation and whether it was chosen, the strongest first."""
+def screen_table(samples: DataFrame, factors: Sequence[str], target: str, chosen: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """factor, correlation over all rows (the training rows, if samples are cut to them) and whether it was chosen, the
+    strongest first. chosen has the chosen factors (by, factor)."""
     n = F.count("*").cast("double")
-    wide = samples.agg(*(correlation(n, *_means(F.col(f), F.col(target))).alias(f) for f in factors))
-    rows = wide.select(F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("correlation")) for f in factors))).alias("x")).select("x.*")
-    return rows.withColumn("selected", F.array_contains(chosen, F.col("factor")) if chosen is not None else F.lit(False)).orderBy(F.desc(F.abs("correlation")), "factor")
+    wide = samples.groupBy(*by).agg(*(correlation(n, *_means(F.col(f), F.col(target))).alias(f) for f in factors))
+    rows = wide.select(*by, F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("correlation")) for f in factors))).alias("x")).select(*by, "x.*")
+    if chosen is None:
+        return rows.withColumn("selected", F.lit(False)).orderBy(*by, F.desc(F.abs("correlation")), "factor")
+    key = [*by, "factor"]
+    marked = rows.join(chosen.select(*key).distinct().withColumn("selected", F.lit(True)), key, "left")
+    return marked.withColumn("selected", F.coalesce("selected", F.lit(False))).orderBy(*by, F.desc(F.abs("correlation")), "factor")
 
 
 def softmax_weights(df: DataFrame, distance: str, gamma: float, by: Sequence[str]) -> DataFrame:

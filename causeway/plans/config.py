@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -43,3 +46,14 @@ CANDIDATES = {
     "depth3_less_sparse": ForecastConfig(signature_depth=3, lasso_alpha=1e-4),
     "depth2_stronger_weight": ForecastConfig(signature_depth=2, lasso_alpha=1e-4, regime_gamma=1.0),
 }
+
+
+def table(spark: SparkSession, configs: Mapping[str, ForecastConfig]) -> DataFrame:
+    """candidate, field and value of every setting."""
+    rows = [(name, field, float(value)) for name, config in configs.items() for field, value in asdict(config).items()]
+    return spark.createDataFrame(rows, "candidate string, field string, value double")
+
+
+def from_run_info(info: Mapping) -> ForecastConfig:
+    """The settings of a saved run, checked; fields that it lacks have their defaults."""
+    return ForecastConfig(**info["config"]).check()

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from causeway.functions import text
-from causeway.operators import alignment, facts, features, policy, scoring, screen, signature, walkforward
+from causeway.operators import alignment, backtest, facts, features, policy, scoring, screen, signature, walkforward
+from causeway.plans import config
 from causeway.plans.config import CANDIDATES
+from causeway.streaming import replay
 from causeway.sources import market as m
 from causeway.sources.market import table
 
@@ -404,3 +406,84 @@ def split_ticker_summary(spark, sf):
 def rolling_hit_rate(spark, sf):
     rows = scoring.previous_direction(m.market(spark, sf)).withColumn("hit", F.col("correct").cast("double"))
     return rows.select("ticker", "issue_date", r6(scoring.rolling_rate(F.col("hit"), ["ticker"], "issue_date")).alias("rate"))
+
+
+@query
+def candidate_table(spark, sf):
+    return config.table(spark, CANDIDATES)
+
+
+@query
+def direction_metrics(spark, sf):
+    out = scoring.direction_metrics(scoring.previous_direction(m.market(spark, sf)), ["ticker"])
+    return out.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+#: Issues after this day are a held-out part of the sessions.
+AFTER = "1997-01-01"
+
+
+@query
+def score_after(spark, sf):
+    out = scoring.scores(scoring.after(naive(spark, sf), AFTER, ["ticker"]), by=["ticker"])
+    return out.select("ticker", "n", *(r6(c).alias(c) for c in ("return_mae", "return_rmse", "accuracy", "balanced_accuracy")))
+
+
+@query
+def held_out_comparison(spark, sf):
+    out = scoring.held_out_table(scoring.scores(scoring.after(naive(spark, sf), AFTER, ["ticker"]), by=["ticker"]), ["ticker"])
+    return out.select("ticker", "metric", r6("model").alias("model"), r6("baseline").alias("baseline"))
+
+
+@query
+def method_comparison(spark, sf):
+    """Prices by repeating the last return and by no change, of the issues after a day."""
+    repeat = scoring.after(naive(spark, sf), AFTER, ["ticker"])
+    out = scoring.method_table({"repeat": repeat, "flat": repeat.withColumn("predicted_return", F.lit(0.0))}, m.market(spark, sf).select("ticker", "session", "close"), ["ticker"])
+    return out.select("ticker", "issue_date", "target_date", *(F.round(c, 4).alias(c) for c in ("repeat_close", "repeat_error", "flat_close", "flat_error")))
+
+
+@query
+def masked_factor_screen(spark, sf):
+    """Correlations over the sessions whose targets came before a day; the two strongest factors are marked."""
+    names = ["N_ret", "R_ret", "A_range", "breadth_mean"]
+    w = W.partitionBy("series").orderBy("session")
+    training = m.panel(spark, sf).withColumn("target_date", F.lead("session").over(w)).where(F.col("target_date") < F.lit(AFTER).cast("date"))
+    strongest = screen.screen_table(training, names, "ret", by=["series"]).withColumn("place", F.row_number().over(W.partitionBy("series").orderBy(F.desc(F.abs("correlation")), "factor")))
+    out = screen.screen_table(training, names, "ret", strongest.where("place <= 2"), by=["series"])
+    return out.select("series", "factor", r6("correlation").alias("correlation"), "selected")
+
+
+@query
+def prequential_summary(spark, sf):
+    """Direction by online logistic regression on the last return and range, each series in its own time."""
+    rows = m.market(spark, sf).withColumns({"ret": features.log_return(), "rng": features.bar_range(), "up": features.next_up()})
+    scored = replay.prequential(rows.select(F.col("ticker").alias("series"), "idx", F.array(F.col("ret") * 10, F.col("rng")).alias("features"), F.col("up").alias("label")), 2)
+    out = scoring.split_summary(scored, ["split", "series"])
+    return out.select("split", "series", "n", *(r6(c).alias(c) for c in ("accuracy", "brier", "up_rate", "majority")))
+
+
+def _policy(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The policy on the model's own forecasts: of the sessions with a forecast, the second half is the test."""
+    forecasts = walkforward.forecasts(m.panel(spark, sf), {"depth2_sparse": CANDIDATES["depth2_sparse"]}, first=0)
+    middle = F.element_at(F.array_sort(F.collect_list("issue_date")), (F.floor(F.count("*") / 2) + 1).cast("int"))
+    first = forecasts.groupBy("series").agg(middle.alias("first_issue"))
+    calibration, test = backtest.split(forecasts, first, MAX_TRAIN)
+    prices = m.market(spark, sf).select(F.col("ticker").alias("series"), "session", "open", "close")
+    return backtest.run(test, calibration, prices)
+
+
+@query
+def policy_details(spark, sf):
+    return _policy(spark, sf)[0].drop("candidate", "selected_factors")
+
+
+@query
+def policy_summary(spark, sf):
+    return _policy(spark, sf)[1]
+
+
+@query
+def forecast_factor_frequency(spark, sf):
+    """How often the forecasts of ticker A use each factor."""
+    return scoring.factor_frequency(walk_forward_forecast(spark, sf), F.col("selected_factors"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import asdict
+
+from causeway.plans.config import CANDIDATES
 
 W, TRAIN, LEAST = 20, 756, 100
 
@@ -87,6 +90,11 @@ sc AS (SELECT idx, session, count(*) OVER w AS train_n, {', '.join(f"CASE WHEN c
   FROM panel WINDOW w AS (ORDER BY idx {FRAME}))"""
 
 
+HELD_OUT = f"""WITH {SAMPLES}, h AS (SELECT ticker, count(*) AS n, avg(abs(actual_return - predicted_return)) AS mae, sqrt(avg((actual_return - predicted_return) * (actual_return - predicted_return))) AS rmse, avg(abs(actual_return)) AS zero,
+avg(CAST((predicted_return > 0) = (actual_return > 0) AS DOUBLE)) AS hits, avg(CAST(actual_return > 0 AS DOUBLE)) AS ups, avg(CAST(predicted_return > 0 AS DOUBLE)) FILTER (actual_return > 0) AS up_hits, avg(CAST(predicted_return <= 0 AS DOUBLE)) FILTER (actual_return <= 0) AS down_hits
+FROM nv WHERE issue_date > DATE '1997-01-01' GROUP BY ticker)"""
+
+
 def gram() -> str:
     names = [*NAMES, "ret"]
     mean = lambda x: f"sum(w * {x}) / sum(w)"
@@ -183,4 +191,16 @@ SELECT ticker, {r6('difference')} AS difference, {r6('low')} AS low, {r6('high')
         "split_ticker_summary": f"""WITH {RET}, y AS (SELECT ticker, CASE WHEN idx < 200 THEN 'train' ELSE 'test' END AS split, CAST(coalesce(lead(close) OVER (PARTITION BY ticker ORDER BY session) > close, false) AS INTEGER) AS label, 1 / (1 + exp(-ret)) AS p FROM r)
 SELECT split, ticker, count(*) AS n, {r6('avg(CAST(CAST(p >= 0.5 AS INTEGER) = label AS DOUBLE))')} AS accuracy, {r6('avg((p - label) * (p - label))')} AS brier, {r6('avg(CAST(label AS DOUBLE))')} AS up_rate, {r6('greatest(avg(CAST(label AS DOUBLE)), 1 - avg(CAST(label AS DOUBLE)))')} AS majority FROM y GROUP BY 1, 2""",
         "rolling_hit_rate": f"WITH {DIRECTION} SELECT ticker, issue_date, {r6('CASE WHEN count(*) OVER w >= 10 THEN avg(CAST(correct AS DOUBLE)) OVER w END')} AS rate FROM dd WINDOW w AS (PARTITION BY ticker ORDER BY issue_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
+        "candidate_table": " UNION ALL ".join(f"SELECT '{n}' AS candidate, '{f}' AS field, CAST({v!r} AS DOUBLE) AS value" for n, c in CANDIDATES.items() for f, v in asdict(c).items()),
+        "direction_metrics": f"""WITH {DIRECTION}, c AS (SELECT ticker, count(*) AS n, count(*) FILTER (actual_direction = 'UP') AS actual_up, count(*) FILTER (actual_direction = 'DOWN') AS actual_down, count(*) FILTER (predicted_direction = 'UP') AS predicted_up,
+count(*) FILTER (correct AND actual_direction = 'UP') AS correct_up, count(*) FILTER (correct AND actual_direction = 'DOWN') AS correct_down FROM dd GROUP BY ticker),
+x AS (SELECT *, CAST(correct_up AS DOUBLE) / nullif(actual_up, 0) AS u, CAST(correct_down AS DOUBLE) / nullif(actual_down, 0) AS d FROM c)
+SELECT ticker, n, actual_up, actual_down, predicted_up, correct_up, correct_down, {r6('CAST(correct_up + correct_down AS DOUBLE) / n')} AS accuracy, {r6('u')} AS up_recall, {r6('d')} AS down_recall, {r6('(u + d) / 2')} AS balanced_accuracy FROM x""",
+        "score_after": f"{HELD_OUT} SELECT ticker, n, {r6('mae')} AS return_mae, {r6('rmse')} AS return_rmse, {r6('hits')} AS accuracy, {r6('(up_hits + down_hits) / 2')} AS balanced_accuracy FROM h",
+        "held_out_comparison": f"{HELD_OUT} SELECT ticker, 'direction accuracy' AS metric, {r6('hits')} AS model, {r6('greatest(ups, 1 - ups)')} AS baseline FROM h UNION ALL SELECT ticker, 'return MAE', {r6('mae')}, {r6('zero')} FROM h",
+        "method_comparison": f"""WITH {SAMPLES} SELECT nv.ticker, issue_date, target_date, {r6('i.close * exp(predicted_return)', 4)} AS repeat_close, {r6('abs(i.close * exp(predicted_return) - t.close)', 4)} AS repeat_error, {r6('i.close', 4)} AS flat_close, {r6('abs(i.close - t.close)', 4)} AS flat_error
+FROM nv JOIN r i ON i.ticker = nv.ticker AND i.session = issue_date JOIN r t ON t.ticker = nv.ticker AND t.session = target_date WHERE issue_date > DATE '1997-01-01'""",
+        "masked_factor_screen": f"""WITH {PANEL}, tr AS (SELECT * FROM (SELECT *, lead(session) OVER (ORDER BY session) AS target_date FROM panel) WHERE target_date < DATE '1997-01-01'),
+c AS ({' UNION ALL '.join(f"SELECT '{f}' AS factor, {corr(f, 'ret')} AS c FROM tr" for f in four)})
+SELECT 'A' AS series, factor, {r6('c')} AS correlation, row_number() OVER (ORDER BY abs(c) DESC, factor) <= 2 AS selected FROM c""",
     }

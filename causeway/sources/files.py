@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators import facts
+
 BAR_SCHEMA = "date string, open string, high string, low string, close string, volume string"
 FILING_SCHEMA = "filings array<struct<filing_date: string, facts: struct<`us-gaap`: map<string, struct<units: map<string, array<struct<`end`: string, filed: string, val: double>>>>>>>>"
 PREDICTION_SCHEMA = "issue_date date, target_date date, actual_return double, predicted_return double, screened_factor_count int, lasso_support_count int, selected_factors string, effective_train_n double"
@@ -24,20 +26,22 @@ def _stem(path: str = "_metadata.file_path") -> Column:
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """ticker (the file's stem), session and prices of CSV files with a header; columns are found by name and what cannot
-    be parsed is null. Files without a close column give no rows."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").option("enforceSchema", False).option("mode", "PERMISSIVE")
-    names = {"timestamp": "date", "date": "date"}
-    found = []
-    for file in sorted(raw.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().toPandas()["f"]):
-        one = raw.csv(file)
-        one = one.toDF(*(names.get(c.strip().lower(), c.strip().lower()) for c in one.columns))
-        if {"date", "close"} <= set(one.columns):
-            number = lambda c, one=one: F.expr(f"try_cast(`{c}` as double)") if c in one.columns else F.lit(None).cast("double")
-            found.append(one.select(_stem().alias("ticker"), F.expr("try_cast(substring(date, 1, 10) as date)").alias("session"), *(number(c).alias(c) for c in ("open", "high", "low", "close", "volume")), F.monotonically_increasing_id().alias("position")))
-    out = found[0] if found else spark.createDataFrame([], "ticker string, session date, open double, high double, low double, close double, volume double, position long")
-    for one in found[1:]:
-        out = out.unionByName(one)
+    """ticker (the file's stem), session, prices and position (order in the file) of CSV files with a header; columns are
+    found by name and what cannot be parsed is null. Files without a date or a close column give no rows.
+
+    All files are one scan, whatever their headers: a line's cells are looked up by the places that its own file's header
+    gives. The headers, a row for each file, are found in a second scan of the lines that name a close.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"))
+    cells = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(F.btrim(F.trim(x), F.lit('"'))))
+    named = F.lower("value").contains("close")
+    names = F.transform(cells(F.col("value")), lambda x: F.lower(x))
+    headers = lines.where(named).groupBy("file").agg(F.min_by(names, "position").alias("names"))
+    place = lambda *options: F.coalesce(*(F.nullif(F.array_position("names", o), F.lit(0)) for o in options))
+    headers = headers.select("file", place("date", "timestamp").alias("date"), *(place(c).alias(c) for c in ("open", "high", "low", "close", "volume"))).where("date is not null and close is not null")
+    rows = lines.where(~named).withColumn("cells", cells(F.col("value"))).join(headers, "file")
+    cell = lambda c: F.get("cells", (F.col(c) - 1).cast("int"))
+    out = rows.select(_stem("file").alias("ticker"), F.substring(cell("date"), 1, 10).try_cast("date").alias("session"), *(cell(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")), "position")
     return out.where("session is not null")
 
 
@@ -60,7 +64,8 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
-    """symbol, event_date (the end of the half year in the file's name) and vector (432 colour values) of chart images.
+    """symbol, event_date (the end of the half year in the file's name) and vector (432 colour values) of chart images;
+    files that cannot be decoded are left out.
 
     decode turns a file's bytes into a (rows, columns, 3) array of 0 to 255. By default Pillow does, where it is installed.
     """
@@ -72,10 +77,28 @@ def read_images(spark: SparkSession, path: str, decode: Callable[[bytes], np.nda
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = decode or _pillow
         for pdf in batches:
-            pdf["vector"] = [thumbnail(read(x)) for x in pdf["content"]]
+            pdf["vector"] = [_seen(read, x) for x in pdf["content"]]
             yield pdf.drop(columns="content")
 
-    return rows.mapInPandas(run, "symbol string, event_date date, vector array<float>")
+    return rows.mapInPandas(run, "symbol string, event_date date, vector array<float>").where("vector is not null")
+
+
+def _seen(read: Callable[[bytes], np.ndarray], data: bytes) -> np.ndarray | None:
+    """The thumbnail, or None for a file that is no image."""
+    try:
+        return thumbnail(read(data))
+    except (OSError, ValueError):
+        return None
+
+
+def image_panel(images: DataFrame, calendar: DataFrame) -> DataFrame:
+    """A row for each session: the mean of the symbols' last known charts (null where there are none), and the share of
+    symbols that have one. A chart counts from the session after its half year; those that ended more than RECENT_DAYS
+    before the first session do not count at all."""
+    first = calendar.agg(F.date_sub(F.min("session"), RECENT_DAYS).alias("from_"))
+    recent = images.crossJoin(F.broadcast(first)).where("event_date >= from_")
+    vectors = recent.select("symbol", "event_date", F.col("event_date").alias("pos"), "vector")
+    return facts.panel(vectors, calendar, images.select("symbol"))
 
 
 def _pillow(data: bytes) -> np.ndarray:
@@ -102,6 +125,38 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A JSON document as a one-row text table; numbers that JSON does not know are refused."""
+    text = json.dumps(value, indent=2, allow_nan=False, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+
+
+def save_run(spark: SparkSession, folder: str, tables: dict[str, DataFrame], info: dict) -> None:
+    """A run's results: each table as CSV in the folder of its name, and what is known about the run (settings, input
+    hashes, headline figures) as run_info."""
+    for name, table in tables.items():
+        write_csv(table, f"{folder}/{name}")
+    write_json(spark, info, f"{folder}/run_info")
+
+
+def prepared(spark: SparkSession, path: str, key: dict, calendar: Callable[[], DataFrame], parts: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """A table with a row for each session (idx, session) and, as structs, what each part has for it; built anew if the key
+    has changed. Parts have a row for each idx at most."""
+
+    def build() -> DataFrame:
+        out = calendar()
+        for name, part in parts.items():
+            rows = part()
+            out = out.join(rows.select("idx", F.struct(*(c for c in rows.columns if c not in {"idx", "session"})).alias(name)), "idx", "left")
+        return out
+
+    return cached(spark, path, key | {"parts": sorted(parts)}, build)
+
+
 def file_hash(path: str | Path) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()

@@ -45,6 +45,34 @@ def matured_labels(forecasts: DataFrame, labels: DataFrame, *, wait: str = "30 d
     return left.join(right, F.expr(f"series = label_series AND label_ts = target_ts AND label_ts >= issue_ts AND label_ts <= issue_ts + INTERVAL {wait}"))
 
 
+def _learned(weights: np.ndarray, x: np.ndarray, label: float) -> tuple[float, np.ndarray]:
+    """The probability of a label of 1, and the weights after it is known."""
+    x = np.append(np.asarray(x, dtype=float), 1.0)
+    p = float(1 / (1 + np.exp(-np.clip(weights @ x, -30, 30))))
+    return p, weights + RATE * (label - p) * x
+
+
+def prequential(examples: DataFrame, features: int, *, share: float = 0.8, passes: int = 5) -> DataFrame:
+    """series, idx, split, probability and label of (series, idx, features, label), each series in its own time: the first
+    share of its examples are learned from, several times over, and scored by what that gave; each later one is scored by a
+    model that has learned from all before it, and then learned from."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        rows = list(zip(pdf["idx"], pdf["features"], pdf["label"], strict=True))
+        cut, weights = int(len(rows) * share), np.zeros(features + 1)
+        for _ in range(passes):
+            for _, x, label in rows[:cut]:
+                weights = _learned(weights, x, label)[1]
+        out = [(key[0], idx, "train", _learned(weights, x, label)[0], label) for idx, x, label in rows[:cut]]
+        for idx, x, label in rows[cut:]:
+            p, weights = _learned(weights, x, label)
+            out.append((key[0], idx, "test", p, label))
+        return pd.DataFrame(out, columns=["series", "idx", "split", "probability", "label"])
+
+    return examples.groupBy("series").applyInPandas(run, "series string, idx long, split string, probability double, label int")
+
+
 def online_scores(examples: DataFrame, features: int) -> DataFrame:
     """Prequential logistic regression on a stream of (series, idx, features, label): each example is scored first, then
     learned from. The weights of a series are its state."""
@@ -54,10 +82,8 @@ def online_scores(examples: DataFrame, features: int) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("idx")
         out = []
         for idx, x, label in zip(rows["idx"], rows["features"], rows["label"], strict=True):
-            x = np.append(np.asarray(x, dtype=float), 1.0)
-            p = 1 / (1 + np.exp(-np.clip(weights @ x, -30, 30)))
+            p, weights = _learned(weights, x, label)
             out.append((key[0], idx, p, label))
-            weights += RATE * (label - p) * x
         state.update((json.dumps(weights.tolist()),))
         yield pd.DataFrame(out, columns=["series", "idx", "probability", "label"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import text
 from causeway.operators import alignment, facts, features, scoring
+from causeway.plans import config
 from causeway.sources import files
 from causeway.streaming import replay
 
@@ -26,6 +27,28 @@ def test_next_session_is_strictly_later(spark):
     assert {r["id"]: r["idx"] for r in alignment.next_session(events, calendar, keep_early=False).collect()} == {2: 1, 3: 2, 4: 2}
 
 
+def test_next_session_of_each_series(spark):
+    days = {"a": [1, 2, 5], "b": [0, 5]}
+    calendar = spark.createDataFrame([(s, day(n), i) for s, x in days.items() for i, n in enumerate(x)], "series string, session date, idx long")
+    raw = [(s, k, None if n is None else day(n)) for s in ("a", "b", "c") for k, n in enumerate((-9, 0, 1, 2, 3, 5, 9, None, 2))]
+    events = spark.createDataFrame(raw, "series string, id int, event_date date").repartition(3)
+    later = lambda s, d: next((i for i, n in enumerate(days.get(s, [])) if d is not None and day(n) > d), None)
+    want = {(s, k): later(s, d) for s, k, d in raw if later(s, d) is not None}
+    got = alignment.next_session(events, calendar, series=["series"])
+    assert {(r["series"], r["id"]): r["idx"] for r in got.collect()} == want
+    assert alignment.next_session(events.limit(0), calendar, series=["series"]).isEmpty()
+
+
+def test_windows_in_standard_scores(spark):
+    raw = [("A", i, float(v), None if i == 2 else float(i)) for i, v in enumerate((1, 2, 3, 4, 500))]
+    win = spark.createDataFrame(raw, "ticker string, idx long, x double, y double")
+    moments = features.window_moments(win.where("idx < 4"), ["x", "y"], ["ticker"])
+    got = {r["feature"]: (r["mean"], r["sd"], r["n"]) for r in moments.collect()}
+    assert got["x"] == pytest.approx((2.5, np.std([1, 2, 3, 4]), 4)) and got["y"] == pytest.approx((4 / 3, np.std([0, 1, 3]), 3))
+    z = {r["idx"]: (r["x"], r["y"]) for r in features.standardized(win, moments, ["x", "y"], ["ticker"]).collect()}
+    assert z[4][0] == 8.0 and z[0][0] == pytest.approx(-1.5 / np.std([1, 2, 3, 4])) and z[2][1] == 0.0
+
+
 def test_windows_and_carry(spark):
     rows = spark.createDataFrame([("A", i, float(i)) for i in range(5)], "ticker string, idx long, x double")
     got = alignment.gathered(rows, 3).groupBy("issue").agg(F.sort_array(F.collect_list("x")).alias("xs")).orderBy("issue").collect()
@@ -89,6 +112,67 @@ def test_bar_files_and_results(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_bar_files_with_unlike_headers(spark, tmp_path):
+    (tmp_path / "A.csv").write_text('date,open,high,low,close,volume\n2024-01-02,1,2,0.5,1.5,10\n2024-01-03,1,2,0.5,1.6,11\n')
+    (tmp_path / "B.csv").write_text('"Timestamp", "CLOSE" ,"Open"\n"2024-01-02T00:00:00","7","6"\n')
+    (tmp_path / "C.csv").write_text("close,x\n1,2\n")
+    (tmp_path / "D.csv").write_text("")
+    (tmp_path / "note.txt").write_text("close,date\n1,2024-01-01\n")
+    got = sorted((r["ticker"], r["session"], r["open"], r["high"], r["close"], r["volume"]) for r in files.read_bars(spark, str(tmp_path)).collect())
+    assert got == [("A", day(1), 1, 2, 1.5, 10), ("A", day(2), 1, 2, 1.6, 11), ("B", day(1), 6, None, 7, None)]
+
+
+def test_image_panel_is_recent_and_skips_bad_files(spark, tmp_path):
+    for name, body in {"a_2023_H1": b"\x10", "a_2023_H2": b"\x20", "b_2023_H2": b"", "b_2024_H1": b"\x60", "c_2020_H1": b"\x90"}.items():
+        (tmp_path / f"{name}_candlestick.png").write_bytes(body)
+
+    def decode(data):
+        if not data:
+            raise ValueError("no image")
+        return np.full((100, 100, 3), data[0], np.uint8)
+
+    images = files.read_images(spark, str(tmp_path), decode=decode)
+    calendar = spark.createDataFrame([(dt.date(2024, 1, 2), 0), (dt.date(2024, 6, 30), 1), (dt.date(2024, 7, 1), 2)], "session date, idx long")
+    rows = files.image_panel(images, calendar).orderBy("idx").collect()
+    assert images.count() == 4 and [r["coverage"] for r in rows] == pytest.approx([1 / 3, 1 / 3, 2 / 3])
+    assert [r["mean"][0] for r in rows] == pytest.approx([32 / 255, 32 / 255, (32 + 96) / 2 / 255])
+
+
+def test_run_files_and_prepared_table(spark, tmp_path):
+    frame = spark.createDataFrame([(1, ["x", "y"])], "n int, names array<string>")
+    files.save_run(spark, str(tmp_path / "run"), {"predictions": frame, "metrics": frame.select("n")}, {"config": config.asdict(config.ForecastConfig(window=30)), "day": day(0)})
+    info = files.read_json(spark, str(tmp_path / "run" / "run_info"))
+    assert config.from_run_info(info) == config.ForecastConfig(window=30) and info["day"] == "2024-01-01"
+    assert spark.read.option("header", True).csv(str(tmp_path / "run" / "predictions")).first()["names"] == "x;y"
+    with pytest.raises(ValueError):
+        files.write_json(spark, {"x": math.nan}, str(tmp_path / "bad"))
+    calendar = spark.createDataFrame([(0, day(0)), (1, day(1))], "idx long, session date")
+    calls = []
+    parts = {"news": lambda: calls.append(1) or spark.createDataFrame([(1, 0.5)], "idx long, x double")}
+    for key in (1, 1, 2):
+        got = files.prepared(spark, str(tmp_path / "set"), {"k": key}, lambda: calendar, parts).orderBy("idx").collect()
+        assert [r["news"] and r["news"]["x"] for r in got] == [None, 0.5]
+    assert len(calls) == 2
+
+
+def test_prequential_replay(spark):
+    rng = np.random.default_rng(2)
+    raw = [(s, i, [float(x)], int(x + 0.3 * e > 0)) for s in ("A", "B") for i, (x, e) in enumerate(zip(rng.normal(size=60), rng.normal(size=60)))]
+    rows = spark.createDataFrame(raw, "series string, idx long, features array<double>, label int")
+    got = {(r["series"], r["idx"]): r for r in replay.prequential(rows.orderBy(F.rand(1)), 1).collect()}
+    for s in ("A", "B"):
+        mine, w = [r for r in raw if r[0] == s], np.zeros(2)
+        p = lambda x, w=None: 1 / (1 + math.exp(-(w[0] * x + w[1])))
+        for _ in range(5):
+            for _, _, (x,), y in mine[:48]:
+                w = w + replay.RATE * (y - p(x, w)) * np.array([x, 1])
+        for _, i, (x,), y in mine[48:]:
+            assert got[s, i]["split"] == "test" and got[s, i]["probability"] == pytest.approx(p(x, w))
+            w = w + replay.RATE * (y - p(x, w)) * np.array([x, 1])
+        assert all(got[s, i]["split"] == "train" for i in range(48))
+    assert replay.prequential(rows.limit(0), 1).isEmpty()
+
+
 def test_images_by_another_decoder(spark, tmp_path):
     (tmp_path / "acme_2024_H1_candlestick.png").write_bytes(b"\x80")
     row = files.read_images(spark, str(tmp_path), decode=lambda b: np.full((100, 100, 3), b[0], np.uint8)).first()

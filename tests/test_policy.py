@@ -1,10 +1,12 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import policy
+from causeway.operators import alignment, backtest, policy
+from causeway.plans.config import ForecastConfig
 
 
 def values(spark, xs):
@@ -72,3 +74,93 @@ def test_dates_and_prices_must_match(spark):
     wrong = [(days[0], days[1], math.log(1.2), 0.0), good[1]]
     assert [r["rule"] for r in policy.violations(spark.createDataFrame(late, kind), prices).collect()] == ["target is not the next session"]
     assert [r["rule"] for r in policy.violations(spark.createDataFrame(wrong, kind), prices).collect()] == ["return does not match the closes"]
+
+
+def test_percentiles_of_many_values_and_groups(spark):
+    rng = np.random.default_rng(4)
+    raw = [(g, i, float(v)) for g in ("a", "b") for i, v in enumerate(np.round(rng.normal(size=900), 1))]
+    df = spark.createDataFrame(raw, "g string, idx int, predicted_return double").repartition(5)
+    cal = df.where("idx % 3 = 0")
+    got = {(r["g"], r["idx"]): r["percentile"] for r in policy.mid_percentile(df, cal.select("g", "predicted_return"), by=["g"]).collect()}
+    for g in ("a", "b"):
+        held = np.array([v for h, i, v in raw if h == g and i % 3 == 0])
+        for h, i, v in raw:
+            if h == g:
+                assert got[g, i] == pytest.approx(((held < v).sum() + (held == v).sum() / 2) / len(held))
+
+
+def policy_inputs(spark, n=260):
+    rng = np.random.default_rng(5)
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)
+    rows, prices = [], []
+    for s in ("a", "b"):
+        close = 100 * np.exp(np.cumsum(rng.normal(scale=0.01, size=n + 1)))
+        prices += [(s, day(i), float(c * math.exp(rng.normal(scale=0.003))), float(c)) for i, c in enumerate(close)]
+        rows += [(s, day(i), day(i + 1), float(np.log(close[i + 1] / close[i])), float(rng.normal(scale=0.002))) for i in range(n)]
+    kind = "series string, issue_date date, target_date date, actual_return double, predicted_return double"
+    return rows, spark.createDataFrame(rows, kind), spark.createDataFrame(prices, "series string, session date, open double, close double"), prices, day
+
+
+def test_policy_run_against_plain_python(spark):
+    rows, forecasts, prices, price_rows, day = policy_inputs(spark)
+    first = spark.createDataFrame([("a", day(150)), ("b", day(200))], "series string, first_issue date")
+    calibration, test = backtest.split(forecasts, first, 120)
+    details, summary = backtest.run(test, calibration, prices)
+    details = {(r["series"], r["issue_date"]): r for r in details.collect()}
+    summary = {(r["series"], r["strategy"], r["execution"]): r for r in summary.collect()}
+    assert len(summary) == 8
+    bar = {(s, d): (o, c) for s, d, o, c in price_rows}
+    for s, at in (("a", 150), ("b", 200)):
+        mine = [r for r in rows if r[0] == s]
+        held = np.array([r[4] for r in mine[max(0, at - 120) : at]])
+        assert len(held) == 120
+        wealth, peak, low, moves = {"percentile": 100.0, "half": 100.0, "hold": 100.0, "open": 100.0}, 100.0, 0.0, []
+        for _, issue, target, actual, forecast in mine[at:]:
+            p = ((held < forecast).sum() + (held == forecast).sum() / 2) / len(held)
+            r = details[s, issue]
+            assert r["training_percentile"] == pytest.approx(p) and r["allocation"] == pytest.approx(0.2 + 0.6 * p) and r["predicted_simple_return"] == pytest.approx(math.expm1(forecast))
+            assert r["wealth_before"] == pytest.approx(wealth["percentile"])
+            intraday = bar[s, target][1] / bar[s, target][0] - 1
+            for name, w, x in (("percentile", 0.2 + 0.6 * p, math.expm1(actual)), ("half", 0.5, math.expm1(actual)), ("hold", 1, math.expm1(actual)), ("open", 0.2 + 0.6 * p, intraday)):
+                wealth[name] *= 1 + w * x
+            moves.append((0.2 + 0.6 * p) * math.expm1(actual))
+            peak = max(peak, wealth["percentile"])
+            low = min(low, wealth["percentile"] / peak - 1)
+            assert (r["wealth"], r["fixed_50_wealth"], r["buy_hold_wealth"], r["drawdown"]) == pytest.approx((wealth["percentile"], wealth["half"], wealth["hold"], wealth["percentile"] / peak - 1))
+        row = summary[s, "percentile", "close to close"]
+        assert (row["final_wealth"], row["max_drawdown_pct"]) == pytest.approx((wealth["percentile"], -100 * low))
+        assert row["annualized_sharpe_rf0"] == pytest.approx(math.sqrt(252) * np.mean(moves) / np.std(moves, ddof=1))
+        assert summary[s, "percentile", "next open to close"]["final_wealth"] == pytest.approx(wealth["open"])
+        assert summary[s, "hold", "close to close"]["final_wealth"] == pytest.approx(wealth["hold"])
+
+
+def test_calibration_needs_matured_forecasts_and_anchors(spark):
+    rows, forecasts, _, _, day = policy_inputs(spark)
+    with pytest.raises(ValueError, match="matured"):
+        backtest.split(forecasts, spark.createDataFrame([("a", day(150)), ("b", day(99))], "series string, first_issue date"), 120)
+    held = backtest.anchors(forecasts)
+    assert sorted((r["series"], r["issue_date"]) for r in held.collect()) == [(s, day(i)) for s in ("a", "b") for i in (0, 130, 259)]
+    assert backtest.unlike(held, forecasts).isEmpty()
+    other = forecasts.withColumn("predicted_return", F.when(F.col("issue_date") == F.lit(day(130)), F.col("predicted_return") + 1e-6).otherwise(F.col("predicted_return")))
+    assert {r["issue_date"] for r in backtest.unlike(held, other).collect()} == {day(130)}
+    assert backtest.unlike(held, forecasts.where("series = 'a'")).count() == 3
+
+
+def test_calibration_identity(spark):
+    panel = spark.createDataFrame([("a", 0, 1.0, 0.1, [0.5]), ("a", 1, 2.0, 0.2, [0.6])], "series string, idx long, close double, ret double, factors array<float>")
+    first = spark.createDataFrame([("a", dt.date(2020, 1, 1))], "series string, first_issue date")
+    key = backtest.identity(ForecastConfig(), panel, first)
+    assert key == backtest.identity(ForecastConfig(), panel.orderBy(F.desc("idx")), first)
+    assert key != backtest.identity(ForecastConfig(window=30), panel, first) and key != backtest.identity(ForecastConfig(), panel.withColumn("ret", F.lit(0.3)), first)
+
+
+def test_no_sort_of_all_rows_in_one_task(spark):
+    """Exchanges to one partition hold aggregates or a calendar, no forecasts or events."""
+    df = spark.range(5000).select(F.rand(1).alias("predicted_return"), F.col("id").alias("idx"))
+    plan = policy.mid_percentile(df, df.select("predicted_return"))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    events = spark.range(5000).select("id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 300).cast("int")).alias("event_date"), F.lit("a").alias("series"))
+    calendar = spark.range(300).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("session"), F.col("id").alias("idx"), F.lit("a").alias("series"))
+    assert "SinglePartition" not in alignment.next_session(events, calendar, series=["series"])._jdf.queryExecution().executedPlan().toString()
+    by_day = alignment.next_session(events.drop("series"), calendar.drop("series"))._jdf.queryExecution().optimizedPlan().toString()
+    assert by_day.count("Window") == 1  # that of the calendar's days
