@@ -135,13 +135,35 @@ class Cached:
         key = key.view(np.uint64)
         order = np.argsort(key)
         self.key, self.value = key[order], value[order].astype(np.float64)
+        self.first: np.ndarray | None = None
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys are, -1 for those that are not there. Hashes are spread evenly, so their first bits lead to a few
+        places each, where a binary search would take many steps in far apart memory."""
+        out = np.full(len(keys), -1)
+        if not len(self.key):
+            return out
+        if self.first is None:  # in each worker
+            self.shift = np.uint64(64 - max(1, len(self.key).bit_length()))
+            bounds = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+            self.first = np.append(np.searchsorted(self.key, bounds), len(self.key)).astype(np.int32)
+        part = (keys >> self.shift).astype(np.int64)
+        at, end, left = self.first[part], self.first[part + 1], np.arange(len(keys))
+        while True:
+            some = at < end
+            at, end, left = at[some], end[some], left[some]
+            if not len(left):
+                return out
+            hit = self.key[at] == keys[left]
+            out[left[hit]] = at[hit]
+            at, end, left = at[~hit] + 1, end[~hit], left[~hit]
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, nan where there are none."""
         if not len(self.key):
             return np.full(len(keys), np.nan)
-        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return np.where(self.key[at] == keys, self.value[at], np.nan)
+        at = self.place(keys)
+        return np.where(at >= 0, self.value[at], np.nan)
 
 
 class Tree:
@@ -156,10 +178,7 @@ class Tree:
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the words, -1 for those that are not cached."""
-        if not len(self.h):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
-        return np.where(self.h[at] == hashes, at, -1)
+        return self.words_cached.place(hashes)
 
     def walk(self, word: np.ndarray, before, asks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Value and depth of the deepest cached state and kept entry of every token (0 where there is none; the root has
