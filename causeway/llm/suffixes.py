@@ -122,29 +122,44 @@ def _shifts() -> np.ndarray:
 SHIFTS = _shifts()
 
 
+def _by_group(group: np.ndarray) -> np.ndarray:
+    """A stable order of numbers below 2**32, by their lower and then by their upper half (which sort in linear time)."""
+    order = np.argsort((group & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if not len(group) or group.max() < 1 << 16 else order[np.argsort((group[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def _ordered(padded: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings at ``at`` by size bytes, eight at a time as long as there are ties, and which of them differ
+    from the one before."""
+    key = padded[at]
+    order = np.argsort(key)
+    key = key[order]
+    edge = np.append(True, key[1:] != key[:-1])[: len(at)]
+    for k in range(8, size, 8):
+        tied = ~edge
+        tied[:-1] |= tied[1:]
+        where = np.flatnonzero(tied)
+        if not len(where):
+            break
+        group, key = np.cumsum(edge[where]) - 1, padded[at[order[where]] + k]
+        by = np.argsort(key)
+        by = by[_by_group(group[by])]
+        order[where] = order[where[by]]
+        key = key[by]
+        edge[where[1:]] |= key[1:] != key[:-1]
+    return order, edge
+
+
 def runs(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at ``at`` by their first bytes, length at least, and where in it begins a run of suffixes
     that agree in length bytes. words: those of the text, from words8()."""
     padded = np.append(words, np.zeros(length + 2 * DIRECT, U))
-    ask = lambda x, size: [padded[x + k] for k in range(0, size, 8)][::-1]
     # The cover's ranks. Agreement of two suffixes after a shift, which is 2 at least, settles a window of length bytes.
     covered = np.flatnonzero(np.isin(np.arange(len(words) + DIRECT) % PERIOD, COVER))
-    keys = ask(covered, length - (DIRECT - PERIOD + 1))
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
+    order, new = _ordered(padded, covered, length - (DIRECT - PERIOD + 1))
     rank = np.zeros(len(words) + DIRECT + 1, np.int32)
     rank[covered[order]] = np.cumsum(new)
-
-    keys = ask(at, DIRECT)
-    order = np.lexsort(keys)
-    edge = np.zeros(len(at), bool)
-    edge[:1] = True
-    for k in keys:
-        k = k[order]
-        edge[1:] |= k[1:] != k[:-1]
+    order, edge = _ordered(padded, at, DIRECT)
     # Ties: every group is split by how its members compare with the one in its middle, until none has unlike members.
     first = np.flatnonzero(edge)
     size = np.diff(np.append(first, len(at)))
@@ -248,6 +263,12 @@ def _ranks(keys: pa.Array) -> np.ndarray:
     return pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) if len(keys) else np.zeros(0, np.int64)
 
 
+def _joined(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings (size bytes of raw from begin on) one after another, and where each begins."""
+    place = np.cumsum(size) - size
+    return raw[np.repeat(begin - place, size) + np.arange(size.sum())], place
+
+
 def _leads(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For every string (size bytes of raw from begin on) the number of an equal one with the smallest rank."""
     whole = _text.span(_text.prefix(raw), begin, begin + size)
@@ -319,12 +340,12 @@ def _repeats(docs: DataFrame, key_type: T.DataType, buckets: int, length: int, g
             part = at[i:j]
             i = j
             own, n = rank[doc[part]], size[part] - length + 1
-            lead = _leads(raw, begin[part], size[part], own)
+            body, place = _joined(raw, begin[part], size[part])
+            lead = _leads(body, place, size[part], own)
             rep, inverse = np.unique(lead, return_inverse=True)
             many = n[rep]
             base = np.cumsum(many) - many
-            body = np.concatenate([raw[a : a + s] for a, s in zip(begin[part[rep]], size[part[rep]], strict=True)])
-            place = np.cumsum(size[part[rep]]) - size[part[rep]]
+            body, place = _joined(body, place[rep], size[part[rep]])
             owner = np.repeat(np.arange(len(rep)), many)
             order, run = runs(words8(body), np.repeat(place - base, many) + np.arange(len(owner)), length)
             least = np.empty(len(owner), np.int64)
