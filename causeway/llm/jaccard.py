@@ -46,6 +46,8 @@ BROADCAST_ROWS = 500_000
 SKETCH = 1 << 20
 PIECES = 64
 LEAF = 32
+#: Documents of a block that meet in one task; a larger block is dealt into parts, every two of which meet.
+MEETING = 1 << 13
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +301,7 @@ def _near(block: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarr
 
 def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
     """For documents a, lists near of larger ids in other components that the bound lets through, from the blocks (token,
-    band, home, key, part, role, size, point). A block's rows follow one another in a partition; only the last, unfinished block of a batch is held."""
+    band, meeting, home, key, part, role, size, point). A block's rows follow one another in a partition; only the last, unfinished block of a batch is held."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         # All rows of a block have its band, and fold their points to as many groups as its smallest sets have.
@@ -329,7 +331,7 @@ def _across(blocks: DataFrame, key_type: T.DataType, percent: int) -> DataFrame:
         if held is not None:
             yield from pairs(held)
 
-    sorted_ = blocks.withColumn("block", F.xxhash64("token", "band")).select("block", "band", "key", "part", "role", "home", "size", "point").repartition("block").sortWithinPartitions("block")
+    sorted_ = blocks.withColumn("block", F.xxhash64("token", "band", "meeting")).select("block", "band", "key", "part", "role", "home", "size", "point").repartition("block").sortWithinPartitions("block")
     return sorted_.mapInArrow(run, T.StructType([T.StructField("a", key_type), T.StructField("near", T.ArrayType(key_type))]))
 
 
@@ -354,11 +356,13 @@ def classes(docs: DataFrame, *, n: int = SHINGLE, percent: int = PERCENT) -> tup
     found = components(links)
 
     placed = met.select("token", "key", "role").join(found, met["key"] == found["node"], "left").select("token", "key", "role", F.coalesce("component", "key").alias("component"))
-    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / MEETING).alias("parts")).where("low <> high").select("token", "parts")
     rows = placed.join(several, "token").join(lean, "key").withColumn("part", F.xxhash64("component"))
     # A pair's sizes differ by a quarter at most, so it meets in the band of the larger one.
     band = F.floor(F.ln("size") / F.ln(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
     banded = rows.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band")).drop("own")
+    mine, other = F.pmod(F.xxhash64("key"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    banded = banded.withColumn("mine", mine).withColumn("other", other).withColumn("meeting", F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other"))
     lists = _across(banded, key_type, percent).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     across = written(lists.select("a", F.explode("near").alias("b")), "across")
     more = _verified(written(_bounded(across, lean, percent), "pairs"), docs, n, percent)

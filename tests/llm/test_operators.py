@@ -106,6 +106,7 @@ def test_jaccard_join(docs, empty, monkeypatch):
     twice = docs.unionAll(docs.where("doc_id between 6 and 12 or doc_id = 0"))
     assert {tuple(r) for r in jaccard.linked(twice).collect()} == want
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "MEETING", 2)
     kept = jaccard.one_of_each(docs)
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in want} and kept.columns == docs.columns
     assert jaccard.linked(empty).isEmpty() and jaccard.one_of_each(empty).isEmpty()
@@ -131,6 +132,32 @@ def test_rtree_loses_nothing():
     assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in np.argwhere(ok) if i < j}
 
 
+@pytest.mark.parametrize("meeting", [1, 3, 1 << 13])
+def test_jaccard_links_along_chains(spark, monkeypatch, meeting):
+    """Texts that are linked with their neighbours only, in blocks with others that share their shingles but no link."""
+    monkeypatch.setattr(jaccard, "MEETING", meeting)
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(n)]
+    text, rows = fresh(160), []
+    for i in range(40):
+        rows.append((i * 7 % 40, " ".join(text)))
+        text = text[8:] + fresh(8)
+    shared = fresh(30)
+    rows += [(100 + i, " ".join(shared + fresh(30))) for i in range(40)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    least, again = {i: i for i in sets}, True
+    while again:
+        again = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            again |= (least[a], least[b]) != (low, low)
+            least[a] = least[b] = low
+    assert len({least[i] for i in range(40)}) == 1 and len(links) < 200
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == least
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 5), (3, 3)] + [(20, k) for k in range(21, 40)] + [(k, k + 1) for k in range(50, 80)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
