@@ -21,8 +21,8 @@ from causeway.operators import kernel
 from causeway.operators.signature import batch
 from causeway.plans.config import ForecastConfig
 
-#: Issues of a chunk: with the usual training length, a session goes to four chunks or five.
-CHUNK = 256
+#: Issues of a chunk: with the usual training length, a session goes to seven chunks or eight.
+CHUNK = 128
 SCHEMA = "series string, candidate string, issue_idx long, issue_date date, target_date date, actual_return double, predicted_return double, screened_factor_count int, lasso_support_count int, selected_factors array<int>, effective_train_n double"
 
 
@@ -77,7 +77,9 @@ def forecasts(panel: DataFrame, candidates: Mapping[str, ForecastConfig], *, fir
         return pd.DataFrame(out, columns=columns)
 
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    return rows.groupBy("series", "chunk").applyInPandas(run, SCHEMA)
+    # The rows are few and the work on them is long, so their size says nothing about how many tasks are wanted.
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "series", "chunk").groupBy("series", "chunk").applyInPandas(run, SCHEMA)
 
 
 def selection(predictions: DataFrame) -> DataFrame:
