@@ -437,10 +437,12 @@ def held_out_comparison(spark, sf):
 
 @query
 def method_comparison(spark, sf):
-    """Prices by repeating the last return and by no change, of the issues after a day."""
+    """Prices by repeating the last return and by no change, of the issues after a day, with their errors as shares of the
+    close."""
     repeat = scoring.after(naive(spark, sf), AFTER, ["ticker"])
     out = scoring.method_table({"repeat": repeat, "flat": repeat.withColumn("predicted_return", F.lit(0.0))}, m.market(spark, sf).select("ticker", "session", "close"), ["ticker"])
-    return out.select("ticker", "issue_date", "target_date", *(F.round(c, 4).alias(c) for c in ("repeat_close", "repeat_error", "flat_close", "flat_error")))
+    share = lambda m: r6(F.col(f"{m}_error") / F.col("actual_close")).alias(f"{m}_error")
+    return out.select("ticker", "issue_date", "target_date", F.round("repeat_close", 4).alias("repeat_close"), share("repeat"), "flat_close", share("flat"))
 
 
 @query
@@ -465,7 +467,7 @@ def prequential_summary(spark, sf):
 
 def _policy(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The policy on the model's own forecasts: of the sessions with a forecast, the second half is the test."""
-    forecasts = walkforward.forecasts(m.panel(spark, sf), {"depth2_sparse": CANDIDATES["depth2_sparse"]}, first=0)
+    forecasts = walkforward.forecasts(m.panel(spark, sf), {"depth2_sparse": CANDIDATES["depth2_sparse"]}, first=0).persist()  # read by every check below
     middle = F.element_at(F.array_sort(F.collect_list("issue_date")), (F.floor(F.count("*") / 2) + 1).cast("int"))
     first = forecasts.groupBy("series").agg(middle.alias("first_issue"))
     calibration, test = backtest.split(forecasts, first, MAX_TRAIN)

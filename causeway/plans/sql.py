@@ -198,7 +198,7 @@ x AS (SELECT *, CAST(correct_up AS DOUBLE) / nullif(actual_up, 0) AS u, CAST(cor
 SELECT ticker, n, actual_up, actual_down, predicted_up, correct_up, correct_down, {r6('CAST(correct_up + correct_down AS DOUBLE) / n')} AS accuracy, {r6('u')} AS up_recall, {r6('d')} AS down_recall, {r6('(u + d) / 2')} AS balanced_accuracy FROM x""",
         "score_after": f"{HELD_OUT} SELECT ticker, n, {r6('mae')} AS return_mae, {r6('rmse')} AS return_rmse, {r6('hits')} AS accuracy, {r6('(up_hits + down_hits) / 2')} AS balanced_accuracy FROM h",
         "held_out_comparison": f"{HELD_OUT} SELECT ticker, 'direction accuracy' AS metric, {r6('hits')} AS model, {r6('greatest(ups, 1 - ups)')} AS baseline FROM h UNION ALL SELECT ticker, 'return MAE', {r6('mae')}, {r6('zero')} FROM h",
-        "method_comparison": f"""WITH {SAMPLES} SELECT nv.ticker, issue_date, target_date, {r6('i.close * exp(predicted_return)', 4)} AS repeat_close, {r6('abs(i.close * exp(predicted_return) - t.close)', 4)} AS repeat_error, {r6('i.close', 4)} AS flat_close, {r6('abs(i.close - t.close)', 4)} AS flat_error
+        "method_comparison": f"""WITH {SAMPLES} SELECT nv.ticker, issue_date, target_date, {r6('i.close * exp(predicted_return)', 4)} AS repeat_close, {r6('abs(i.close * exp(predicted_return) - t.close) / t.close')} AS repeat_error, i.close AS flat_close, {r6('abs(i.close - t.close) / t.close')} AS flat_error
 FROM nv JOIN r i ON i.ticker = nv.ticker AND i.session = issue_date JOIN r t ON t.ticker = nv.ticker AND t.session = target_date WHERE issue_date > DATE '1997-01-01'""",
         "masked_factor_screen": f"""WITH {PANEL}, tr AS (SELECT * FROM (SELECT *, lead(session) OVER (ORDER BY session) AS target_date FROM panel) WHERE target_date < DATE '1997-01-01'),
 c AS ({' UNION ALL '.join(f"SELECT '{f}' AS factor, {corr(f, 'ret')} AS c FROM tr" for f in four)})
