@@ -93,5 +93,6 @@ def standardized(windows: DataFrame, moments: DataFrame, names: Sequence[str], b
     pick = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"{f}_{c}_")
     wide = moments.groupBy(*by).agg(*(pick(f, c) for f in names for c in ("mean", "sd")))
     both = windows.join(wide, list(by)) if by else windows.crossJoin(F.broadcast(wide))
-    score = lambda f: F.coalesce(F.greatest(F.lit(-most), F.least(F.lit(most), (F.col(f) - F.col(f"{f}_mean_")) / F.col(f"{f}_sd_"))), F.lit(0.0))
+    raw = lambda f: (F.col(f) - F.col(f"{f}_mean_")) / F.col(f"{f}_sd_")
+    score = lambda f: F.when(raw(f).isNotNull(), F.greatest(F.lit(-most), F.least(F.lit(most), raw(f)))).otherwise(0.0)
     return both.withColumns({f: score(f) for f in names}).select(*windows.columns)

@@ -128,11 +128,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """A JSON document as a one-row text table; numbers that JSON does not know are refused."""
     text = json.dumps(value, indent=2, allow_nan=False, default=str)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def save_run(spark: SparkSession, folder: str, tables: dict[str, DataFrame], info: dict) -> None:
