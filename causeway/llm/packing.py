@@ -34,6 +34,7 @@ LENGTH = 4096
 END_ID = 1
 #: Tokens in a shard at most, about: some thousand sequences, so that at most one in thousands is left short.
 SHARD_TOKENS = 1 << 23
+#: Strings whose ids a task keeps, twice at most.
 CACHE = 1 << 18
 
 
@@ -92,6 +93,10 @@ class CachedTokenizer:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.ids = _Ids(self.tokenizer.model)
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.ids.older = {}
+
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit little-endian numbers."""
         if not self.fast or OTHER.search(text) or any(s in text for s in self.special):
@@ -109,7 +114,9 @@ def pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = tokenizer(tokenizer_path).encode, np.array([end_id], "<u4").tobytes(), 4 * length
+        own, end, step = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * length
+        encode = own.encode
+        own.forget()  # what a task that broke off left
         for batch in batches:
             encoded = [encode(t or "") + end for t in batch.column(1).to_pylist()]
             size = np.array([len(x) // 4 for x in encoded], np.int64)
@@ -120,6 +127,7 @@ def pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
             sums = [zlib.crc32(x if len(x) <= step else x[i : i + step]) for x in encoded for i in range(0, len(x), step)]
             columns = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(np.minimum(size[at] - start, length)), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], ["key", "piece", "start", "length", "ids_crc32"])
+        own.forget()  # the worker may live on, without need of them
 
     kind = dict(docs.dtypes)["key"]
     return docs.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long")
