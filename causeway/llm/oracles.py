@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import jaccard, quality, urls
+from causeway.llm import divergence, jaccard, quality, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,5 +87,53 @@ r AS (SELECT doc_id AS doc, doc_id AS root FROM d UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM d JOIN r ON r.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def source_divergence() -> str:
+    """The rows of op11."""
+    d = divergence
+    share = lambda n, total: f"CAST(1 + CAST({d.SCALE} AS HUGEINT) * ({n} + {d.SMOOTHING}) // ({total} + {d.SMOOTHING} * v.v) AS BIGINT)"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k,
+  regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT lang, source, k, unnest(terms) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= {d.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM t GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN t USING (lang, term) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT m.lang, m.source, t.term, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "m.total")} AS p, {share("t.n", "v.n")} AS q
+  FROM m JOIN t ON t.lang = m.lang JOIN v ON v.lang = m.lang LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = t.term),
+a AS (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+f AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(a.value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.other = y.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {d.TOP_TERMS}"""
+
+
+def conversation_trie() -> str:
+    """The rows of op13; crc32 is reckoned bit by bit."""
+    # Fixed value: the polynomial of CRC-32, 0xEDB88320.
+    step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    return f"""
+WITH RECURSIVE s AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM s),
+crc AS (SELECT conv_id, name, 0 AS i, CAST(4294967295 AS BIGINT) AS x FROM k UNION ALL
+  SELECT conv_id, name, i + 1, CASE WHEN i % 9 = 0 THEN xor(x, CAST(unicode(substr(name, i // 9 + 1, 1)) AS BIGINT)) ELSE {step} END FROM crc WHERE i < 9 * length(name)),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(x, 4294967295) % 6 AS h FROM crc WHERE i = 9 * length(name)),
+f AS (SELECT conv_id, pos AS k, role, text, 0 AS own FROM h JOIN (SELECT conv_id AS base, pos, role, text FROM s) USING (base) WHERE pos <= h
+  UNION ALL SELECT conv_id, pos, role, text, 1 FROM s JOIN h USING (conv_id) WHERE pos > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS depth, sha256(length(role) || ':' || role || ':' || text) AS token, length(text) AS chars FROM f),
+p AS (SELECT conv_id, depth, chars, sha256(string_agg(token, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+q AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) = depth AS last, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM p),
+n AS (SELECT node, any_value(depth) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM q GROUP BY node),
+c AS (SELECT above AS node, count(*) AS n_children FROM n GROUP BY above),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.node = n.node),
+u AS (SELECT q.node, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved FROM m JOIN q ON q.conv_id = m.conv_id AND q.depth <= m.depth GROUP BY q.node)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN u ON u.node = m.node LEFT JOIN m o ON o.node = m.above"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_warc": warc_records(), "op6_ngram_jaccard_join": ngram_jaccard(), "op7_quality_rules": quality_rules(), "op8_exact_top_k": exact_top_k(), "op10_url_filters": url_filters()}
+    return {"op2_warc": warc_records(), "op6_ngram_jaccard_join": ngram_jaccard(), "op7_quality_rules": quality_rules(), "op8_exact_top_k": exact_top_k(), "op10_url_filters": url_filters(), "op11_source_divergence": source_divergence(), "op13_conversation_trie": conversation_trie()}

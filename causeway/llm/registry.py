@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from causeway.llm import chunks, jaccard, mixing, oracles, packing, quality, suffix_tree, suffixes, topk, urls, warc
+from causeway.llm import chunks, divergence, jaccard, mixing, oracles, packing, pages, quality, suffix_tree, suffixes, topk, trie, urls, warc
 from causeway.llm._common import new_path, table
 
 
@@ -17,9 +17,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = new_path(spark, "warc")
-    warc.write_archive(warc.archive_rows(pages, "page_id", "url", "html"), path)
+    warc.write_archive(warc.archive_rows(rows, "page_id", "url", "html"), path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     # The payloads of responses are measured anew; of revisits only the headers are read.
     held = warc.read_archive(spark, path).where("record_type = 'response'").select("record_id", "refers_to", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
@@ -64,8 +64,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.extract(rows).select("page_id", "url", "page.*")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_source_mixing, op4_best_fit_packing, op5_suffix_tree_scoring, op6_ngram_jaccard_join, op7_quality_rules, op8_exact_top_k, op9_suffix_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_source_mixing, op4_best_fit_packing, op5_suffix_tree_scoring, op6_ngram_jaccard_join, op7_quality_rules, op8_exact_top_k, op9_suffix_dedup, op10_url_filters, op11_source_divergence, op12_html_extraction, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
