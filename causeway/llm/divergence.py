@@ -31,7 +31,7 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
 #: Kept terms in a shard of the comparison.
-SHARD_TERMS = 20_000
+SHARD_TERMS = 2_000
 #: Bytes of text that a task counts at a time, counts that it holds before it sends them on, and rows that it sends at a time.
 SLICE, HELD, SENT = 4 << 20, 2_000_000, 100_000
 #: Rows of counts that DuckDB takes at a time.
