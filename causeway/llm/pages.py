@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of their hosts.
 
 Every page votes for the container that holds most of its article: each element is scored by the text of its blocks, the element
-that holds most of them is taken, and its path of tags and classes is generalised (digits become #). Spark counts the votes of
+that holds most of them is taken, and its path of tags and classes is generalised (two digits and more become #). Spark counts the votes of
 each host and path, and every page is read again with the path that won on its host; a page without an element of that path is
 read with its own container. What menus, forms, adverts, comments and the like hold is never text, by tag, role, class or id.
 
@@ -98,9 +98,9 @@ def _start(tag: str, attributes: str, parent: Element) -> Element:
     if not found:
         return Element(tag, parent, off=off)
     classes, own = found.get("class", "").split(), found.get("id", "")
-    name = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
+    name = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d{2,}", "#", c) for c in classes}))
     if not classes and own:
-        name += "#" + re.sub(r"\d+", "#", own)
+        name += "#" + re.sub(r"\d{2,}", "#", own)
     if not off and tag not in ("html", "body"):
         among = STRONG if tag in ("article", "main", "h1", "h2", "h3", "h4", "h5", "h6") else BOILERPLATE
         off = any(_boilerplate(n, among) for n in (*classes, own, *found.get("role", "").split(), found.get("itemprop", "")))
