@@ -276,9 +276,8 @@ def votes(pages: DataFrame) -> DataFrame:
 def consensus(pages: DataFrame) -> DataFrame:
     """The path of most votes of every host of pages (host, html)."""
     counted = votes(pages).groupBy("host", "path", "depth").agg(F.count("*").alias("n"))
-    best = counted.groupBy("host").agg(F.max(F.struct("n", "depth")).alias("top"))
-    first = counted.join(best, "host").where((F.col("n") == F.col("top.n")) & (F.col("depth") == F.col("top.depth")))
-    return first.groupBy("host").agg(F.min("path").alias("path"))
+    best = counted.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("depth")).alias("depth"), "path")).alias("best"))
+    return best.select("host", "best.path")
 
 
 def extract(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
