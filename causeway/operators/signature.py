@@ -104,29 +104,34 @@ def batch(paths: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(totals, axis=1)
 
 
+def of_arrays(paths: pa.Array, depth: int) -> list[np.ndarray | None]:
+    """The signature of every path, which may differ in length; None for a null path, one of fewer than
+    two points, and one with a null point or coordinate or points of unlike width."""
+    points = pc.list_flatten(paths)
+    values = pc.list_flatten(points)
+    number = pc.fill_null(pc.list_value_length(paths), 0).to_numpy()
+    width = pc.fill_null(pc.list_value_length(points), 0).to_numpy()
+    first, at = np.cumsum(number) - number, np.concatenate(([0], np.cumsum(width)))
+    gaps = np.concatenate(([0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))))
+    flat = pc.fill_null(values.cast(pa.float64()), 0.0).to_numpy()
+    out: list[np.ndarray | None] = [None] * len(paths)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i in np.flatnonzero(number >= 2):
+        own = width[first[i] : first[i] + number[i]]
+        if own[0] and (own == own[0]).all() and gaps[at[first[i]]] == gaps[at[first[i] + number[i]]]:
+            shapes.setdefault((int(number[i]), int(own[0])), []).append(int(i))
+    for shape, rows in shapes.items():
+        stacked = flat[at[first[rows]][:, None] + np.arange(shape[0] * shape[1])].reshape(len(rows), *shape)
+        for i, row in zip(rows, batch(stacked, depth), strict=True):
+            out[i] = row
+    return out
+
+
 def by_arrow(depth: int):
-    """An Arrow UDF from array<array<double>> to the single-precision signature. Paths in a batch may differ in length. Null
-    for a null path, one of fewer than two points, and one with a null point or coordinate or points of unlike width."""
+    """An Arrow UDF from array<array<double>> to the single-precision signature, as of_arrays() gives it."""
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def signature(paths: pa.Array) -> pa.Array:
-        points = pc.list_flatten(paths)
-        values = pc.list_flatten(points)
-        number = pc.fill_null(pc.list_value_length(paths), 0).to_numpy()
-        width = pc.fill_null(pc.list_value_length(points), 0).to_numpy()
-        first, at = np.cumsum(number) - number, np.concatenate(([0], np.cumsum(width)))
-        gaps = np.concatenate(([0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))))
-        flat = pc.fill_null(values.cast(pa.float64()), 0.0).to_numpy()
-        out: list[np.ndarray | None] = [None] * len(paths)
-        shapes: dict[tuple[int, int], list[int]] = {}
-        for i in np.flatnonzero(number >= 2):
-            own = width[first[i] : first[i] + number[i]]
-            if own[0] and (own == own[0]).all() and gaps[at[first[i]]] == gaps[at[first[i] + number[i]]]:
-                shapes.setdefault((int(number[i]), int(own[0])), []).append(int(i))
-        for shape, rows in shapes.items():
-            stacked = flat[at[first[rows]][:, None] + np.arange(shape[0] * shape[1])].reshape(len(rows), *shape)
-            for i, row in zip(rows, batch(stacked, depth).astype(np.float32), strict=True):
-                out[i] = row
-        return pa.array(out, pa.list_(pa.float32()))
+        return pa.array(of_arrays(paths, depth), pa.list_(pa.float64())).cast(pa.list_(pa.float32()))
 
     return signature

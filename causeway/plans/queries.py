@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from causeway.functions import text
+from causeway.functions import sql, text
 from causeway.operators import alignment, backtest, facts, features, policy, scoring, screen, signature, walkforward
 from causeway.plans import config
 from causeway.plans.config import CANDIDATES
@@ -191,6 +193,34 @@ def signature_arrow(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", signature.by_arrow(4)(path).alias("signature"))
 
 
+@query
+def sql_signature(spark, sf):
+    """The windows of signature_depth2, by the SQL function signature()."""
+    sql.register(spark)
+    points = alignment.gathered(m.market(spark, sf).select("ticker", "idx", "close"), WINDOW)
+    return spark.sql(
+        f"""WITH paths AS (SELECT ticker, issue, array_sort(collect_list(struct(pos, array(CAST(pos AS DOUBLE) / {WINDOW - 1}, ln(close)) AS point))).point AS path FROM {{points}} GROUP BY ticker, issue HAVING count(*) = {WINDOW}),
+        s AS (SELECT ticker, issue, signature(path, 2) AS s FROM paths)
+        SELECT ticker, issue, {", ".join(f"round(s[{i}], 6) + 0D AS {c}" for i, c in enumerate(signature.coordinate_names(2, 2)))} FROM s""",
+        points=points,
+    )
+
+
+@query
+def sql_hash_text(spark, sf):
+    """Every feature of the hashed texts, by the SQL function hash_text_md5()."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, k, round(value, 6) + 0D AS value FROM (SELECT doc_id, hash_text_md5(text) AS vector FROM {docs}) LATERAL VIEW posexplode(vector) AS k, value", docs=table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def sql_walk_forward(spark, sf):
+    """The forecasts of walk_forward_forecast for all three tickers, by the table function walk_forward()."""
+    sql.register(spark)
+    settings = json.dumps({"depth2_sparse": asdict(CANDIDATES["depth2_sparse"])})
+    return spark.sql("SELECT * FROM walk_forward(TABLE({panel}) PARTITION BY series ORDER BY idx, candidates => :settings)", args={"settings": settings}, panel=m.panels(spark, sf))
+
+
 @query
 def window_standardize(spark, sf):
     """Mean and deviation of features over training windows and their sessions, each session once for each window."""

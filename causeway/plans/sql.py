@@ -141,6 +141,10 @@ SELECT idx, session, {r6('avg(v)')} AS mean_fact, {r6('CAST(count(v) AS DOUBLE)
         "latest_fact": "SELECT o_custkey AS symbol, arg_max(o_totalprice, row(CAST(o_orderdate AS DATE), -o_orderkey)) AS val, strftime(max(o_orderdate), '%Y-%m-%d') AS \"end\" FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-06-30' GROUP BY 1",
         "props_json": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS largest FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
         "text_hash_md5": f"WITH t AS (SELECT lang, unnest({tokens}) AS token FROM documents), h AS (SELECT lang, {digest} AS h FROM t) SELECT lang, CAST(h % 32 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS BIGINT) AS value, count(*) AS tokens FROM h GROUP BY 1, 2",
+        "sql_hash_text": f"""WITH t AS (SELECT doc_id, {digest} AS h FROM (SELECT doc_id, unnest({tokens}) AS token FROM documents)),
+v AS (SELECT doc_id, CAST(h % 32 AS INTEGER) AS k, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM t GROUP BY 1, 2), u AS (SELECT doc_id, greatest(sqrt(sum(x * x)), 1) AS norm FROM v GROUP BY 1)
+SELECT d.doc_id, CAST(b.k AS INTEGER) AS k, {r6('coalesce(x / norm, 0)')} AS value FROM documents d CROSS JOIN range(32) b(k) LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id AND v.k = b.k""",
+        "sql_signature": signature(2),
         "news_panel": f"""WITH {A}, d AS (SELECT text, CAST(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS event_date FROM documents WHERE length(text) > 0)
 SELECT idx, session, {r6('ln(1 + count(*))')} AS log_n, {r6('avg(least(length(text), 5000) / CAST(5000 AS DOUBLE))')} AS mean_length FROM d ASOF JOIN a ON d.event_date < a.session WHERE idx > 0 GROUP BY 1, 2""",
         "news_panel_features": f"""WITH {A}, d AS (SELECT row_number() OVER () AS r, text, CAST(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS event_date FROM documents WHERE length(text) > 0),

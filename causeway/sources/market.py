@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators import alignment, features
@@ -50,3 +50,20 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = rows.groupBy("session").agg(F.max("idx").alias("idx"), pick("A", "close").alias("close"), pick("A", "ret").alias("ret"), *(pick(*x).alias(n) for n, x in names.items()))
     both = alignment.reindexed(wide, features.breadth(brand_bars(spark, sf_dir)))
     return both.select(F.lit("A").alias("series"), "idx", "session", "close", "ret", *(features.cleaned(F.col(f)).alias(f) for f in FACTORS), features.factor_array(FACTORS).alias("factors"))
+
+
+def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series, idx, session, close, ret and factors of every ticker: of the two others the return, the intraday return and the
+    volatility, its own range and volume, and the breadth of all brands, as panel() has them for ticker A."""
+    rows = market(spark, sf_dir).withColumns({"ret": features.log_return(), "intraday": features.intraday_return(), "rng": features.bar_range(), "logvol": features.log_volume()})
+    rows = rows.withColumn("vol", features.rolling_volatility())
+    own = F.struct("close", "ret", "intraday", "vol", "rng", "logvol")
+    wide = rows.groupBy("session").agg(F.max("idx").alias("idx"), *(F.max(F.when(F.col("ticker") == t, own)).alias(t) for t in TICKERS))
+    both = alignment.reindexed(wide, features.breadth(brand_bars(spark, sf_dir)))
+    breadths = [f for f in FACTORS if f.startswith("breadth")]
+
+    def series(t: str) -> Column:
+        cells = [F.col(f"{o}.{f}") for o in TICKERS if o != t for f in ("ret", "intraday", "vol")] + [F.col(f"{t}.rng"), F.col(f"{t}.logvol"), *map(F.col, breadths)]
+        return F.struct(F.lit(t).alias("series"), F.col(f"{t}.close").alias("close"), F.col(f"{t}.ret").alias("ret"), F.array(*(features.cleaned(c) for c in cells)).alias("factors"))
+
+    return both.select("idx", "session", F.explode(F.array(*map(series, TICKERS))).alias("x")).select("x.series", "idx", "session", "x.close", "x.ret", "x.factors")
