@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,10 @@ RANGES = 64
 def mid_percentile(forecasts: DataFrame, calibration: DataFrame, value: str = "predicted_return", by: Sequence[str] = ()) -> DataFrame:
     """forecasts with percentile, the mid-rank of each forecast in the frozen calibration set (of its group). Distinct values
     are dealt into ranges, each sorted by itself and lifted by what lies in the ranges below it; no forecast is compared with
-    every calibration row, and no task sorts all values. Where the ranges lie has no influence on the result."""
+    every calibration row, and no task sorts all values. Where the ranges lie has no influence on the result. Values that are
+    null or NaN count for nothing: such a forecast stays, with a null percentile, as does one of a group without calibration."""
+    every, usable = forecasts, F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    forecasts, calibration = forecasts.where(usable), calibration.where(usable)
     if calibration.isEmpty():
         raise ValueError("the calibration set is empty")
     ends = sorted({x for x in forecasts.unionByName(calibration, allowMissingColumns=True).approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.01) if math.isfinite(x)})
@@ -33,9 +38,12 @@ def mid_percentile(forecasts: DataFrame, calibration: DataFrame, value: str = "p
     # a row for each range of each group
     below = below.select(*by, "range_", F.coalesce(F.sum("held").over(lower.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("held").over(W.partitionBy(*by)).alias("n_"))
     upto = F.sum("same").over(W.partitionBy(*by, "range_").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).join(below, [*by, "range_"])
+    held = below.select(*(F.col(k).alias(f"{k}__") for k in (*by, "range_")), "below", "n_")
+    ranked = counts.withColumn("upto", upto).join(held, functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"{k}__")) for k in (*by, "range_"))))
     ranked = ranked.select(*keys, F.try_divide(2 * (F.col("below") + F.col("upto")) - F.col("same"), 2 * F.col("n_")).alias("percentile"))
-    return forecasts.join(ranked, keys)
+    other = ranked.select(*(F.col(k).alias(f"{k}__") for k in keys), "percentile")
+    same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys))
+    return every.join(other, same, "left").select(*every.columns, "percentile")
 
 
 def allocation(percentile: Column, low: float = 0.2, high: float = 0.8) -> Column:

@@ -121,6 +121,22 @@ def same_outcomes(left: DataFrame, right: DataFrame, rtol: float = 1e-8, atol: f
     return pair.where(~fine).select("issue_date")
 
 
+def block_starts(errors: DataFrame, *, reps: int = 1000, block: int = 20, seed: int = 17, by: Sequence[str] = ()) -> DataFrame:
+    """by, rep, block_no and start: a random start for each block of each repetition, for the rows of errors (by, idx).
+
+    A start is a draw of 60 bits of the MD5 digest of seed, repetition and block, so it does not depend on how rows lie or on
+    what else is drawn; a draw from the incomplete last run of the numbers of rows is drawn again from the digest's other
+    half, so that no row is favoured.
+    """
+    n = errors.groupBy(*by).agg(F.count("*").alias("n"))
+    numbers = n.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
+    blocks = numbers.select(*by, "n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("block_no"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("block_no").cast("string")))
+    first, second = (F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 17))
+    whole = (1 << 60) - F.lit(1 << 60) % F.col("n")
+    return blocks.select(*by, "rep", "block_no", (F.when(first < whole, first).otherwise(second) % F.col("n")).alias("start"))
+
+
 def block_bootstrap(errors: DataFrame, starts: DataFrame, *, value: str = "difference", block: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Mean, and the 2.5 and 97.5 percent quantiles of the means, over circular blocks.
 

@@ -416,10 +416,7 @@ def factor_frequency(spark, sf):
 @query
 def block_bootstrap(spark, sf):
     rows = naive(spark, sf).select("ticker", (F.col("idx") - 1).alias("idx"), (F.abs(F.col("predicted_return") - F.col("actual_return")) - F.abs("actual_return")).alias("difference"))
-    n = rows.groupBy("ticker").agg(F.count("*").alias("n"))
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 20) - 1))
-    reps = n.crossJoin(F.broadcast(spark.range(1000).select(F.col("id").alias("rep")))).select("ticker", "rep", "n", blocks.alias("block_no"))
-    starts = reps.select("ticker", "rep", "block_no", ((F.col("rep") * 7919 + F.col("block_no") * 104729) % F.col("n")).alias("start"))
+    starts = scoring.block_starts(rows, by=["ticker"])
     out = scoring.block_bootstrap(rows, starts, by=["ticker"])
     return out.select("ticker", *(r6(c).alias(c) for c in out.columns if c != "ticker"))
 

@@ -188,7 +188,8 @@ SELECT ticker, {r6('pearson')} AS pearson, {r6('mse')} AS mse, {r6('mse / (sd *
         "baseline_comparison": f"WITH {DIRECTION}, x AS (SELECT ticker, avg(CAST(correct AS DOUBLE)) AS r, avg(CAST(actual_direction = 'UP' AS DOUBLE)) AS u FROM dd GROUP BY ticker) SELECT ticker, 'repeat previous' AS method, {r6('r')} AS accuracy FROM x UNION ALL SELECT ticker, 'always UP', {r6('u')} FROM x UNION ALL SELECT ticker, 'always DOWN', {r6('1 - u')} FROM x",
         "factor_frequency": f"WITH {SCREEN} SELECT factor, count(*) AS selected_sessions FROM ({freq}) GROUP BY factor",
         "block_bootstrap": f"""WITH {SAMPLES}, e AS (SELECT ticker, idx - 1 AS idx, abs(predicted_return - actual_return) - abs(actual_return) AS d FROM nv), n AS (SELECT ticker, count(*) AS n FROM e GROUP BY ticker),
-st AS (SELECT ticker, rep, b, (rep * 7919 + b * 104729) % n AS s, n FROM (SELECT ticker, n, rep, unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS b FROM n, range(1000) t(rep))),
+dr AS (SELECT *, md5('17:' || rep || ':' || b) AS h, 1152921504606846976 - 1152921504606846976 % n AS whole FROM (SELECT ticker, n, rep, unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS b FROM n, range(1000) t(rep))),
+st AS (SELECT ticker, rep, b, CASE WHEN CAST('0x' || substr(h, 1, 15) AS BIGINT) < whole THEN CAST('0x' || substr(h, 1, 15) AS BIGINT) ELSE CAST('0x' || substr(h, 17, 15) AS BIGINT) END % n AS s, n FROM dr),
 dy AS (SELECT ticker, rep, (s + k) % n AS idx FROM st, range(20) v(k) WHERE b * 20 + k < n), mm AS (SELECT ticker, rep, avg(d) AS m FROM dy JOIN e USING (ticker, idx) GROUP BY ticker, rep),
 q AS (SELECT ticker, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm GROUP BY ticker)
 SELECT ticker, {r6('difference')} AS difference, {r6('low')} AS low, {r6('high')} AS high FROM q JOIN (SELECT ticker, avg(d) AS difference FROM e GROUP BY ticker) USING (ticker)""",

@@ -25,21 +25,31 @@ def _stem(path: str = "_metadata.file_path") -> Column:
     return F.regexp_extract(F.col(path), r"([^/]+)\.[^./]+$", 1)
 
 
+#: A cell of a line after a comma: quoted, with doubled quotes inside, or up to the next comma.
+CELL = r',[ \t]*("(?:[^"]++|"")*+"[^,]*|[^,]*)'
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a line of CSV without their quotes; commas and doubled quotes inside quotes are part of the cell."""
+    plain = lambda x: F.when(x.startswith('"'), F.replace(F.regexp_extract(x, '^"((?:[^"]++|"")*+)"', 1), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), F.btrim(line, F.lit("\ufeff\r"))), F.lit(CELL), F.lit(1)), lambda x: F.trim(plain(F.trim(x))))
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """ticker (the file's stem), session, prices and position (order in the file) of CSV files with a header; columns are
     found by name and what cannot be parsed is null. Files without a date or a close column give no rows.
 
     All files are one scan, whatever their headers: a line's cells are looked up by the places that its own file's header
-    gives. The headers, a row for each file, are found in a second scan of the lines that name a close.
+    gives. A header is the first line of its file that is not blank; headers, a row for each file, are found in a second scan.
+    Cells can be quoted and hold commas, but no line breaks.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"))
-    cells = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(F.btrim(F.trim(x), F.lit('"'))))
-    named = F.lower("value").contains("close")
-    names = F.transform(cells(F.col("value")), lambda x: F.lower(x))
-    headers = lines.where(named).groupBy("file").agg(F.min_by(names, "position").alias("names"))
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).where(F.btrim("value", F.lit("\ufeff\r\t ")) != "")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("position"))
+    names = F.transform(csv_cells(F.col("value")), lambda x: F.lower(x))
+    headers = lines.where("block = 0").groupBy("file").agg(F.min_by(names, "position").alias("names"), F.min("position").alias("header"))
     place = lambda *options: F.coalesce(*(F.nullif(F.array_position("names", o), F.lit(0)) for o in options))
-    headers = headers.select("file", place("date", "timestamp").alias("date"), *(place(c).alias(c) for c in ("open", "high", "low", "close", "volume"))).where("date is not null and close is not null")
-    rows = lines.where(~named).withColumn("cells", cells(F.col("value"))).join(headers, "file")
+    headers = headers.select("file", "header", place("date", "timestamp").alias("date"), *(place(c).alias(c) for c in ("open", "high", "low", "close", "volume"))).where("date is not null and close is not null")
+    rows = lines.withColumn("cells", csv_cells(F.col("value"))).join(headers, "file").where("position <> header")
     cell = lambda c: F.get("cells", (F.col(c) - 1).cast("int"))
     out = rows.select(_stem("file").alias("ticker"), F.substring(cell("date"), 1, 10).try_cast("date").alias("session"), *(cell(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")), "position")
     return out.where("session is not null")
@@ -57,10 +67,13 @@ def read_filings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, event_date and text of JSON lines; bad lines go, a missing article is empty."""
-    rows = spark.read.schema("Date string, Article string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    day = F.expr("try_cast(substring(Date, 1, 10) as date)")
-    return rows.select(_stem().alias("symbol"), day.alias("event_date"), F.coalesce("Article", F.lit("")).alias("text"), F.col("_bad")).where("_bad is null and event_date is not null").drop("_bad")
+    """symbol, event_date and text of JSON lines; lines that are no JSON object or have no date go. An article that is missing
+    is empty, one that is null is the text None, and one that is no text its JSON."""
+    rows = spark.read.text(path).select(_stem().alias("symbol"), F.try_parse_json("value").alias("v"))
+    part = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    article = F.when(F.is_variant_null(part("Article", "variant")), "None").otherwise(F.coalesce(part("Article", "string"), F.lit("")))
+    day = F.substring(part("Date", "string"), 1, 10).try_cast("date")
+    return rows.select("symbol", day.alias("event_date"), article.alias("text")).where("event_date is not null")
 
 
 def read_images(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
