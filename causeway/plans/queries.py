@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from causeway.functions import sql, text
-from causeway.operators import alignment, backtest, facts, features, policy, scoring, screen, signature, walkforward
+from causeway.operators import alignment, backtest, calibration, facts, features, policy, scoring, screen, signature, walkforward
 from causeway.plans import config
 from causeway.plans.config import CANDIDATES
 from causeway.streaming import replay
+from causeway.sources import files
 from causeway.sources import market as m
 from causeway.sources.market import table
 
@@ -493,13 +494,19 @@ def prequential_summary(spark, sf):
 
 
 def _policy(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The policy on the model's own forecasts: of the sessions with a forecast, the second half is the test."""
-    forecasts = walkforward.forecasts(m.panel(spark, sf), {"depth2_sparse": CANDIDATES["depth2_sparse"]}, first=0).persist()  # read by every check below
+    """The policy on the model's own forecasts: of the sessions with a forecast, the second half is the test. Forecasts are
+    stored by what they depend on, so a second query, or a second run, makes none; their anchors are checked."""
+    panel, config = m.panel(spark, sf), CANDIDATES["depth2_sparse"]
+    model = lambda first, last: walkforward.forecasts(panel, {"depth2_sparse": config}, first=first, last=last)
+    most = panel.agg(F.max("idx")).first()[0]
+    names = backtest.identity(config, panel, panel.groupBy("series").agg(F.min("session").alias("first")))
+    forecasts = calibration.stored(spark, f"{files.shared_folder(spark)}/causeway/forecasts", names, model, 0, -1 if most is None else most)
+    calibration.check_anchors(forecasts, model)
     middle = F.element_at(F.array_sort(F.collect_list("issue_date")), (F.floor(F.count("*") / 2) + 1).cast("int"))
     first = forecasts.groupBy("series").agg(middle.alias("first_issue"))
-    calibration, test = backtest.split(forecasts, first, MAX_TRAIN)
+    known, test = backtest.split(forecasts, first, MAX_TRAIN)
     prices = m.market(spark, sf).select(F.col("ticker").alias("series"), "session", "open", "close")
-    return backtest.run(test, calibration, prices)
+    return backtest.run(test, known, prices)
 
 
 @query

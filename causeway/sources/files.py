@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import json
+import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -170,6 +175,43 @@ def prepared(spark: SparkSession, path: str, key: dict, calendar: Callable[[], D
     return cached(spark, path, key | {"parts": sorted(parts)}, build)
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of spark.checkpoint.dir; on one machine (tests), where it is not set, a
+    temporary one that ends with the process. A cluster without the setting is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="causeway-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        path = _own[app]
+    return path.rstrip("/")
+
+
+def tree_hash(spark: SparkSession, paths: str | Sequence[str]) -> str:
+    """One digest of all files below paths, by their names and bytes: files are digested where they are read, and their
+    digests in the order of their names. It is the same whatever the number of tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([paths] if isinstance(paths, str) else list(paths))
+    digests = files.select("path", F.sha2("content", 256).alias("digest"))
+    lines = digests.select(F.concat_ws(" ", "digest", "path").alias("line"), F.substring("digest", 1, 2).alias("group"))
+    groups = lines.groupBy("group").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))  # 256 at most
+    return groups.agg(F.sha2(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.concat("group", "digest"))), "\n"), F.lit("")), 256)).first()[0]
+
+
+@contextmanager
+def unchanged(spark: SparkSession, paths: str | Sequence[str]) -> Iterator[str]:
+    """The digest of the inputs of a run; ValueError at its end if they are not the same any more."""
+    before = tree_hash(spark, paths)
+    yield before
+    if tree_hash(spark, paths) != before:
+        raise ValueError("the inputs changed while the run read them")
+
+
 def file_hash(path: str | Path) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
