@@ -2,7 +2,7 @@
 
 A store is a folder with a subfolder for each identity (settings, and checksums of what the forecasts depend on), so whatever
 changes starts anew and nothing stale is read. A chunk counts once its manifest is there, which is written after its rows and
-names their number and checksum; a run that ends early leaves at most one chunk without, and the next run makes the rest.
+names their number and checksum; a run that ends early leaves at most one job's chunks without, and the next run makes the rest.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from causeway.operators import backtest
 from causeway.operators.walkforward import SCHEMA
 
-#: Issues of a chunk.
-CHUNK = 100
+#: Issues of a chunk, and chunks that are made in one job.
+CHUNK, TOGETHER = 100, 8
 Forecast = Callable[[int, int], DataFrame]
 
 
@@ -36,31 +36,35 @@ def _manifests(spark: SparkSession, at: str) -> dict[int, dict]:
     return {m["chunk"]: m for m in (json.loads(r["value"]) for r in rows)}
 
 
-def _sums(rows: DataFrame) -> list:
-    """Number and checksum, which the order of rows has no influence on."""
-    got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("series", "candidate", "issue_idx", "predicted_return").cast("decimal(38,0)")), F.lit(0)).alias("sum")).first()
-    return [got["n"], str(got["sum"])]
+def _sums(rows: DataFrame) -> dict[int, list]:
+    """Number and checksum of the rows of each chunk, which their order has no influence on."""
+    checksum = F.sum(F.xxhash64("series", "candidate", "issue_idx", "predicted_return").cast("decimal(38,0)"))
+    return {r["chunk"]: [r["n"], str(r["sum"])] for r in rows.groupBy("chunk").agg(F.count("*").alias("n"), checksum.alias("sum")).collect()}
 
 
-def stored(spark: SparkSession, folder: str, identity: dict, forecast: Forecast, first: int, last: int, *, chunk: int = CHUNK) -> DataFrame:
-    """The forecasts of the issues first to last of all series; forecast(first, last) makes those that the store has not, a
-    chunk at a time. A chunk whose rows are not those that its manifest names raises."""
+def stored(spark: SparkSession, folder: str, identity: dict, forecast: Forecast, first: int, last: int, *, chunk: int = CHUNK, together: int = TOGETHER) -> DataFrame:
+    """The forecasts of the issues first to last of all series; forecast(first, last) makes those that the store has not, up to
+    ``together`` neighbouring chunks in a job. Chunks whose rows are not those that their manifests name raise."""
     at = place(folder, identity | {"chunk": chunk})
-    done = _manifests(spark, at)
-    wanted = range(first // chunk, last // chunk + 1)
-    for number in wanted:
-        if number not in done:
-            low, path = number * chunk, f"{at}/chunk-{number:08d}"
-            forecast(low, low + chunk - 1).write.mode("overwrite").parquet(path)
-            manifest = json.dumps({"chunk": number, "rows": _sums(spark.read.schema(SCHEMA).parquet(path))})
-            spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/done/{number:08d}")
-    if not len(wanted):
+    kind = f"{SCHEMA}, chunk int"
+    done, wanted = _manifests(spark, at), range(first // chunk, last // chunk + 1)
+    missing = [number for number in wanted if number not in done]
+    while missing:
+        run = [n for i, n in enumerate(missing[:together]) if n == missing[0] + i]
+        missing = missing[len(run) :]
+        path = f"run-{run[0]:08d}-{run[-1]:08d}"
+        made = forecast(run[0] * chunk, (run[-1] + 1) * chunk - 1).withColumn("chunk", F.floor(F.col("issue_idx") / chunk).cast("int"))
+        made.write.mode("overwrite").parquet(f"{at}/{path}")
+        sums = _sums(spark.read.schema(kind).parquet(f"{at}/{path}"))
+        lines = [(json.dumps({"chunk": n, "path": path, "rows": sums.get(n, [0, "0"])}),) for n in run]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{at}/done/{path}")
+    named = {n: m for n, m in _manifests(spark, at).items() if n in wanted}
+    if not named:
         return spark.createDataFrame([], SCHEMA)
-    rows = spark.read.schema(SCHEMA).parquet(*(f"{at}/chunk-{number:08d}" for number in wanted))
-    named = [m["rows"] for number, m in _manifests(spark, at).items() if number in wanted]
-    if _sums(rows) != [sum(n for n, _ in named), str(sum(int(s) for _, s in named))]:
+    rows = spark.read.schema(kind).parquet(*sorted({f"{at}/{m['path']}" for m in named.values()})).where(F.col("chunk").between(wanted[0], wanted[-1]))
+    if _sums(rows) != {n: m["rows"] for n, m in named.items() if m["rows"][0]}:
         raise ValueError(f"the forecasts in {at} are not those that were published")
-    return rows.where(F.col("issue_idx").between(first, last))
+    return rows.where(F.col("issue_idx").between(first, last)).drop("chunk")
 
 
 def check_anchors(rows: DataFrame, forecast: Forecast) -> None:

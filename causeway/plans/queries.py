@@ -496,12 +496,13 @@ def prequential_summary(spark, sf):
 def _policy(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The policy on the model's own forecasts: of the sessions with a forecast, the second half is the test. Forecasts are
     stored by what they depend on, so a second query, or a second run, makes none; their anchors are checked."""
-    panel, config = m.panel(spark, sf), CANDIDATES["depth2_sparse"]
+    panel, config = m.panel(spark, sf).persist(), CANDIDATES["depth2_sparse"]
     model = lambda first, last: walkforward.forecasts(panel, {"depth2_sparse": config}, first=first, last=last)
     most = panel.agg(F.max("idx")).first()[0]
     names = backtest.identity(config, panel, panel.groupBy("series").agg(F.min("session").alias("first")))
     forecasts = calibration.stored(spark, f"{files.shared_folder(spark)}/causeway/forecasts", names, model, 0, -1 if most is None else most)
     calibration.check_anchors(forecasts, model)
+    panel.unpersist()  # what follows reads the stored forecasts
     middle = F.element_at(F.array_sort(F.collect_list("issue_date")), (F.floor(F.count("*") / 2) + 1).cast("int"))
     first = forecasts.groupBy("series").agg(middle.alias("first_issue"))
     known, test = backtest.split(forecasts, first, MAX_TRAIN)

@@ -25,7 +25,7 @@ class Model:
 
 
 def test_resumed_runs(spark, tmp_path):
-    get = lambda model, key=None, first=5, last=64: calibration.stored(spark, str(tmp_path), key or {"v": 1}, model, first, last, chunk=20)
+    get = lambda model, key=None, first=5, last=64: calibration.stored(spark, str(tmp_path), key or {"v": 1}, model, first, last, chunk=20, together=1)
     first = Model(spark, left=2)
     with pytest.raises(KeyboardInterrupt):
         get(first)
@@ -42,11 +42,13 @@ def test_resumed_runs(spark, tmp_path):
     other = Model(spark)
     assert get(other, {"v": 2}).count() == 120 and len(other.made) == 4
     # A chunk that was half written has no manifest and is made again; one that was changed later raises.
+    wide = Model(spark)
+    assert calibration.stored(spark, str(tmp_path), {"v": 3}, wide, 5, 64, chunk=20, together=3).count() == 120 and wide.made == [(0, 59), (60, 79)]
     at = calibration.place(str(tmp_path), {"v": 1, "chunk": 20})
-    Model(spark)(0, 9).write.mode("overwrite").parquet(f"{at}/chunk-00000004")
+    Model(spark)(0, 9).withColumn("chunk", F.lit(4)).write.mode("overwrite").parquet(f"{at}/run-00000004-00000004")
     more = Model(spark)
     assert get(more, last=85).count() == 120 and more.made == [(80, 99)]
-    Model(spark)(0, 9).write.mode("overwrite").parquet(f"{at}/chunk-00000001")
+    Model(spark)(0, 9).withColumn("chunk", F.lit(1)).write.mode("overwrite").parquet(f"{at}/run-00000001-00000001")
     with pytest.raises(ValueError, match="not those that were published"):
         get(Model(spark))
     assert get(Model(spark), first=0, last=-1).count() == 0
