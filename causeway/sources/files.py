@@ -23,6 +23,7 @@ from causeway.operators import facts
 BAR_SCHEMA = "date string, open string, high string, low string, close string, volume string"
 FILING_SCHEMA = "filings array<struct<filing_date: string, facts: struct<`us-gaap`: map<string, struct<units: map<string, array<struct<`end`: string, filed: string, val: double>>>>>>>>"
 PREDICTION_SCHEMA = "issue_date date, target_date date, actual_return double, predicted_return double, screened_factor_count int, lasso_support_count int, selected_factors string, effective_train_n double"
+# Side of the small images, and days that an image counts as recent.
 IMAGE_SIDE, RECENT_DAYS = 12, 210
 
 
