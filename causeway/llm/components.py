@@ -18,8 +18,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs all neighbours of a node on its smallest one, first those that are larger, then those that are
     smaller; the smallest neighbours are aggregated before the shuffle. The join that brings them back has all links of a node
-    under one key, two ids each; a node with so many that they fill a partition is split by adaptive execution, which may do
-    so here, as every join is followed by another exchange.
+    under one key, two ids each, in one task; adaptive execution does not split it, as its other side is an aggregation.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = written(links, "links")
