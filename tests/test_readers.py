@@ -59,12 +59,12 @@ def test_zip_archive_equals_folder(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "prices.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in MEMBERS.items():
-            z.writestr(f"S&P/{name}.csv", text)
+            z.writestr(f"prices/{name}.csv", text)
         z.writestr("readme.txt", "close,date\n1,2020-01-01\n")
-        z.writestr("S&P/damaged.csv", MEMBERS["A"] * 300)
+        z.writestr("prices/damaged.csv", MEMBERS["A"] * 300)
     data = bytearray(open(path, "rb").read())
     with zipfile.ZipFile(path) as z:
-        at = z.getinfo("S&P/damaged.csv").header_offset
+        at = z.getinfo("prices/damaged.csv").header_offset
     data[at + 60 : at + 90] = b"\xff" * 30
     open(path, "wb").write(data)
     read = lambda where=path, **options: archives.read_zip_bars(spark, where, **options)
