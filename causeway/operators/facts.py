@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators import alignment
@@ -42,7 +42,7 @@ def filing_vectors(facts: DataFrame) -> DataFrame:
     return row.select("symbol", "filing", "filing_date", F.array((F.log1p(a) / 30).cast("float"), *(ratio(t).cast("float") for t in TAGS[1:])).alias("vector"))
 
 
-def panel(vectors: DataFrame, calendar: DataFrame, symbols: DataFrame, *, mean: Column | None = None) -> DataFrame:
+def panel(vectors: DataFrame, calendar: DataFrame, symbols: DataFrame) -> DataFrame:
     """A row for each session: mean of the symbols' last known vectors, and the share of symbols that have one.
 
     vectors: symbol, event_date, pos (file order; of a session's filings the last one holds) and vector; calendar: session
@@ -50,6 +50,11 @@ def panel(vectors: DataFrame, calendar: DataFrame, symbols: DataFrame, *, mean:
     """
     dated = alignment.next_session_by_calendar(vectors, calendar)
     last = dated.groupBy("symbol", "idx").agg(F.max_by("vector", "pos").alias("vector"))
+    return sessions_of(last, calendar, symbols)
+
+
+def sessions_of(last: DataFrame, calendar: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The same of vectors that have their session: symbol, idx (each pair once) and vector."""
     grid = symbols.select("symbol").distinct().crossJoin(F.broadcast(calendar.select("idx", "session")))
     filled = grid.join(last, ["symbol", "idx"], "left").withColumn("known", alignment.carried(last, "vector", series=["symbol"]))
     return vector_mean(filled, ["idx", "session"], "known")

@@ -96,3 +96,23 @@ def standardized(windows: DataFrame, moments: DataFrame, names: Sequence[str], b
     raw = lambda f: (F.col(f) - F.col(f"{f}_mean_")) / F.col(f"{f}_sd_")
     score = lambda f: F.when(raw(f).isNotNull(), F.greatest(F.lit(-most), F.least(F.lit(most), raw(f)))).otherwise(0.0)
     return both.withColumns({f: score(f) for f in names}).select(*windows.columns)
+
+
+def archive_features(targets: DataFrame, archive: DataFrame, breadths: DataFrame, names: Sequence[str], upper: Sequence[str]) -> DataFrame:
+    """session, idx and vector of the sessions that all targets have with both prices: the targets' close-to-close returns, their
+    gaps, return, range and log volume of each symbol of upper, and the breadth.
+
+    targets: ticker, session, open, close; archive: symbol, session, high, low, close, volume, put on the targets' sessions, so
+    that a return needs a close on this and on the session before; breadths as breadth() makes them. What is unknown or no finite
+    number is 0. The calendar is sorted in one task, a row for each session.
+    """
+    whole = targets.where("open is not null and close is not null").where(F.col("ticker").isin(*names))
+    pick = lambda by, t, c: F.max(F.when(F.col(by) == t, F.col(c))).alias(f"{t}_{c}")
+    wide = whole.groupBy("session").agg(F.count_distinct("ticker").alias("n"), *(pick("ticker", t, c) for t in names for c in ("open", "close"))).where(F.col("n") == len(set(names))).drop("n")
+    above = archive.where(F.col("symbol").isin(*upper)).groupBy("session").agg(*(pick("symbol", u, c) for u in upper for c in ("high", "low", "close", "volume")))
+    rows = wide.join(above, "session", "left").join(breadths, "session", "left")
+    ret = lambda t: archive_return(f"`{t}_close`", series=[F.lit(0)])
+    ranges = [(bar_range(f"`{u}_high`", f"`{u}_low`", f"`{u}_close`"), log_volume(f"`{u}_volume`")) for u in upper]
+    cells = [*map(ret, names), *(open_gap(f"`{t}_open`", f"`{t}_close`") for t in names), *(c for u, x in zip(upper, ranges) for c in (ret(u), *x)), *(F.col(c) for c in breadths.columns if c != "session")]
+    place = (F.row_number().over(_over([F.lit(0)], "session")) - 1).cast("long")
+    return rows.select("session", place.alias("idx"), F.array(*(cleaned(c.cast("double")) for c in cells)).alias("vector"))

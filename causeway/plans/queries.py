@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from causeway.functions import sql, text
-from causeway.operators import alignment, backtest, calibration, facts, features, policy, scoring, screen, signature, walkforward
+from causeway.operators import alignment, backtest, calibration, facts, features, modal, policy, scoring, screen, signature, walkforward
 from causeway.plans import config
 from causeway.plans.config import CANDIDATES
 from causeway.streaming import replay
-from causeway.sources import files
+from causeway.sources import files, prepared
 from causeway.sources import market as m
 from causeway.sources.market import table
 
 WINDOW, MAX_TRAIN, HORIZON, LEAST = 20, 756, 1, 100
 SERIES = ["ticker", "strategy"]
+#: The modalities of a session, the sessions of a window of them, and the symbols whose bars are features of their own.
+MODALITIES, MODAL_WINDOW, UPPER = ("price", "news", "table", "image"), 40, ("Brand#11", "Brand#12")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -158,6 +160,84 @@ def _news(spark, sf) -> DataFrame:
     return alignment.next_session_by_calendar(dated, calendar).where("idx > 0")
 
 
+def _modalities(spark, sf) -> DataFrame:
+    """idx, session, labels (next close higher; null for the last session), and the vectors of price, news, table and image with
+    what is known, kept in a prepared table: filings are orders, charts are embeddings, in classes dated by number."""
+    market = m.market(spark, sf)
+    calendar = market.where("ticker = 'A'").select("idx", "session")
+    dated = lambda rows, of: alignment.next_session_by_calendar(rows.withColumn("event_date", of), calendar)
+    since = lambda key: F.date_add(F.lit("1998-01-01").cast("date"), (F.col(key) % 365).cast("int"))
+    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    filed = dated(orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select("o_orderdate", F.col("c_nationkey").alias("symbol"), F.col("o_orderkey").alias("pos"), F.array("o_totalprice").alias("vector")), F.col("o_orderdate").cast("date"))
+    charts = table(spark, sf, "embeddings").where("embedding is not null and label is not null")
+    drawn = dated(charts.select("vec_id", F.col("label").alias("symbol"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector")), since("vec_id"))
+    filers, classes = customer.select(F.col("c_nationkey").alias("symbol")), charts.select(F.col("label").alias("symbol"))
+    news, brands = _news(spark, sf), m.brand_bars(spark, sf)
+
+    def carried(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+        last = rows.groupBy("symbol", "idx").agg(F.max_by("vector", "pos").alias("vector"))
+        return facts.sessions_of(last, calendar, symbols).select("idx", F.concat("mean", F.array("coverage")).alias("vector"))
+
+    def build(first: int, last: int) -> DataFrame:
+        here = F.col("idx").between(first, last)
+        up = F.array(*(F.max(F.when(F.col("ticker") == t, F.col("up"))) for t in m.TICKERS))
+        later = F.lead("close").over(W.partitionBy("ticker").orderBy("idx"))
+        labels = market.withColumn("up", (later > F.col("close")).cast("int")).groupBy("idx", "session").agg(up.alias("labels"))
+        labels = labels.withColumn("labels", F.when(~F.exists("labels", F.isnull), F.col("labels")))
+        found = news.where(here).select("idx", text.hash_text_md5(F.col("text")).alias("vector"), F.least(F.length("text"), F.lit(text.CHARS)).alias("n"))
+        means = facts.vector_mean(found, ["idx"], "vector").join(found.groupBy("idx").agg(F.array(F.log1p(F.count("*")), F.avg(F.col("n") / text.CHARS)).alias("rest")), "idx")
+        price = features.archive_features(market, brands, features.breadth(brands), m.TICKERS, UPPER)
+        parts = {
+            "price": (price.select("idx", "vector"), 16), "news": (means.select("idx", F.concat("mean", "rest").alias("vector")), text.BUCKETS + 2),
+            "table": (carried(filed.where(F.col("idx") <= last), filers), 2), "image": (carried(drawn.where(F.col("idx") <= last), classes), 65),
+        }
+        return modal.assembled(labels.where(here), {n: (rows.where(here), width) for n, (rows, width) in parts.items()})
+
+    # A price has a say in the return of the next session and, by the label, in the session before. Symbols may skip sessions,
+    # and have bars between them.
+    own = market.select(F.greatest(F.col("idx") - 1, F.lit(0)).alias("idx"), "ticker", "session", "open", "close")
+    inputs = {"bars": (own, 2), "brands": (dated(brands.withColumnRenamed("session", "day"), F.date_sub("day", 1)).drop("event_date"), None), "news": (news.select("idx", "doc_id", "text"), 0), "filings": (filed.select("idx", "symbol", "pos", "vector"), None), "charts": (drawn.select("idx", "symbol", "pos", "vector"), None)}
+    inputs["symbols"] = (filers.distinct().unionAll(classes.distinct()).select(F.lit(0).alias("idx"), "symbol"), None)
+    schema = "idx long, session date, labels array<int>, " + ", ".join(f"{n} array<double>, {n}_known boolean" for n in MODALITIES)
+    return prepared.refreshed(spark, f"{files.shared_folder(spark)}/causeway/prepared", {"tables": sf, "upper": UPPER}, inputs, build, schema)
+
+
+@query
+def archive_features(spark, sf):
+    """The 16 price features of every session: a row for each of them."""
+    brands = m.brand_bars(spark, sf)
+    rows = features.archive_features(m.market(spark, sf), brands, features.breadth(brands), m.TICKERS, UPPER)
+    return rows.select("idx", "session", F.posexplode("vector").alias("k", "x")).select("idx", "session", "k", r6("x").alias("value"))
+
+
+@query
+def prepared_sessions(spark, sf):
+    """What the prepared table has for each session and modality: known or not, and all its elements."""
+    rows = _modalities(spark, sf)
+    cells = lambda n: F.transform(n, lambda x, k: F.struct(F.lit(n).alias("modality"), F.col(f"{n}_known").cast("int").alias("known"), k.alias("k"), r6(x).alias("value")))
+    return rows.select("idx", "session", F.inline(F.flatten(F.array(*map(cells, MODALITIES)))))
+
+
+@query
+def modality_windows(spark, sf):
+    """Windows of 40 sessions of price, news, table and image, the first three in units of the training windows (the first 80 %
+    of all sessions): a row for each issue and modality, with the labels, how many sessions are known, the mean of the
+    newest vector, and the mean of all elements, weighted by their places in the window and in their vectors, from 1."""
+    panel = _modalities(spark, sf).persist()
+    cut = panel.agg(F.max("idx")).first()[0] or 0
+    scaled = [n for n in MODALITIES if n != "image"]
+    found = modal.moments(panel, scaled, MODAL_WINDOW, F.lit(cut * 8 // 10))
+    win = modal.windows(modal.standardized(panel, found, scaled), MODALITIES, MODAL_WINDOW, carry=["labels"]).where("labels is not null")
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    width = lambda n: F.size(F.get(n, F.lit(0)))
+    total = lambda n: add(F.transform(n, lambda v, p: (p + 1) * add(F.transform(v, lambda x, k: (k + 1) * x)))) * 4 / (MODAL_WINDOW * (MODAL_WINDOW + 1) * width(n) * (width(n) + 1))
+    newest = lambda n: add(F.element_at(n, -1)) / width(n)
+    known = lambda n: F.size(F.filter(f"{n}_known", lambda x: x)).cast("long")
+    cells = [F.struct(F.lit(n).alias("modality"), width(n).cast("long").alias("width"), known(n).alias("known"), r6(newest(n)).alias("newest"), r6(total(n)).alias("weighted")) for n in MODALITIES]
+    up = [F.get("labels", F.lit(i)).alias(f"up_{t}") for i, t in enumerate(m.TICKERS)]
+    return win.select("issue", "session", *up, F.inline(F.array(*cells)))
+
+
 @query
 def sample_windows(spark, sf):
     rows = alignment.gathered(m.market(spark, sf).select("ticker", "idx", "session", "close"), WINDOW)

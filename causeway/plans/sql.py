@@ -118,6 +118,60 @@ SELECT ticker, n, u AS actual_up_days, dn AS actual_down_days, pu AS predicted_u
   {part('ne', 'n')} AS neutral_rate, {part('u', 'n')} AS actual_up_rate, {r6('(CAST(cu AS DOUBLE) / nullif(u, 0) + CAST(cd AS DOUBLE) / nullif(dn, 0)) / 2')} AS balanced_accuracy FROM c"""
 
 
+#: Vectors of the modalities of each session; the tables of the news come from oracles().
+MODAL_WINDOW, UPPER = 40, ("Brand#11", "Brand#12")
+
+
+def price_features() -> str:
+    """px: idx, session and the list of the 16 price features."""
+    tickers, finite = ("A", "N", "R"), lambda e: f"coalesce({e}, 0)"
+    ret = lambda c: finite(f"ln({c} / lag({c}) OVER o)")
+    cells = [*(ret(f"close_{t}") for t in tickers), *(finite(f"close_{t} / open_{t} - 1") for t in tickers)]
+    for i in range(len(UPPER)):
+        cells += [ret(f"u{i}.close"), finite(f"(u{i}.high - u{i}.low) / u{i}.close"), finite(f"ln(1 + u{i}.volume)")]
+    cells += [finite(c) for c in ("breadth_mean", "breadth_sd", "breadth_up", "breadth_log_n")]
+    joins = " ".join(f"LEFT JOIN bo u{i} ON u{i}.symbol = '{u}' AND u{i}.session = pw.session" for i, u in enumerate(UPPER))
+    picks = ", ".join(f"max(close) FILTER (ticker = '{t}') AS close_{t}, max(open) FILTER (ticker = '{t}') AS open_{t}" for t in tickers)
+    return f"""{A}, {BRANDS}, pw AS (SELECT idx, session, {picks} FROM m GROUP BY 1, 2),
+bo AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS session, max(cents / (100 * l_quantity)) AS high, min(cents / (100 * l_quantity)) AS low, CAST(sum(cents) AS DOUBLE) / (100 * sum(l_quantity)) AS close, sum(l_quantity) AS volume
+  FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+px AS (SELECT pw.idx, pw.session, [{', '.join(f'CAST({c} AS DOUBLE)' for c in cells)}] AS v FROM pw {joins} LEFT JOIN breadth ON breadth.session = pw.session WINDOW o AS (ORDER BY pw.idx))"""
+
+
+def modalities(tokens: str, digest: str) -> str:
+    """l: idx, session, modality, known, width, k and x of every element of every session's vectors."""
+    zeros = lambda n: f"(SELECT list(CAST(0 AS DOUBLE)) FROM range({n}))"
+    carry = lambda source, symbols: f"""SELECT idx, symbol, last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY idx ROWS UNBOUNDED PRECEDING) AS v
+  FROM (SELECT a.idx, c.symbol, d.v FROM a CROSS JOIN (SELECT DISTINCT {symbols}) c LEFT JOIN {source} d ON d.idx = a.idx AND d.symbol = c.symbol)"""
+    return f"""{price_features()},
+nd AS (SELECT row_number() OVER () AS r, text, CAST(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS event_date FROM documents WHERE length(text) > 0),
+nn AS (SELECT r, text, idx FROM nd ASOF JOIN a ON nd.event_date < a.session WHERE idx > 0), nt AS (SELECT r, {digest} AS h FROM (SELECT r, unnest({tokens}) AS token FROM nn)),
+nk AS (SELECT r, CAST(h % 32 AS INTEGER) AS k, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM nt GROUP BY 1, 2), nu AS (SELECT r, greatest(sqrt(sum(x * x)), 1) AS norm FROM nk GROUP BY r),
+np AS (SELECT idx, k, sum(x / norm) AS s FROM nk JOIN nu USING (r) JOIN nn USING (r) GROUP BY 1, 2), nc AS (SELECT idx, count(*) AS docs, avg(least(length(text), 5000) / CAST(5000 AS DOUBLE)) AS mean_length FROM nn GROUP BY 1),
+news AS (SELECT nc.idx, list(coalesce(s, 0) / docs ORDER BY b.k) || [ln(1 + any_value(docs)), any_value(mean_length)] AS v FROM nc CROSS JOIN range(32) b(k) LEFT JOIN np ON np.idx = nc.idx AND np.k = b.k GROUP BY 1),
+fo AS (SELECT c_nationkey AS symbol, CAST(o_orderdate AS DATE) AS event_date, o_orderkey AS pos, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+fd AS (SELECT symbol, a.idx, arg_max(v, pos) AS v FROM fo ASOF JOIN a ON fo.event_date < a.session GROUP BY ALL), fg AS ({carry('fd', 'c_nationkey AS symbol FROM customer')}),
+filed AS (SELECT idx, [avg(v), CAST(count(v) AS DOUBLE) / count(*)] AS v FROM fg GROUP BY idx HAVING count(v) > 0),
+io AS (SELECT label AS symbol, vec_id, embedding, CAST(DATE '1998-01-01' + CAST(vec_id % 365 AS INTEGER) AS DATE) AS event_date FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+dr AS (SELECT symbol, a.idx, arg_max(embedding, vec_id) AS v FROM io ASOF JOIN a ON io.event_date < a.session GROUP BY ALL), dg AS ({carry('dr', 'symbol FROM io')}),
+du AS (SELECT idx, k, avg(x) AS x FROM (SELECT idx, unnest(range(len(v))) AS k, CAST(unnest(v) AS DOUBLE) AS x FROM dg WHERE v IS NOT NULL) GROUP BY 1, 2), dc AS (SELECT idx, CAST(count(v) AS DOUBLE) / count(*) AS c FROM dg GROUP BY idx),
+drawn AS (SELECT idx, list(x ORDER BY k) || [any_value(c)] AS v FROM du JOIN dc USING (idx) GROUP BY idx),
+mv AS (SELECT idx, session, 'price' AS modality, 1 AS known, v FROM px UNION ALL
+  {' UNION ALL '.join(f"SELECT a.idx, a.session, '{name}', CASE WHEN v IS NULL THEN 0 ELSE 1 END, coalesce(v, {zeros(n)}) FROM a LEFT JOIN {t} ON {t}.idx = a.idx" for name, t, n in (('news', 'news', 34), ('table', 'filed', 2), ('image', 'drawn', 65)))}),
+l AS (SELECT idx, session, modality, CAST(known AS INTEGER) AS known, CAST(len(v) AS BIGINT) AS width, CAST(unnest(range(len(v))) AS INTEGER) AS k, unnest(v) AS x FROM mv)"""
+
+
+def modality_windows(tokens: str, digest: str) -> str:
+    n = MODAL_WINDOW
+    up = ", ".join(f"CAST(lead(close_{t}) OVER (ORDER BY idx) > close_{t} AS INTEGER) AS up_{t}" for t in "ANR")
+    return f"""WITH {modalities(tokens, digest)}, wi AS (SELECT i.idx AS issue, p.pos, l.* FROM a i CROSS JOIN range({n}) p(pos) JOIN l ON l.idx = i.idx - {n - 1} + p.pos WHERE i.idx >= {n - 1}),
+mo AS (SELECT modality, k, avg(x) AS mean, greatest(stddev_pop(x), 1e-4) AS sd FROM wi WHERE modality <> 'image' AND issue <= (SELECT max(idx) * 8 // 10 FROM a) GROUP BY 1, 2),
+z AS (SELECT issue, pos, wi.modality, width, known, wi.k, CASE WHEN mo.sd IS NULL THEN x ELSE greatest(-8, least(8, (x - mean) / sd)) END AS z FROM wi LEFT JOIN mo ON mo.modality = wi.modality AND mo.k = wi.k),
+lb AS (SELECT idx, session, {up} FROM pw)
+SELECT issue, session, up_A, up_N, up_R, modality, width, CAST(sum(known) FILTER (k = 0) AS BIGINT) AS known, {r6(f'avg(z) FILTER (pos = {n - 1})')} AS newest, {r6('sum((pos + 1) * (k + 1) * z) / sum((pos + 1) * (k + 1))')} AS weighted
+FROM z JOIN lb ON lb.idx = issue WHERE up_A IS NOT NULL GROUP BY ALL"""
+
+
 def oracles() -> dict[str, str]:
     tokens = "regexp_extract_all(substr(lower(text), 1, 5000), '[a-z]{3,}')"
     digest = "CAST('0x' || substr(md5(token), 1, 8) AS BIGINT)"
@@ -154,6 +208,9 @@ p AS (SELECT idx, k, sum(x / norm) AS s FROM v JOIN u USING (r) JOIN n USING (r)
 c AS (SELECT idx, session, count(*) AS docs, avg(least(length(text), 5000) / CAST(5000 AS DOUBLE)) AS mean_length FROM n GROUP BY 1, 2)
 SELECT c.idx, session, CAST(b.k AS INTEGER) AS k, {r6('coalesce(s, 0) / docs')} AS value FROM c CROSS JOIN range(32) b(k) LEFT JOIN p ON p.idx = c.idx AND p.k = b.k
 UNION ALL SELECT idx, session, 32, {r6('ln(1 + docs)')} FROM c UNION ALL SELECT idx, session, 33, {r6('mean_length')} FROM c""",
+        "archive_features": f"WITH {price_features()} SELECT idx, session, CAST(unnest(range(16)) AS INTEGER) AS k, {r6('unnest(v)')} AS value FROM px",
+        "prepared_sessions": f"WITH {modalities(tokens, digest)} SELECT idx, session, modality, known, k, {r6('x')} AS value FROM l",
+        "modality_windows": modality_windows(tokens, digest),
         "sample_windows": f"""WITH {RET}, {WINDOWS}
 SELECT ticker, issue, count(*) AS n, min(session) AS first_session, max(session) AS last_session, {r6('ln(arg_max(close, pos) / arg_min(close, pos))')} AS anchored_last, {r6(f'sum(ln(close)) - {W} * ln(arg_min(close, pos))', 5)} AS anchored_sum FROM win GROUP BY ticker, issue""",
         **{f"signature_depth{d}": signature(d) for d in (1, 2, 3)},

@@ -34,11 +34,14 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, session and close of every brand."""
+    """symbol, session, high, low, close and volume of every brand."""
     lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    price = cents / (100 * F.col("l_quantity"))
     joined = lines.join(part.select("p_partkey", "p_brand"), lines["l_partkey"] == part["p_partkey"])
-    return joined.groupBy(F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("session")).agg((F.sum(cents) / (100 * F.sum("l_quantity"))).alias("close"))
+    return joined.groupBy(F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("session")).agg(
+        F.max(price).alias("high"), F.min(price).alias("low"), (F.sum(cents) / (100 * F.sum("l_quantity"))).alias("close"), F.sum("l_quantity").alias("volume")
+    )
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
