@@ -22,7 +22,8 @@ from causeway.sources.market import table
 WINDOW, MAX_TRAIN, HORIZON, LEAST = 20, 756, 1, 100
 SERIES = ["ticker", "strategy"]
 #: The modalities of a session, the sessions of a window of them, and the symbols whose bars are features of their own.
-MODALITIES, MODAL_WINDOW, UPPER = ("price", "news", "table", "image"), 40, ("Brand#11", "Brand#12")
+#: FEATURES numbers how the prepared sessions are made.
+MODALITIES, MODAL_WINDOW, FEATURES, UPPER = ("price", "news", "table", "image"), 40, 2, ("Brand#11", "Brand#12")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -154,8 +155,8 @@ def news_panel_features(spark, sf):
     return means.select("idx", "session", "k", r6("value").alias("value")).unionByName(rest.withColumn("k", F.col("k") + text.BUCKETS))
 
 
-def _news(spark, sf) -> DataFrame:
-    calendar = series_a(spark, sf).select("session", "idx")
+def _news(spark, sf, calendar: DataFrame | None = None) -> DataFrame:
+    calendar = series_a(spark, sf).select("session", "idx") if calendar is None else calendar
     dated = table(spark, sf, "documents").select("doc_id", "text", F.date_add(F.lit("1998-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("event_date")).where(F.length("text") > 0)
     return alignment.next_session_by_calendar(dated, calendar).where("idx > 0")
 
@@ -163,7 +164,8 @@ def _news(spark, sf) -> DataFrame:
 def _modalities(spark, sf) -> DataFrame:
     """idx, session, labels (next close higher; null for the last session), and the vectors of price, news, table and image with
     what is known, kept in a prepared table: filings are orders, charts are embeddings, in classes dated by number."""
-    market = m.market(spark, sf)
+    # A row for each session and ticker or symbol; digests and parts read them many times.
+    market, brands = m.market(spark, sf).persist(), m.brand_bars(spark, sf).persist()
     calendar = market.where("ticker = 'A'").select("idx", "session")
     dated = lambda rows, of: alignment.next_session_by_calendar(rows.withColumn("event_date", of), calendar)
     since = lambda key: F.date_add(F.lit("1998-01-01").cast("date"), (F.col(key) % 365).cast("int"))
@@ -172,7 +174,7 @@ def _modalities(spark, sf) -> DataFrame:
     charts = table(spark, sf, "embeddings").where("embedding is not null and label is not null")
     drawn = dated(charts.select("vec_id", F.col("label").alias("symbol"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector")), since("vec_id"))
     filers, classes = customer.select(F.col("c_nationkey").alias("symbol")), charts.select(F.col("label").alias("symbol"))
-    news, brands = _news(spark, sf), m.brand_bars(spark, sf)
+    news = _news(spark, sf, calendar)
 
     def carried(rows: DataFrame, symbols: DataFrame) -> DataFrame:
         last = rows.groupBy("symbol", "idx").agg(F.max_by("vector", "pos").alias("vector"))
@@ -184,11 +186,12 @@ def _modalities(spark, sf) -> DataFrame:
         later = F.lead("close").over(W.partitionBy("ticker").orderBy("idx"))
         labels = market.withColumn("up", (later > F.col("close")).cast("int")).groupBy("idx", "session").agg(up.alias("labels"))
         labels = labels.withColumn("labels", F.when(~F.exists("labels", F.isnull), F.col("labels")))
+        # Vectors are hashed once, and added up before the shuffle.
         found = news.where(here).select("idx", text.hash_text_md5(F.col("text")).alias("vector"), F.least(F.length("text"), F.lit(text.CHARS)).alias("n"))
-        means = facts.vector_mean(found, ["idx"], "vector").join(found.groupBy("idx").agg(F.array(F.log1p(F.count("*")), F.avg(F.col("n") / text.CHARS)).alias("rest")), "idx")
+        means = found.groupBy("idx").agg(F.array(*(F.avg(F.get("vector", F.lit(k))) for k in range(text.BUCKETS)), F.log1p(F.count("*")), F.avg(F.col("n") / text.CHARS)).alias("vector"))
         price = features.archive_features(market, brands, features.breadth(brands), m.TICKERS, UPPER)
         parts = {
-            "price": (price.select("idx", "vector"), 16), "news": (means.select("idx", F.concat("mean", "rest").alias("vector")), text.BUCKETS + 2),
+            "price": (price.select("idx", "vector"), 16), "news": (means, text.BUCKETS + 2),
             "table": (carried(filed.where(F.col("idx") <= last), filers), 2), "image": (carried(drawn.where(F.col("idx") <= last), classes), 65),
         }
         return modal.assembled(labels.where(here), {n: (rows.where(here), width) for n, (rows, width) in parts.items()})
@@ -199,7 +202,10 @@ def _modalities(spark, sf) -> DataFrame:
     inputs = {"bars": (own, 2), "brands": (dated(brands.withColumnRenamed("session", "day"), F.date_sub("day", 1)).drop("event_date"), None), "news": (news.select("idx", "doc_id", "text"), 0), "filings": (filed.select("idx", "symbol", "pos", "vector"), None), "charts": (drawn.select("idx", "symbol", "pos", "vector"), None)}
     inputs["symbols"] = (filers.distinct().unionAll(classes.distinct()).select(F.lit(0).alias("idx"), "symbol"), None)
     schema = "idx long, session date, labels array<int>, " + ", ".join(f"{n} array<double>, {n}_known boolean" for n in MODALITIES)
-    return prepared.refreshed(spark, f"{files.shared_folder(spark)}/causeway/prepared", {"tables": sf, "upper": UPPER}, inputs, build, schema)
+    rows = prepared.refreshed(spark, f"{files.shared_folder(spark)}/causeway/prepared", {"features": FEATURES, "tables": sf, "upper": UPPER}, inputs, build, schema)
+    market.unpersist()
+    brands.unpersist()
+    return rows
 
 
 @query

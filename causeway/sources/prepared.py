@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from causeway.operators.calibration import place
 
-#: Sessions of a part.
-PART = 64
+#: Sessions of a part, and the layout of manifests and rows, which gives tables of another one a folder of their own.
+PART, LAYOUT = 64, 2
 
 
 def _digests(inputs: dict[str, tuple[DataFrame, int | None]], part: int) -> dict[int, dict[str, list]]:
@@ -71,12 +71,13 @@ def refreshed(spark: SparkSession, folder: str, settings: dict, inputs: dict[str
     """The prepared rows (of this schema, with the column idx) of all parts that have inputs.
 
     inputs: rows with the column idx of a session, and on how many later sessions they have a say (0: none, None: on all of
-    them, as values that are carried have). build(first, last) makes the rows of the sessions from first to last. Settings and
+    them, as values that are carried have). build(first, last) makes the rows of the sessions from first to last; as its code is no
+    input, settings should name its version. Settings and
     schema give the table a folder of its own. Parts that are to be made again are marked in the manifest before their rows are
     replaced, and it names the new inputs only when all are there, so a run that ends in between leaves nothing stale: the next one
     makes the marked parts, whatever the inputs are then.
     """
-    at = place(folder, settings | {"part": part, "schema": schema})
+    at = place(folder, settings | {"part": part, "schema": schema, "layout": LAYOUT})
     (old, made), new = _manifest(spark, at), _digests(inputs, part)
     dirty = (_reached(old, new, inputs, part) | (new.keys() - made)) & new.keys()
     if dirty or old.keys() - new.keys():
